@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dup, language, mixing, near_dup, packing, sharding, token_count, topk, toxicity
+from . import embedding_dup, language, language_model, mixing, near_dup, packing, sharding, token_count, topk, toxicity
 from .common import table
 
 
@@ -39,6 +39,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_model.score_texts(docs, language.fold(docs["doc_id"], 5) != 1)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100)
 
@@ -59,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op8_minhash_near_dup, op9_language_id, op10_toxicity)
+    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op7_language_model, op8_minhash_near_dup, op9_language_id, op10_toxicity)
 }
 
 #: A row's 60-bit hash in DuckDB.
