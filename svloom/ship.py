@@ -1,12 +1,13 @@
-"""Makes this package importable on the executors."""
+"""Makes this package importable on the executors, and tables shared among them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,3 +22,29 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc._svloom_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset (tests on one machine) a temporary folder is set once.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = getattr(spark.sparkContext, "_svloom_dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="svloom-")
+        spark.sparkContext._svloom_dir = folder
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends here."""
+    spark = ship(df.sparkSession)
+    path = f"{shared_dir(spark)}/svloom/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
