@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..ship import ship
+from ..ship import ship, written
 
 U64 = np.uint64
 #: Odd multipliers (fixed values) of the 64-bit mixers below.
@@ -19,42 +17,14 @@ MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x16
 CACHE_WORDS = 400_000
 
 
+__all__ = ["written"]  # for the modules beside this one
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests on one machine) a temporary folder is set once.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark.sparkContext, "_svloom_dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="svloom-")
-        spark.sparkContext._svloom_dir = folder
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here."""
-    spark = ship(df.sparkSession)
-    path = f"{shared_dir(spark)}/svloom/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns; others, however named, take no part."""
-    return df.select(*[df[n] for n in names])
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), element by element."""
     with np.errstate(over="ignore"):
