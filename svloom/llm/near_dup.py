@@ -136,10 +136,11 @@ def runs(batches: Iterator[pa.RecordBatch], key: str):
 
 
 def bucket_forest(near: int, far: int):
-    """For rows (key, cls, sketch) sorted by key: edges that join each member of a bucket to the leaders within reach."""
+    """For rows (key, cls, sketch) sorted by key: a forest that joins each member of a bucket to the leaders within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead_ids, leads = None, [], np.empty((0, BITS // 64), U64)
+        last, lead_ids, count = None, [], 0
+        leads, group = np.empty((0, BITS // 64), U64), np.empty(0, np.int64)  # of the leaders: sketches, and what hangs together
         last_batch, ids, sketches = None, None, None
         for_key: list[tuple[int, int]] = []
         for key, b, s, e in runs(batches, "key"):
@@ -155,13 +156,20 @@ def bucket_forest(near: int, far: int):
             for i in range(s, e):
                 if count:
                     z = np.bitwise_count(leads[:count] ^ sketches[i]).sum(axis=1)
-                    for j in np.flatnonzero(z <= far):
+                    # within reach of leaders that already hang together, one edge is enough
+                    reached = np.flatnonzero(z <= far)
+                    reached = reached[np.unique(group[reached], return_index=True)[1]]
+                    for j in reached:
                         for_key.append((int(ids[i]), int(lead_ids[j])))
+                    if len(reached) > 1:
+                        group[:count][np.isin(group[:count], group[reached])] = group[reached[0]]
                     if (z <= near).any():
                         continue
                 if count == len(leads):
                     leads = np.concatenate((leads, np.zeros((max(8, count), leads.shape[1]), U64)))
+                    group = np.concatenate((group, np.zeros(max(8, count), np.int64)))
                 leads[count] = sketches[i]
+                group[count] = group[reached[0]] if count and len(reached) else count
                 lead_ids.append(ids[i])
                 count += 1
         if for_key:
