@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges are allowed, rows with a null end are ignored;
     a node that only has self-loops is its own component. No edges: no rows.
     """
-    nodes = edges.where("a is not null and b is not null")
+    # written first: what makes the edges runs once
+    nodes = written(edges.where("a is not null and b is not null"), "links")
     loops = nodes.where("a = b").select("a").distinct()
     e = written(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = _mark(e)
