@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +49,15 @@ def band_plan(rows: int, cosine: float) -> tuple[int, int]:
 
 def band_keys(turned: np.ndarray, bits: int, bands: int) -> np.ndarray:
     """(n, bands) hashes; band j takes ``bits`` signs at fixed pseudo-random places of the code."""
-    signs = (turned >= 0).astype(np.uint64)
+    places = band_places(turned.shape[1], bits, bands)
+    value = (turned >= 0)[:, places] @ (1 << np.arange(bits, dtype=np.int64))
+    return mixed(value.astype(U64) ^ (np.arange(bands, dtype=U64) << U64(40))[None, :])
+
+
+@lru_cache(4)
+def band_places(code: int, bits: int, bands: int) -> np.ndarray:
     rng = np.random.default_rng(4)
-    out = np.empty((len(turned), bands), U64)
-    for j in range(bands):
-        at = rng.choice(turned.shape[1], bits, replace=False)
-        value = np.zeros(len(turned), U64)
-        for b in at:
-            value = value << U64(1) | signs[:, b]
-        out[:, j] = mixed(value ^ U64(j << 40))
-    return out
+    return np.stack([rng.choice(code, bits, replace=False) for _ in range(bands)])
 
 
 def usable(vector: Column) -> Column:
@@ -137,6 +137,8 @@ def tile_links(dim: int, bits: int, bands: int, cosine: float):
             c = Codes(x[left], turn)
             d = c if same else Codes(x[right], turn)
             i, j = np.nonzero(c.upper(d) >= cosine)
+            if not len(i):
+                return None
             if same:
                 i, j = i[i < j], j[i < j]
             exact = np.einsum("ij,ij->i", c.x[i], d.x[j]) >= cosine
