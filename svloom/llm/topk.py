@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..ship import ship
 from .common import written
 
-#: Rows of a query block and of a candidate block; bins of a histogram round.
-QUERY_ROWS, BLOCK_ROWS, BINS = 1024, 2048, 1024
+#: Rows of a query block and of a candidate block; bins of a histogram round; query blocks whose histograms a task holds.
+QUERY_ROWS, BLOCK_ROWS, BINS, HELD = 1024, 2048, 256, 16
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
@@ -71,16 +71,32 @@ def _blocks(b: pa.RecordBatch):
 
 
 def histogram_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per (query, bin) inside each query's interval; a query itself is no candidate of its own."""
+    """Counts per (query, bin) inside each query's interval; a query itself is no candidate of its own.
+
+    A task adds up what it reads; of HELD query blocks at a time, so that memory is bounded.
+    """
+    held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for qi, n in held.values():
+            k = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[k // BINS]), pa.array((k % BINS).astype(np.int64)), pa.array(n[k].astype(np.int64))], names=["query_id", "bin", "n"])
+        held.clear()
+
     for b in batches:
         for r, ci, qi, s in _blocks(b):
+            if r["q_ids"] not in held and len(held) >= HELD:
+                yield from out()
             lo, width = np.frombuffer(r["lo"], np.int64)[:, None], np.frombuffer(r["width"], np.int64)[:, None]
             at = np.floor_divide(s - lo, width)
             inside = (at >= 0) & (at < BINS) & (qi[:, None] != ci[None, :])
             flat = (np.arange(len(qi))[:, None] * BINS + at)[inside]
             n = np.bincount(flat, minlength=len(qi) * BINS)
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(qi[k // BINS]), pa.array((k % BINS).astype(np.int64)), pa.array(n[k].astype(np.int64))], names=["query_id", "bin", "n"])
+            if r["q_ids"] in held:
+                held[r["q_ids"]][1][:] += n
+            else:
+                held[r["q_ids"]] = (qi, n)
+    yield from out()
 
 
 def above(k: int):
