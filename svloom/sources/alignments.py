@@ -15,13 +15,6 @@ SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos i
 BASES, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
-def contigs_of(lines: DataFrame) -> DataFrame:
-    """(tid, contig, length) from the header lines of SAM text, in the order of their length-stable names' first line."""
-    h = lines.where(F.startswith("value", F.lit("@SQ")))
-    name, size = F.regexp_extract("value", r"\tSN:([^\t]+)", 1), F.regexp_extract("value", r"\tLN:(\d+)", 1)
-    return h.select("no", name.alias("contig"), size.cast("long").alias("length"))
-
-
 def read_sam(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
     """Rows of SAM text files. ``contigs`` fixes the numbering; else it follows the header of the first file by name (a header is small)."""
     lines = spark.read.text(path).withColumn("bam_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
@@ -47,7 +40,7 @@ def sam_lines(df: DataFrame) -> DataFrame:
     """SAM text of alignments (qual holds printable bytes): one column, ``value``."""
     tags = F.concat_ws("\t", F.concat(F.lit("RG:Z:"), c("rg")), F.concat(F.lit("AM:i:"), c("am").cast("string")))
     star = lambda x: F.coalesce(x, F.lit("*"))
-    mate = F.when(c("mcontig") == c("contig"), "=").otherwise(star(c("mcontig")))
+    mate = F.when((c("mcontig") == c("contig")) & (c("contig") != "*"), "=").otherwise(star(c("mcontig")))
     base = F.concat_ws("\t", "qname", c("flag").cast("string"), star(c("contig")), (c("pos") + 1).cast("string"), c("mapq").cast("string"), star(c("cigar")), mate, (c("mpos") + 1).cast("string"), c("isize").cast("string"), star(c("seq")), star(F.decode("qual", "utf-8")))
     return df.select(F.when(tags != "", F.concat_ws("\t", base, tags)).otherwise(base).alias("value"))
 
@@ -156,6 +149,12 @@ class BamDataSource(DataSource):
         return _BamReader(dict(self.options))
 
 
+def register_bam(spark: SparkSession) -> None:
+    """Makes the format ``bam`` known to the session, with filters handed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BamDataSource)
+
+
 def read_bam(spark: SparkSession, path: str, with_seq: bool = True) -> DataFrame:
     """Rows of BAM files below ``path`` in any store Spark reads: whole files as binary, each decoded where it is read."""
     from ..ship import ship
