@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the words
-that set toxic text apart (those around byte n-grams far more frequent in toxic
-than in ordinary documents). Windows of a text are compressed with the ordinary
-dictionary and with both; the bytes that the toxic one saves, window by window,
-are turned into a probability by thresholds calibrated on labelled documents.
+zstandard dictionaries are trained on ordinary text and on the words that set
+toxic text apart (those around byte n-grams more frequent in toxic than in
+ordinary documents): one of words hardly found elsewhere, one that also has
+words merely more frequent. Windows of a text are compressed with the ordinary
+dictionary alone and with either of the others before it; the bytes these save,
+window by window, are turned into a probability by weights calibrated on
+labelled documents that had no part in the dictionaries.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .language import fold
 
 #: Labelled documents to learn from, by label (expected number), and characters of a document that may be learned from.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 3000, 6000, 20_000
-#: Bytes of the n-grams; share of toxic documents an n-gram needs; times it must be more frequent there.
-GRAM, SUPPORT, RATIO = 5, 0.01, 20
+#: Bytes of the n-grams; for either toxic dictionary, times an n-gram must be more frequent in toxic documents, and by how many standard errors.
+GRAM, TELLING = 5, ((20, 4), (3, 6))
 #: Bytes of the dictionaries; of a window and of its overlap with the next.
 TOXIC_DICT, ORDINARY_DICT, WINDOW, OVERLAP = 8192, 32_768, 64, 16
 
@@ -53,13 +55,17 @@ def document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[g > 0], n[g > 0]
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float, errors: float) -> list[bytes]:
     """Words of the toxic texts, with the spaces around them, that hold a telling n-gram."""
     g, n = document_counts(toxic)
     h, m = document_counts(ordinary)
-    at = np.minimum(np.searchsorted(h, g), max(0, len(h) - 1))
-    other = np.where(h[at] == g, m[at], 0) if len(h) else np.zeros(len(g))
-    g = g[(n >= max(3, SUPPORT * len(toxic))) & (n / max(1, len(toxic)) > RATIO * (other + 1) / max(1, len(ordinary)))]
+    if not len(g) or not len(h):
+        return []
+    at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+    other = np.where(h[at] == g, m[at], 0)
+    p, q, both = n / len(toxic), (other + 1) / len(ordinary), (n + other + 1) / (len(toxic) + len(ordinary))
+    error = np.sqrt(both * np.maximum(1e-9, 1 - both) * (1 / len(toxic) + 1 / len(ordinary)))
+    g = g[(n >= 3) & (p > ratio * q) & (p - q > errors * error)]
     words = []
     for t in toxic:
         end = -1
@@ -82,39 +88,54 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 class Model:
-    """The two dictionaries and the calibrated weights."""
+    """The dictionaries and the calibrated weights."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         tox, plain_ = ([*dict.fromkeys(map(plain, ts))] for ts in (toxic, ordinary))
-        # dictionaries from one half, calibration mostly on the other
-        words = telling_words(tox, plain_)
-        self.toxic = dictionary([b"".join(words[i : i + 8]) for i in range(0, len(words), 8)], TOXIC_DICT, 32)
-        self.ordinary = dictionary([t[i : i + 256] for t in plain_[::3] for i in range(0, len(t), 256)], ORDINARY_DICT, 256)
-        self.weights = None
-        if tox and plain_:
-            x = np.array([self.savings(t) for t in [*tox, *plain_]], float)
-            self.fit(x, np.repeat([1.0, 0.0], [len(tox), len(plain_)]))
+        self.weights, x, y = None, [], []
+        # dictionaries of one half calibrate on the other; those of all are kept
+        for k in (0, 1):
+            self.learn(tox[k::2], plain_[k::2])
+            for label, texts in ((1.0, tox[1 - k :: 2]), (0.0, plain_[1 - k :: 2])):
+                x += [self.savings(t) for t in texts]
+                y += [label] * len(texts)
+        self.learn(tox, plain_)
+        if 0 < sum(y) < len(y):
+            self.fit(np.array(x, float), np.array(y))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
 
-    def pair(self) -> tuple:
+    def learn(self, toxic: list[bytes], ordinary: list[bytes]) -> None:
+        self.__dict__.pop("compressors", None)
+        self.toxic = []
+        for ratio, errors in TELLING:
+            words = telling_words(toxic, ordinary, ratio, errors)
+            self.toxic.append(dictionary([b"".join(words[i : i + 8]) for i in range(0, len(words), 8)], TOXIC_DICT, 32))
+        self.ordinary = dictionary([t[i : i + 256] for t in ordinary[::3] for i in range(0, len(t), 256)], ORDINARY_DICT, 256)
+
+    def all(self) -> tuple:
         if "compressors" not in self.__dict__:
             p = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-            # the ordinary part ends both, so it is equally near in both; zeros stand for the toxic part in one
-            both = []
-            for data in (self.toxic + self.ordinary, bytes(len(self.toxic)) + self.ordinary):
-                d = zstandard.ZstdCompressionDict(data or bytes(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made = []
+            # the ordinary part ends all of them, so it is equally near in each; zeros stand before it in the first
+            for before in (b"", *self.toxic):
+                d = zstandard.ZstdCompressionDict(before.rjust(TOXIC_DICT, b"\0") + self.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=p)
-                both.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
-            self.compressors = tuple(both)
+                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
+            self.compressors = tuple(made)
         return self.compressors
 
     def savings(self, b: bytes) -> tuple:
-        """The three largest savings of a window, the windows' logarithm, the share of windows that save 3 bytes or more."""
-        with_, without = (c.compress for c in self.pair())
-        s = sorted((len(without(w)) - len(with_(w)) for w in (b[i : i + WINDOW + OVERLAP] for i in range(0, max(1, len(b)), WINDOW))), reverse=True)
-        return (*(s + [0, 0])[:3], np.log(len(s)), 20 * sum(x >= 3 for x in s) / len(s))
+        """For either toxic dictionary the three largest savings of a window and the share of windows that save 3 bytes or more; the windows' logarithm."""
+        plain_, *others = self.all()
+        windows = [b[i : i + WINDOW + OVERLAP] for i in range(0, max(1, len(b)), WINDOW)]
+        size = [len(plain_(w)) for w in windows]
+        out = [np.log(len(windows))]
+        for c in others:
+            s = sorted((n - len(c(w)) for n, w in zip(size, windows, strict=True)), reverse=True)
+            out += [*(s + [0, 0])[:3], 20 * sum(x >= 3 for x in s) / len(s)]
+        return tuple(out)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic weights by Newton steps, lightly held near zero."""
@@ -130,7 +151,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        x = np.array([self.savings(plain(t)) for t in texts], float).reshape(len(texts), 5)
+        x = np.array([self.savings(plain(t)) for t in texts], float).reshape(len(texts), 1 + 4 * len(TELLING))
         z = np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
