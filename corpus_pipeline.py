@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame, which ``run`` writes as Parquet to the shared folder
 and reads again. All stages but the last return the columns of ``docs``. Rows
-with the same doc_id, if any, are judged together.
+with the same doc_id, if any, are judged together; a row without a doc_id cannot
+be named in a decision and is rejected by the first stage. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
