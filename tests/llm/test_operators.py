@@ -338,8 +338,11 @@ def test_seating_follows_the_restaurant():
 # 8 near-duplicates
 
 
+@pytest.mark.parametrize("whole", [4, 512])
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 85, 100), (5, 80, 100)])
-def test_near_duplicates(spark, docs, k, num, den):
+def test_near_duplicates(spark, docs, monkeypatch, k, num, den, whole):
+    monkeypatch.setattr(near_dup, "WHOLE_BUCKET", whole)
+    monkeypatch.setattr(near_dup, "SPREAD", 2)
     rows = docs.select("doc_id", "text").collect()
     base = rows[3]["text"] + " " + rows[7]["text"]
     words = base.split()
@@ -422,3 +425,11 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.score(d, model).collect()} == {0.0} and toxicity.score(d.limit(0), model).count() == 0
     real = toxicity.trained(spark.read.parquet(f"{sf}/documents.parquet"), labels)
     assert all(0 <= x["score"] <= 1 for x in toxicity.score(d, real).collect())
+
+
+def test_frequent_words_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HELD_WORDS", 3)
+    d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(90)], "doc_id long, text string").repartition(5)
+    want = {language_model.word_hashes([f"w{j}".encode()])[0].item(): j + 1 for j in range(4)}
+    assert language_model.frequent_words(d, 4) == want
+    assert language_model.frequent_words(d.limit(0), 4) == {}
