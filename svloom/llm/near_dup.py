@@ -15,6 +15,11 @@ members are compared with *leaders* only: Jaccard distance is a metric, so if x
 and y link (distance <= d) and y follows leader L (distance <= d), then x is
 within 2d of L; joining each member to every leader within 2d keeps the ends of
 every link in one candidate component, at a cost linear in the copies.
+
+A hot bucket of n members is split by a salt into sqrt(n) / SPREAD parts, each
+with leaders of its own. If x and y link across parts and follow L and M, then L
+is within 3d of M: the leaders of all parts, few beside the members, meet once
+more and join within 3d.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from .components import components
 SAMPLES, BITS = 128, 512
 #: A link is missed by all bands with at most this probability.
 MISS = 1e-4
+#: Members of a bucket that is not split; a larger one of n members gets sqrt(n) / SPREAD parts.
+WHOLE_BUCKET, SPREAD = 512, 8
 #: Shingle hashes that one verification tile holds.
 TILE_HASHES = 2_000_000
 
@@ -136,23 +143,29 @@ def runs(batches: Iterator[pa.RecordBatch], key: str):
 
 
 def bucket_forest(near: int, far: int):
-    """For rows (key, cls, sketch) sorted by key: a forest that joins each member of a bucket to the leaders within reach."""
+    """For rows (part, key, parts, cls, sketch) sorted by part: a forest that joins each member to the leaders within reach.
+
+    Rows out: edges (a, b), and for a bucket of several parts its leaders (a,
+    key, sketch) with a null b. A negative ``near`` makes every member a leader.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lead_ids, count = None, [], 0
         leads, group = np.empty((0, BITS // 64), U64), np.empty(0, np.int64)  # of the leaders: sketches, and what hangs together
-        last_batch, ids, sketches = None, None, None
-        for_key: list[tuple[int, int]] = []
-        for key, b, s, e in runs(batches, "key"):
+        last_batch, ids, sketches, keys, split = None, None, None, None, None
+        edges: list[tuple[int, int]] = []
+        above: list[tuple[int, int, bytes]] = []
+        for part, b, s, e in runs(batches, "part"):
             if b is not last_batch:
-                if for_key:
-                    yield _pairs(for_key)
-                    for_key = []
+                if edges or above:
+                    yield _found(edges, above)
+                    edges, above = [], []
                 last_batch = b
-                ids = b.column("cls").to_numpy(zero_copy_only=False)
+                ids, keys = (b.column(n).to_numpy(zero_copy_only=False) for n in ("cls", "key"))
+                split = b.column("parts").to_numpy(zero_copy_only=False) > 1
                 sketches = np.frombuffer(b"".join(b.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
-            if key != last:
-                last, lead_ids, count = key, [], 0
+            if part != last:
+                last, lead_ids, count = part, [], 0
             for i in range(s, e):
                 if count:
                     z = np.bitwise_count(leads[:count] ^ sketches[i]).sum(axis=1)
@@ -160,7 +173,7 @@ def bucket_forest(near: int, far: int):
                     reached = np.flatnonzero(z <= far)
                     reached = reached[np.unique(group[reached], return_index=True)[1]]
                     for j in reached:
-                        for_key.append((int(ids[i]), int(lead_ids[j])))
+                        edges.append((int(ids[i]), int(lead_ids[j])))
                     if len(reached) > 1:
                         group[:count][np.isin(group[:count], group[reached])] = group[reached[0]]
                     if (z <= near).any():
@@ -172,12 +185,25 @@ def bucket_forest(near: int, far: int):
                 group[count] = group[reached[0]] if count and len(reached) else count
                 lead_ids.append(ids[i])
                 count += 1
-        if for_key:
-            yield _pairs(for_key)
+                if split[i]:
+                    above.append((int(ids[i]), int(keys[i]), sketches[i].tobytes()))
+        if edges or above:
+            yield _found(edges, above)
 
     return run
 
 
+#: Rows of ``bucket_forest``.
+FOUND = "a long, b long, key long, sketch binary"
+
+
+def _found(edges: list[tuple[int, int]], above: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    e = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+    ids, keys, sketches = (list(x) for x in zip(*above, strict=True)) if above else ([], [], [])
+    none = [None] * len(e)
+    return pa.RecordBatch.from_arrays([pa.array([*e[:, 0].tolist(), *ids], pa.int64()), pa.array([*e[:, 1].tolist(), *[None] * len(ids)], pa.int64()), pa.array(none + keys, pa.int64()), pa.array(none + sketches, pa.binary())], names=["a", "b", "key", "sketch"])
+
+
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
@@ -257,9 +283,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     one = f.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     one = written(one, "classes")
     keys = one.select("cls", F.explode("bands").alias("key"))
-    keys = keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1").drop("many")
-    buckets = keys.join(one.select("cls", "sketch", "n"), "cls").repartition("key").sortWithinPartitions("key", "n", "cls")
-    edges = buckets.select("key", "cls", "sketch").mapInArrow(bucket_forest(near, far), "a long, b long").distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    parts = F.when(F.col("many") > WHOLE_BUCKET, F.ceil(F.sqrt("many") / SPREAD)).otherwise(1).cast("int")
+    keys = keys.join(sizes.select("key", parts.alias("parts")), "key")
+    part = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.col("parts")))).otherwise(F.col("key"))
+    buckets = keys.withColumn("part", part).join(one.select("cls", "sketch", "n"), "cls").repartition("part").sortWithinPartitions("part", "n", "cls")
+    columns = ["part", "key", "parts", "cls", "sketch"]
+    found = written(buckets.select(columns).mapInArrow(bucket_forest(near, far), FOUND), "forest")
+    heads = found.where("b is null").select(F.col("key").alias("part"), "key", F.lit(1).alias("parts"), F.col("a").alias("cls"), "sketch")
+    across = heads.repartition("part").sortWithinPartitions("part", "cls").mapInArrow(bucket_forest(-1, sketch_limit(threshold, reach=3.0)), FOUND)
+    edges = found.where("b is not null").unionByName(across).select("a", "b").distinct()
     group = written(components(edges), "candidates").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
     member = one.select("cls", "low", "sketch", "n").join(group, "cls")
