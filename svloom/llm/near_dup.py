@@ -8,7 +8,8 @@ it a high Jaccard similarity, precisely (Mitzenmacher, Pagh, Pham 2014).
 
 Plan: features per document -> classes of equal sets -> bands over classes ->
 candidate forest per bucket, judged by odd sketches -> candidate components ->
-exact check of shingle sets inside each component -> components of the links.
+exact check of shingle sets inside each component, large ones in tiles ->
+components of the links.
 
 Equal sets are one class, so thousands of copies cost one entry. In a bucket,
 members are compared with *leaders* only: Jaccard distance is a metric, so if x
@@ -41,8 +42,8 @@ SAMPLES, BITS = 128, 512
 MISS = 1e-4
 #: Members of a bucket that is not split; a larger one of n members gets sqrt(n) / SPREAD parts.
 WHOLE_BUCKET, SPREAD = 512, 8
-#: Shingle hashes that one verification tile holds.
-TILE_HASHES = 2_000_000
+#: Shingle hashes and texts that one verification tile holds, and stragglers of a split group in one (see ``tiled_links``).
+TILE_HASHES, TILE_ROWS, TILE_REST = 2_000_000, 512, 4096
 
 
 def bands_for(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> tuple[int, int]:
@@ -218,16 +219,16 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def tile_links(k: int, num: int, den: int, near: int):
-    """For rows (tile, cls, sketch, text) sorted by tile: a spanning forest of the exact links in each tile."""
+    """For rows (tile, cls, sketch, piece, text) sorted by tile: exact links in each tile that join its pieces, a forest."""
 
     def links(rows: dict[int, tuple]) -> list[tuple[int, int]]:
         ids = list(rows)
-        sets, sketches = ([rows[i][j] for i in ids] for j in range(2))
+        sets, sketches, own = ([rows[i][j] for i in ids] for j in range(3))
         order = np.argsort([len(s) for s in sets], kind="stable")
-        ids, sets = ([v[i] for i in order] for v in (ids, sets))
+        ids, sets, own = ([v[i] for i in order] for v in (ids, sets, own))
         sk = np.stack([sketches[i] for i in order])
         lens = np.array([len(s) for s in sets])
-        root, out = np.arange(len(ids)), []
+        root, out = np.unique(own, return_inverse=True)[1], []
         for i in range(1, len(ids)):
             low = int(np.searchsorted(lens[:i], -(-num * lens[i] // den)))
             z = np.bitwise_count(sk[low:i] ^ sk[i]).sum(axis=1)
@@ -244,7 +245,7 @@ def tile_links(k: int, num: int, den: int, near: int):
         last, rows = None, {}
         found: list[tuple[int, int]] = []
         for b in batches:
-            for tile, cls, sketch, text in zip(b.column("tile").to_pylist(), b.column("cls").to_pylist(), b.column("sketch").to_pylist(), as_bytes(b.column("text")), strict=True):
+            for tile, cls, sketch, piece, text in zip(*(b.column(n).to_pylist() for n in ("tile", "cls", "sketch", "piece")), as_bytes(b.column("text")), strict=True):
                 if tile != last:
                     found += links(rows) if len(rows) > 1 else []
                     last, rows = tile, {}
@@ -252,7 +253,7 @@ def tile_links(k: int, num: int, den: int, near: int):
                     own = shingle_set(text, k)
                     # a repeated doc_id may bring another text: it is not this class
                     if len(own) and int(signed(class_of(own, np.array([0])))[0]) == cls:
-                        rows[cls] = (own, np.frombuffer(sketch, U64))
+                        rows[cls] = (own, np.frombuffer(sketch, U64), piece)
             if found:
                 yield _pairs(found)
                 found = []
@@ -263,6 +264,43 @@ def tile_links(k: int, num: int, den: int, near: int):
     return run
 
 
+def tiled_links(member: DataFrame, texts: DataFrame, links) -> DataFrame:
+    """(node, component) of the exact links inside the candidate groups; ``member``: cls, low, sketch, n, grp.
+
+    A large group is split into tiles, and three of its members join every tile,
+    so that near copies of one text hang together after the tiles alone. What
+    then is not in a group's largest piece, its stragglers, meets all members,
+    tile by tile; members of the largest piece need not meet again. So the work
+    is linear in the near copies of a text, and no link between pieces is lost.
+    """
+    tiles = F.floor(F.greatest(F.sum("n") / TILE_HASHES, F.count("*") / TILE_ROWS)) + 1
+    hubs = F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))
+    groups = member.groupBy("grp").agg(tiles.cast("int").alias("tiles"), hubs.alias("hubs"))
+    member = written(member.join(groups, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")), "members")
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = rows.select("low", "cls", "sketch", "tile", "piece").join(texts, "low").repartition("tile").sortWithinPartitions("tile", "cls")
+        return rows.select("tile", "cls", "sketch", "piece", "text").mapInArrow(links, "a long, b long")
+
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inside = member.withColumn("at", F.explode(F.when(F.array_contains("hubs", F.col("cls")), every("tiles")).otherwise(F.array("own"))))
+    comp = written(components(found(inside.select("*", F.xxhash64("grp", "at").alias("tile"), F.col("cls").alias("piece")))), "inside")
+
+    split = member.where("tiles > 1").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("piece", F.coalesce("component", "cls"))
+    pieces_ = split.groupBy("grp", "piece").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"))
+    rest = pieces_.groupBy("grp").agg(F.max(F.struct("k", "piece", "hashes")).alias("main"), F.sum("k").alias("k"), F.sum("hashes").alias("hashes")).where("k > main.k")
+    rests = F.floor(F.greatest((F.col("k") - F.col("main.k")) / TILE_REST, (F.col("hashes") - F.col("main.hashes")) / TILE_HASHES)) + 1
+    rest = rest.select("grp", F.col("main.piece").alias("main"), rests.cast("int").alias("rests"))
+    split = written(split.join(rest, "grp"), "stragglers")
+    if not split.limit(1).count():
+        return comp
+    own = F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("rests")).cast("int")
+    all_ = split.select("*", F.col("own").alias("i"), F.explode(every("rests")).alias("j"))
+    again = split.where("piece <> main").select("*", F.explode(every("tiles")).alias("i"), own.alias("j"))
+    more = found(all_.unionByName(again).withColumn("tile", F.xxhash64("grp", "i", "j")))
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -296,15 +334,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     group = written(components(edges), "candidates").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
     member = one.select("cls", "low", "sketch", "n").join(group, "cls")
-    tiles = member.groupBy("grp").agg((F.floor(F.sum("n") / TILE_HASHES) + 1).cast("int").alias("tiles"))
-    member = member.join(tiles, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    # every pair of tiles meets once: tile (i, j) with i <= j holds the members of both
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    member = member.withColumn("tile", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
     slim = docs.select(docs[doc_id].cast("long").alias("low"), docs[text].cast("string").alias("text"))
-    rows = member.select("low", "cls", "sketch", "tile").join(slim, "low").repartition("tile").sortWithinPartitions("tile", "cls")
-    links = rows.select("tile", "cls", "sketch", "text").mapInArrow(tile_links(k, num, den, near), "a long, b long")
-    comp = components(links).select(F.col("node").alias("cls"), "component")
+    comp = tiled_links(member, slim, tile_links(k, num, den, near)).select(F.col("node").alias("cls"), "component")
     named = one.select("cls", "low").join(comp, "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(least, "component").select("cls", "component_id")
