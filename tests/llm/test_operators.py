@@ -343,8 +343,6 @@ def test_seating_follows_the_restaurant():
 def test_near_duplicates(spark, docs, monkeypatch, k, num, den, whole):
     monkeypatch.setattr(near_dup, "WHOLE_BUCKET", whole)
     monkeypatch.setattr(near_dup, "SPREAD", 2)
-    monkeypatch.setattr(near_dup, "TILE_ROWS", whole)
-    monkeypatch.setattr(near_dup, "TILE_REST", whole)
     rows = docs.select("doc_id", "text").collect()
     base = rows[3]["text"] + " " + rows[7]["text"]
     words = base.split()
