@@ -11,8 +11,8 @@ from ..functions.score import fisher, log_poisson_sf, phred
 from ..operators import calls, estimate, filters, links, regions, stats
 from ..operators.filters import Library
 from ..options import Options
-from ..sinks import bed_lines, call_lines, header_lines, supporting
-from ..sources import config
+from ..sinks import bed_lines, call_lines, fastq_records, header_lines, support_text, supporting
+from ..sources import alignments, config
 from ..sources.reads import reads_from_orders
 from ..streaming.sessions import region_sessions
 from . import sql
@@ -262,10 +262,10 @@ def p1_p3_scores(spark, sf_dir):
     return s.select("ea", "eb", F.round("log_p", 6).alias("log_p"), phred(c("log_p")).alias("score"))
 
 
-@query("WITH t AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS k, round(l_extendedprice / 1000) + 0.5::DOUBLE AS lam FROM lineitem), u AS (SELECT k, lam, " + sql.TAIL + " AS log_p FROM t) SELECT k, lam, round(log_p, 6) AS log_p FROM u WHERE log_p > -25")
+@query("WITH t AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS k, round(l_extendedprice / 1000) + 0.5::DOUBLE AS lam FROM lineitem), u AS (SELECT k, lam, " + sql.TAIL + " AS log_p FROM t) SELECT k, lam, round(log_p, 6) + 0 AS log_p FROM u WHERE log_p > -25")
 def p1_poisson_tail(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(c("l_quantity").cast("int").alias("k"), (F.round(c("l_extendedprice") / 1000) + 0.5).alias("lam")).distinct()
-    return t.withColumn("log_p", log_poisson_sf(c("k"), c("lam"))).where("log_p > -25").withColumn("log_p", F.round("log_p", 6))
+    return t.withColumn("log_p", log_poisson_sf(c("k"), c("lam"))).where("log_p > -25").withColumn("log_p", F.round("log_p", 6) + F.lit(0.0))
 
 
 @query("WITH t AS (SELECT DISTINCT l_linenumber AS n, -round(l_extendedprice / 1000) AS s FROM lineitem) SELECT n, s, round(greatest(-99, s + ln(list_sum(list_transform(range(0, n), lambda i: exp(i * ln(-s) - lgamma(i + 1)))))), 6) AS log_q FROM t WHERE s < 0")
@@ -386,6 +386,63 @@ def p14_p15_normality(spark, sf_dir):
     return estimate.normality(estimate.usable(legacy(spark, sf_dir)))
 
 
+@query("WITH" + sql.reads(True) + """ SELECT qname || chr(9) || flag || chr(9) || CASE WHEN tid < 0 THEN '*' ELSE 'chr' || (tid + 1) END || chr(9) || (pos + 1) || chr(9) || mapq || chr(9) || qlen || 'M' || chr(9)
+  || CASE WHEN tid = mtid AND tid >= 0 THEN '=' WHEN mtid < 0 THEN '*' ELSE 'chr' || (mtid + 1) END || chr(9) || (mpos + 1) || chr(9) || isize || chr(9) || repeat('A', qlen) || chr(9) || '*'
+  || coalesce(chr(9) || 'RG:Z:' || rg, '') || coalesce(chr(9) || 'AM:i:' || am, '') AS value FROM reads""")
+def s5_sam_text(spark, sf_dir):
+    contig = lambda t: F.when(c(t) >= 0, F.concat(F.lit("chr"), (c(t) + 1).cast("string"))).otherwise("*")
+    more = {"contig": contig("tid"), "mcontig": contig("mtid"), "cigar": F.concat(c("qlen").cast("string"), F.lit("M")), "seq": F.repeat(F.lit("A"), c("qlen")), "qual": F.lit(None).cast("binary")}
+    return alignments.sam_lines(reads_from_orders(spark, sf_dir, True).withColumns(more))
+
+
+@query(plain(sql.VOTES, """, ends AS (SELECT two.qname, mate, two.lib, two.cls, k, qlen, x.flag FROM two JOIN pairs p ON p.qname = two.qname AND two.c = 2 JOIN win x ON x.ea = p.a AND x.eb = p.b)
+SELECT lib, CAST(k AS INTEGER) AS file, '@' || qname || chr(10) || repeat('ACGT', qlen // 4) || chr(10) || '+' || chr(10) || CASE WHEN mate = 1 THEN repeat('I', qlen // 4 * 4) ELSE '' END AS value FROM ends WHERE cls = flag"""))
+def s11_s13_fastq_text(spark, sf_dir):
+    o = by_edge(analysis(spark, sf_dir))
+    found = calls.flag_votes(o).where("flag_pairs >= 2").select("ea", "eb", "flag", "flush", "rank", *[F.lit(0).alias(n) for n in ("type", "size", "pos1", "pos2", "tid1")])
+    size = F.expr("qlen div 4").cast("int")
+    qual = F.when(c("mate") == 1, F.encode(F.repeat(F.lit("I"), size * 4), "utf-8"))
+    bases = reads_from_orders(spark, sf_dir).select("qname", "mate", F.repeat(F.lit("ACGT"), size).alias("seq"), qual.alias("qual"))
+    return fastq_records(supporting(o, found), bases)
+
+
+@query(plain(sql.PAIRS, " SELECT qname, mate, region FROM rr JOIN big USING (region)"))
+def g2_g3_region_reads(spark, sf_dir):
+    return analysis(spark, sf_dir).region_reads.select("qname", "mate", "region")
+
+
+@query(plain(sql.ISLANDS, " SELECT region, tid, s AS start, e AS \"end\", n AS reads, fwd, bwd AS rev, max_len FROM reg"))
+def s15_region_summary(spark, sf_dir):
+    return analysis(spark, sf_dir).regions.select("region", "tid", "start", "end", c("n").alias("reads"), "fwd", "rev", "max_len")
+
+
+@query(plain(sql.ISLANDS, ", last AS (SELECT max_len FROM it ORDER BY island DESC LIMIT 1), shut AS (SELECT region // 101 AS flush, max(CASE WHEN region % 101 = 100 THEN max_len END) AS own FROM reg GROUP BY 1) SELECT CAST(flush AS BIGINT) AS flush, CAST(coalesce(own, (SELECT max_len FROM last)) AS INTEGER) AS pad FROM shut"))
+def p6_pad_lengths(spark, sf_dir):
+    a = analysis(spark, sf_dir)
+    return calls.pad_lengths(a.table, a.regions, a.opts)
+
+
+@query(plain(sql.VOTES, ", byfile AS (SELECT ea, eb, bam_file, CAST(sum(n) AS BIGINT) AS n FROM sup GROUP BY ALL) SELECT ea, eb, string_agg(bam_file || '|' || n, ':' ORDER BY bam_file) AS support FROM byfile GROUP BY ea, eb"))
+def p11_support_text(spark, sf_dir):
+    lists = a12_evidence_by_file(spark, sf_dir).groupBy("ea", "eb").agg(F.array_sort(F.collect_list(F.struct("key", "reads"))).alias("support"))
+    return lists.select("ea", "eb", support_text().alias("support"))
+
+
+@query(SQL["p1_p3_scores"].replace("SELECT ea, eb, round(sum(", "SELECT * FROM (SELECT ea, eb, round(sum(") + ") WHERE score > 30")
+def f16_score_filter(spark, sf_dir):
+    return p1_p3_scores(spark, sf_dir).where(c("score") > Options().score_threshold)
+
+
+@query(SIDES + """, len AS (SELECT lib, avg(qlen) AS readlen FROM leg GROUP BY lib) SELECT concat_ws(chr(9), 'readgroup:' || lib, 'platform:illumina', 'map:' || lib || '.bam', printf('readlen:%.2f', readlen), 'lib:' || lib, 'num:' || n,
+  printf('lower:%.2f', greatest(0, st.mean - 4 * sd_below)), printf('upper:%.2f', st.mean + 4 * sd_above), printf('mean:%.2f', st.mean), printf('std:%.2f', st.std), 'exe:samtools view') AS value FROM sd JOIN st USING (lib) JOIN len USING (lib)""")
+def s18_estimated_config_text(spark, sf_dir):
+    d = legacy(spark, sf_dir)
+    obs = estimate.usable(d)
+    first = estimate.insert_stats(obs)
+    x = estimate.cutoffs(estimate.one_sided(obs, first.drop("n"))).select("lib", "lower", "upper").join(first.select("lib", "n", "mean", "std"), "lib").join(estimate.read_lengths(d), "lib")
+    return estimate.config_lines(x.withColumns({"rg": c("lib"), "bam_file": F.concat("lib", F.lit(".bam"))}))
+
+
 #: Configuration lines made from ``supplier``: odd ones lack cutoffs, name a sample only, or bring a quality.
 CONFIG_SQL = """line AS (SELECT s_suppkey - 1 AS line_no, s_suppkey AS k,
   'readgroup:rg' || s_suppkey || chr(9) || 'platform:illumina' || chr(9) || 'map:f' || (s_suppkey % 7) || '.bam' || chr(9) || 'readlen:' || (50 + s_suppkey % 3) || chr(9)
