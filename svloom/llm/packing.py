@@ -1,12 +1,15 @@
 """Packing documents into windows by lexical retrieval.
 
-Each document is cut into full windows and a tail. Tails are dealt by hash into
-shards of bounded size; a shard builds a BM25 inverted index over the tokens of
-its tails. The first unused tail seeds a window, its terms query the index, and
-the best unused neighbours fill the window greedily; the last one is cut where
-the window ends and what is left of it stays in the pool. The one window that a
-shard cannot fill is cut into windows whose lengths are powers of two, which
-need no padding.
+Each document is cut into full windows and a tail. BM25's document frequencies
+and mean length are those of all tails. Packing goes in rounds over the pool of
+unused tails: a part of them, chosen by hash, seed a window each and query the
+index of all others, which lies in shards; every seed meets every shard, and the
+best hits are merged. A tail goes to the seed that scores it highest, a seed
+takes its tails best first until the window is full, and the last one is cut;
+what is left of it and what an unfilled seed won stay in the pool. The last
+pool, of bounded size, is filled one seed after the other; its last window is
+cut into windows whose lengths are powers of two, which need no padding.
+The search is exact, so its work is the product of seeds and tails.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..ship import ship
-from .common import pieces, written
+from .common import U64, mixed, pieces, written
 
-#: Tokens of a window; tails in a shard (mean); BM25's saturation and length parameters.
-WINDOW, SHARD_TAILS, K1, B = 1024, 1024, 1.2, 0.75
+#: Tokens of a window; BM25's saturation and length parameters.
+WINDOW, K1, B = 1024, 1.2, 0.75
+#: Tails of the last pool at most; of an index shard (mean); a round's seeds are one in so many; hits of a seed in the first round.
+LAST_TAILS, SHARD_TAILS, SEEDS, HITS = 2048, 16_384, 4, 8
+#: Most frequent terms, whose weights are a matrix; queries scored at once.
+DENSE, QUERIES = 1024, 256
 
 
 class Encoder:
@@ -98,38 +105,70 @@ def cut(docs: DataFrame, tokenizer: str | None, window: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+class Statistics:
+    """Number and mean length of tails, and how many hold each token."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, mean
+        # a term of more than half the tails tells nothing: BM25's inverse frequency is not positive
+        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
+        self.terms, self.idf = terms[idf > 0], idf[idf > 0]
+        # columns of the matrix: the most frequent of the terms that tell something
+        self.dense = np.sort(np.argsort(self.idf, kind="stable")[:DENSE])
+
+    @classmethod
+    def of(cls, tails: list[np.ndarray]) -> Statistics:
+        terms, df = np.unique(np.concatenate([np.unique(t) for t in tails]), return_counts=True)
+        return cls(len(tails), float(np.mean([len(t) for t in tails])), terms, df)
+
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms tell something, and their numbers."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        ok = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        return ok, at[ok]
+
+
 class Index:
-    """BM25 inverted index over the distinct tokens of the shard's tails."""
+    """BM25 inverted index over the distinct tokens of some tails; statistics: of all tails (default: of these)."""
 
-    def __init__(self, tails: list[np.ndarray]):
-        n = len(tails)
+    def __init__(self, tails: list[np.ndarray], statistics: Statistics | None = None):
+        s = self.statistics = statistics or Statistics.of(tails)
+        self.n = len(tails)
         terms, tf = zip(*(np.unique(t, return_counts=True) for t in tails), strict=True)
         size = np.array([len(t) for t in tails], float)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(tf)
-        self.vocabulary, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        # a term of more than half the tails tells nothing: BM25's inverse frequency is not positive
-        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
-        self.n, self.terms = n, np.split(term, np.cumsum([len(t) for t in terms])[:-1])
-        keep = weight > 0
-        doc, term, weight = doc[keep], term[keep], weight[keep]
+        doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        flat, tf = np.concatenate(terms), np.concatenate(tf)
+        keep, term = s.known(flat)
+        doc, tf = doc[keep], tf[keep]
+        weight = s.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / s.mean))
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, self.n)))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        self.first = np.searchsorted(term[order], np.arange(len(s.terms) + 1))
 
     def scores(self, i: int) -> np.ndarray:
         """Score of every tail for tail i's distinct terms."""
-        t = self.terms[i]
+        return self.sums(self.terms[i])
+
+    def sums(self, t: np.ndarray) -> np.ndarray:
+        """Sums of the weights of terms ``t`` for every tail."""
         lo, n = self.first[t], self.first[t + 1] - self.first[t]
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
+    def matrix(self) -> np.ndarray:
+        """Weights of the dense terms, a column for each tail."""
+        m = np.zeros((len(self.statistics.dense), self.n), np.float32)
+        for row, t in enumerate(self.statistics.dense):
+            at = slice(self.first[t], self.first[t + 1])
+            m[row, self.doc[at]] = self.weight[at]
+        return m
+
 
-def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (tail, from, to); every window is full but those of powers of two at the end."""
-    index = Index(tails)
-    begun, size = np.zeros(len(tails), np.int64), np.array([len(t) for t in tails])
+def fill(tails: list[np.ndarray], window: int, statistics: Statistics | None = None, begun: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
+    """Windows as lists of (tail, from, to); every window is full but those of powers of two at the end. begun: where the unused part of each tail begins."""
+    index = Index(tails, statistics)
+    begun, size = np.zeros(len(tails), np.int64) if begun is None else begun.copy(), np.array([len(t) for t in tails])
     unused = np.ones(len(tails), bool)
     seed, out = 0, []
     while True:
@@ -171,37 +210,140 @@ def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
     return out
 
 
-def packed_shards(window: int):
-    """For rows (shard, doc_id, start, doc_tokens, ids) sorted by shard: the pieces with their windows."""
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
 
-    def pack(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        tails = [np.frombuffer(r[3], "<u4") for r in rows]
+def packed_last(window: int, statistics: Statistics):
+    """For the rows (key, doc_id, start, doc_tokens, ids, begun) of the last pool, in one partition: the pieces with their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        tails = [np.frombuffer(r["ids"], "<u4") for r in rows]
         found = []
-        for n, parts in enumerate(fill(tails, window)):
+        for n, parts in enumerate(fill(tails, window, statistics, np.array([r["begun"] for r in rows]))):
             offset = 0
             for j, s, e in parts:
-                doc_id, start, doc_tokens, _ = rows[j]
-                found.append((doc_id, start + s, e - s, crc(tails[j][s:e]), doc_tokens, 2 * (shard * SHARD_SEQUENCES + n) + 1, offset))
+                found.append((rows[j]["doc_id"], rows[j]["start"] + s, e - s, crc(tails[j][s:e]), rows[j]["doc_tokens"], 2 * (LAST_SEQUENCE + n) + 1, offset))
                 offset += e - s
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=NAMES)
+
+    return run
+
+
+#: Number of the last pool's first window; others have the key of their seed, which is less.
+LAST_SEQUENCE = 1 << 60
+
+
+def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (ids): (token, tails that hold it); token -1: number of tails, -2: their tokens."""
+    df, n, size = np.zeros(0, np.int64), 0, 0
+    for b in batches:
+        tails = [np.frombuffer(x, "<u4") for x in b.column(0).to_pylist()]
+        if tails:
+            c = np.bincount(np.concatenate([np.unique(t) for t in tails]))
+            df = np.pad(df, (0, max(0, len(c) - len(df))))
+            df[: len(c)] += c
+            n, size = n + len(tails), size + sum(map(len, tails))
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, size]))], names=["token", "n"])
+
+
+def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, ids): (key, packed differences of the distinct tokens)."""
+    for b in batches:
+        packed = [zlib.compress(np.diff(np.unique(np.frombuffer(x, "<u4")), prepend=np.uint32(0)).tobytes(), 1) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "ids"])
+
+
+def hits(statistics: Statistics, most: int):
+    """For rows (shard, seeds, key, begun, ids) sorted by them, tails (seeds 0) before queries: each query's ``most`` best tails of the shard."""
+
+    def ask(index: Index, matrix: np.ndarray, keys: np.ndarray, left: np.ndarray, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        s, rare = statistics, np.ones(len(statistics.terms), bool)
+        rare[s.dense] = False
+        column = np.zeros(len(s.terms), np.int64)
+        column[s.dense] = np.arange(len(s.dense))
+        terms = [s.known(np.cumsum(np.frombuffer(zlib.decompress(x), "<u4"), dtype=np.uint32))[1] for _, x in asked]
+        q = np.zeros((len(asked), len(s.dense)), np.float32)
+        for i, t in enumerate(terms):
+            q[i, column[t[~rare[t]]]] = 1
+        score = q @ matrix
+        for i, t in enumerate(terms):
+            score[i] += index.sums(t[rare[t]])
+        # equal tails (copies) are told apart by seed, else all seeds would want the same few
+        seeds = np.array([k for k, _ in asked])
+        n = min(most, index.n)
+        top = np.empty((len(asked), n), np.int64)
+        for i, k in enumerate(seeds):
+            score[i] *= 1 + (mixed(keys.astype(U64) ^ mixed(np.array([k], U64))) >> U64(40)).astype(np.float32) * np.float32(1e-4 / (1 << 24))
+            top[i] = np.argpartition(-score[i], n - 1)[:n]
+        at = top.ravel()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(seeds, n)), pa.array(keys[at]), pa.array(left[at]), pa.array(np.take_along_axis(score, top, 1).ravel().astype(float))], names=["seed", "key", "left", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
+        shard, tails, index, asked = None, [], None, []
         for b in batches:
-            for shard, *row in zip(*(b.column(n).to_pylist() for n in ("shard", "doc_id", "start", "doc_tokens", "ids")), strict=True):
-                if shard != last:
-                    if rows:
-                        yield pack(last, rows)
-                    last, rows = shard, []
-                rows.append(tuple(row))
-        if rows:
-            yield pack(last, rows)
+            for no, seeds, key, begun, ids in zip(*(b.column(n).to_pylist() for n in ("shard", "seeds", "key", "begun", "ids")), strict=True):
+                if no != shard:
+                    if asked:
+                        yield ask(*index, asked)
+                    shard, tails, index, asked = no, [], None, []
+                if not seeds:
+                    tails.append((key, begun, np.frombuffer(ids, "<u4")))
+                elif tails:
+                    if index is None:
+                        index = Index([t for _, _, t in tails], statistics)
+                        index = (index, index.matrix(), np.array([k for k, _, _ in tails]), np.array([len(t) - s for _, s, t in tails]))
+                    asked.append((key, ids))
+                    if len(asked) == QUERIES:
+                        yield ask(*index, asked)
+                        asked = []
+        if asked:
+            yield ask(*index, asked)
 
     return run
 
 
-#: More windows than a shard can have.
-SHARD_SEQUENCES = 1 << 24
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, start, doc_tokens, ids, begun, taken, sequence_id, offset): the pieces."""
+    for b in batches:
+        r = b.to_pydict()
+        sums = [crc(np.frombuffer(x, "<u4")[s : s + n]) for x, s, n in zip(r["ids"], r["begun"], r["taken"], strict=True)]
+        cols = (r["doc_id"], [a + s for a, s in zip(r["start"], r["begun"], strict=True)], r["taken"], sums, r["doc_tokens"], r["sequence_id"], r["offset"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=NAMES)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def matched(pool: DataFrame, n: int, number: int, most: int, statistics: Statistics, window: int) -> DataFrame:
+    """A round over the ``n`` tails of ``pool`` with ``most`` hits for a seed: its rows with taken, sequence_id and offset, null for those no full window uses."""
+    shards = -(-n // SHARD_TAILS)
+    is_seed = F.pmod(F.xxhash64(F.lit(number), "key"), F.lit(SEEDS)) == 0
+    tails = pool.where(~is_seed).select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("seeds"), "key", "begun", "ids")
+    asked = pool.where(is_seed).select("key", "ids").mapInArrow(queries, "key long, ids binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("seeds"), "key", F.lit(0).cast("long").alias("begun"), "ids")
+    met = tails.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "seeds", "key")
+    found = met.mapInArrow(hits(statistics, most), "seed long, key long, left long, score double")
+    by_seed = Window.partitionBy("seed").orderBy(F.desc("score"), "key")
+    best = found.withColumn("no", F.row_number().over(by_seed)).where(F.col("no") <= most)
+    won = best.groupBy("key").agg(F.max(F.struct("score", "seed", "left")).alias("w")).select("key", "w.seed", "w.left", "w.score")
+    own = pool.where(is_seed).select(F.col("key").alias("seed"), ((F.octet_length("ids") / 4).cast("long") - F.col("begun")).alias("own"))
+    won = won.join(own, "seed").withColumn("before", F.col("own") + F.sum("left").over(by_seed.rowsBetween(Window.unboundedPreceding, -1)))
+    won = won.withColumn("before", F.coalesce("before", "own")).withColumn("total", F.col("own") + F.sum("left").over(Window.partitionBy("seed")))
+    won = won.where((F.col("total") >= window) & (F.col("before") < window))
+    won = won.select("key", "seed", F.least(F.col("left"), window - F.col("before")).alias("taken"), F.col("before").alias("offset"), "own")
+    won = written(won, "won")
+    opened = won.where(F.col("offset") == F.col("own")).select(F.col("seed").alias("key"), "seed", F.col("own").alias("taken"), F.lit(0).cast("long").alias("offset"))
+    used = won.select("key", "seed", "taken", "offset").unionByName(opened).select("key", "taken", (2 * F.col("seed") + 1).alias("sequence_id"), "offset")
+    return written(pool.join(used, "key", "left"), "round")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,12 +359,26 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     """
     ship(docs.sparkSession)
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    parts = written(cut(slim, tokenizer, window), "pieces")
-    tails = parts.where("ids is not null")
-    shards = max(1, tails.count() // SHARD_TAILS)
-    shard = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards))
-    dealt = tails.select(shard.alias("shard"), "doc_id", "start", "doc_tokens", "ids").repartition("shard").sortWithinPartitions("shard", "doc_id", "start", "doc_tokens")
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    near = dealt.mapInArrow(packed_shards(window), ", ".join(f"{n} long" for n in names))
-    full = parts.where("ids is null").withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return full.select(names).unionByName(near.select(names))
+    parts = written(cut(slim, tokenizer, window).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    full = parts.where("ids is null").withColumn("sequence_id", 2 * F.col("key")).withColumn("offset", F.lit(0).cast("long"))
+    out = full.select(NAMES)
+    pool = parts.where("ids is not null").select("key", "doc_id", "start", "doc_tokens", "ids", F.lit(0).cast("long").alias("begun"))
+    # as many rows as the tokenizer has tokens, at most
+    df = {r["token"]: r["n"] for r in pool.select("ids").mapInArrow(document_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = df.pop(-1, 0), df.pop(-2, 0)
+    terms = sorted(df)
+    statistics = Statistics(n, tokens / max(1, n), np.array(terms, np.uint32), np.array([df[t] for t in terms], float))
+    # as the pool shrinks, seeds get more hits, so that those with the same neighbours find free ones
+    first, most, number, before = n, HITS, 0, None
+    while n > LAST_TAILS:
+        done = matched(pool, n, number, most, statistics, window)
+        found = done.where("taken is not null").mapInArrow(summed, ", ".join(f"{c} long" for c in NAMES))
+        out = out.unionByName(written(found, "windows"))
+        pool = done.withColumn("begun", F.col("begun") + F.coalesce("taken", F.lit(0))).where("begun < octet_length(ids) / 4").drop("taken", "sequence_id", "offset")
+        if before is not None:
+            removed(before)
+        left = pool.count()
+        most = max(HITS * first // max(1, left), most if left < 0.95 * n else 2 * most)
+        n, number, before = left, number + 1, done
+    last = pool.coalesce(1).sortWithinPartitions("doc_id", "start", "doc_tokens", "key")
+    return out.unionByName(last.mapInArrow(packed_last(window, statistics), ", ".join(f"{c} long" for c in NAMES)))

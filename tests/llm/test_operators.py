@@ -240,6 +240,23 @@ def test_neighbours_share_words():
     assert {int(j) % 3 for j in np.argsort(-index.scores(4))[:5]} == {1}
 
 
+def test_packing_searches_all_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "LAST_TAILS", 20)
+    monkeypatch.setattr(packing, "SHARD_TAILS", 50)
+    check_packing(packing.pack_documents(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    # 60 topics of 10 texts of 400 to 600 tokens, dealt over 12 shards: windows hold one topic, which a search of one shard can't see
+    rng = np.random.default_rng(0)
+    words = [f"{a}{b}" for a in ("table", "river", "stone", "cloud", "music") for b in range(120)]
+    rows = [(i, " ".join(rng.choice(words[10 * (i % 60) : 10 * (i % 60) + 10], int(rng.integers(180, 250))))) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(d).collect()
+    check_packing(got, rows)
+    topics = {}
+    for r in got:
+        topics.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 60)
+    assert np.mean([len(t) == 1 for t in topics.values()]) > 0.6
+
+
 # 5 top-k
 
 
