@@ -6,8 +6,8 @@ code, and <code, rotated o> its stored correction factor (RaBitQ, Gao and Long
 estimate of <o, q> with a known error bound, so only pairs whose upper
 confidence bound reaches the threshold are computed exactly.
 
-Candidates: codes are cut into bit bands; vectors of one label that agree in a
-band meet in a bucket. The number of bits grows with the logarithm of the rows
+Candidates: a band is the signs along random directions of its own; vectors of
+one label that agree in a band meet in a bucket. The number of bits grows with the logarithm of the rows
 and the number of bands with it, so that a pair at the threshold is missed by
 all bands with a probability below MISS at any size. Large buckets are cut into
 tiles and each pair of tiles is a task, so no bucket has to fit one task.
@@ -47,17 +47,18 @@ def band_plan(rows: int, cosine: float) -> tuple[int, int]:
     return bits, bands
 
 
-def band_keys(turned: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """(n, bands) hashes; band j takes ``bits`` signs at fixed pseudo-random places of the code."""
-    places = band_places(turned.shape[1], bits, bands)
-    value = (turned >= 0)[:, places] @ (1 << np.arange(bits, dtype=np.int64))
-    return mixed(value.astype(U64) ^ (np.arange(bands, dtype=U64) << U64(40))[None, :])
+@lru_cache(4)
+def directions(dim: int, bits: int, bands: int) -> np.ndarray:
+    """Independent directions, ``bits`` for each band: none is shared, so bands miss a pair independently."""
+    return np.random.default_rng(4).standard_normal((bits * bands, dim))
 
 
-@lru_cache(4)
-def band_places(code: int, bits: int, bands: int) -> np.ndarray:
-    rng = np.random.default_rng(4)
-    return np.stack([rng.choice(code, bits, replace=False) for _ in range(bands)])
+def band_keys(x: np.ndarray, bits: int, bands: int, first: int | None = None) -> np.ndarray:
+    """(n, first) hashes of the ``first`` bands (default: all); band j takes the signs of the vectors along its own directions."""
+    first = bands if first is None else first
+    turned = x @ directions(x.shape[1], bits, bands)[: bits * first].T
+    value = (turned >= 0).reshape(len(x), first, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return mixed(value.astype(U64) ^ (np.arange(first, dtype=U64) << U64(40))[None, :])
 
 
 def usable(vector: Column) -> Column:
@@ -71,14 +72,13 @@ def coded(vectors: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
     """vec_id, label, unit (packed doubles), keys of the usable vectors of length ``dim``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(dim)
         for b in batches:
             if not b.num_rows:
                 continue
             x = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, dim)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            keys = band_keys(x @ turn.T, bits, bands)
+            keys = band_keys(x, bits, bands)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(signed(keys)), pa.list_(pa.int64()))], names=["vec_id", "label", "unit", "keys"])
 
     return vectors.mapInArrow(run, "vec_id long, label string, unit binary, keys array<long>")
@@ -144,7 +144,7 @@ def tile_links(dim: int, bits: int, bands: int, cosine: float):
             exact = np.einsum("ij,ij->i", c.x[i], d.x[j]) >= cosine
             i, j = i[exact], j[exact]
             if band:
-                ki, kj = (band_keys(t.turned, bits, bands)[:, :band] for t in (c, d))
+                ki, kj = (band_keys(t.x, bits, bands, band) for t in (c, d))
                 new = np.concatenate([~(ki[i[s : s + 65536]] == kj[j[s : s + 65536]]).any(axis=1) for s in range(0, len(i), 65536)] or [np.empty(0, bool)])
             else:
                 new = np.ones(len(i), bool)

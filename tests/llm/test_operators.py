@@ -1,5 +1,6 @@
 """The ten operators: brute force on small tables, and their edge cases."""
 
+import math
 import random
 import zlib
 
@@ -176,6 +177,19 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     assert embedding_dup.embedding_near_duplicates(d.limit(0)).count() == 0
 
 
+def test_bands_of_large_plans_miss_as_seldom_as_promised():
+    rng = np.random.default_rng(5)
+    bits, bands = embedding_dup.band_plan(10_000_000, 0.98)
+    missed = 0
+    for _ in range(20):
+        x, y = rng.normal(size=(2, 2000, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y -= (x * y).sum(axis=1)[:, None] * x
+        y = 0.98 * x + math.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+        missed += (embedding_dup.band_keys(x, bits, bands) != embedding_dup.band_keys(y, bits, bands)).all(axis=1).sum()
+    assert missed <= 15  # 4 expected of 40,000
+
+
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 64))
