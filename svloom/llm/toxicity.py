@@ -11,6 +11,7 @@ labelled documents that had no part in the dictionaries.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 3000, 6000, 20_000
 GRAM, TELLING = 5, ((20, 4), (3, 6))
 #: Bytes of the dictionaries; of a window and of its overlap with the next.
 TOXIC_DICT, ORDINARY_DICT, WINDOW, OVERLAP = 8192, 32_768, 64, 16
+#: Bytes of the smallest dictionary that zstandard trains.
+LEAST_DICT = 256
 
 
 def plain(text: str | None) -> bytes:
@@ -77,14 +80,24 @@ def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float, error
 
 
 def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """Content of a trained dictionary; few or short samples: these themselves, as far as they go."""
-    total = sum(map(len, samples))
-    try:
-        if total < 4 * size:
-            raise zstandard.ZstdError
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+    """Content of a dictionary trained at any size of the samples (of few: a smaller one); empty where zstandard can train none."""
+    n = min(size, sum(map(len, samples)) // 4)
+    while n >= LEAST_DICT:
+        try:
+            return zstandard.train_dictionary(n, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            n //= 2
+    return b""
+
+
+def completed(trained: bytes, samples: list[bytes], size: int) -> bytes:
+    """The trained content, and before it what of the samples it lacks, the most frequent first, as far as there is room."""
+    kept, room = [], size - len(trained)
+    for s, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+        if len(s) <= room and s not in trained:
+            kept.append(s)
+            room -= len(s)
+    return b"".join(kept[::-1]) + trained
 
 
 class Model:
@@ -111,8 +124,10 @@ class Model:
         self.toxic = []
         for ratio, errors in TELLING:
             words = telling_words(toxic, ordinary, ratio, errors)
-            self.toxic.append(dictionary([b"".join(words[i : i + 8]) for i in range(0, len(words), 8)], TOXIC_DICT, 32))
-        self.ordinary = dictionary([t[i : i + 256] for t in ordinary[::3] for i in range(0, len(t), 256)], ORDINARY_DICT, 256)
+            samples = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+            self.toxic.append(completed(dictionary(samples, TOXIC_DICT, 32), words, TOXIC_DICT))
+        samples = [t[i : i + 256] for t in ordinary[::3] for i in range(0, len(t), 256)]
+        self.ordinary = dictionary(samples, ORDINARY_DICT, 256) or completed(b"", samples, ORDINARY_DICT)
 
     def all(self) -> tuple:
         if "compressors" not in self.__dict__:

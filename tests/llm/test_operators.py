@@ -458,6 +458,17 @@ def test_toxicity(spark):
     assert all(0 <= x["score"] <= 1 for x in toxicity.score(d, real).collect())
 
 
+def test_dictionaries_are_trained_at_every_size():
+    words = [f" word{i:03d}{'xyz'[i % 3]} ".encode() for i in range(150)]
+    samples = [b"".join(words[(7 * i + j) % 150] for j in range(8)) for i in range(140)]
+    assert sum(map(len, samples)) < 4 * toxicity.TOXIC_DICT
+    made = toxicity.dictionary(samples, toxicity.TOXIC_DICT, 32)
+    assert made[:4] == b"\x37\xa4\x30\xec"  # a trained dictionary's magic number
+    whole = toxicity.completed(made, words * 8, toxicity.TOXIC_DICT)
+    assert len(whole) <= toxicity.TOXIC_DICT and all(w in whole for w in words)
+    assert toxicity.dictionary([b"ab "], toxicity.TOXIC_DICT, 32) == b"" and toxicity.completed(b"", [b"ab "], 8192) == b"ab "
+
+
 def test_frequent_words_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HELD_WORDS", 3)
     d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(90)], "doc_id long, text string").repartition(5)
