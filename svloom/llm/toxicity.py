@@ -23,8 +23,8 @@ from ..ship import ship
 from .common import U64, pieces
 from .language import fold
 
-#: Labelled documents to learn from, by label (expected number), and characters of a document that may be learned from.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 3000, 6000, 20_000
+#: Labelled documents to learn from, by label, and the bytes they may have by label (expected numbers; each is taken whole).
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 6000, 32 << 20
 #: Bytes of the n-grams; for either toxic dictionary, times an n-gram must be more frequent in toxic documents, and by how many standard errors.
 GRAM, TELLING = 5, ((20, 4), (3, 6))
 #: Bytes of the dictionaries; of a window and of its overlap with the next.
@@ -174,19 +174,26 @@ class Model:
 def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold_n: int | None = None, held: int | None = None) -> Model:
     """A model from labelled documents; of ``fold_n`` folds of the id, ``held`` is left out.
 
-    About TOXIC_SAMPLE and ORDINARY_SAMPLE documents are chosen by a hash of the
-    id, each with SAMPLE_CHARS characters at most; only they come to the driver.
+    About TOXIC_SAMPLE and ORDINARY_SAMPLE documents, fewer where these would
+    have more than SAMPLE_BYTES, are chosen by a hash of the id, each whole;
+    only they come to the driver.
     """
     ship(docs.sparkSession)
     l = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[toxic].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if fold_n:
         l = l.where(fold(F.col("doc_id"), fold_n) != held)
+    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).where("text is not null")
     n = {r["toxic"]: r["n"] for r in l.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, TOXIC_SAMPLE / max(1, n.get(1, 0))).otherwise(ORDINARY_SAMPLE / max(1, n.get(0, 0)))
-    l = l.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
-    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.substring(docs[text].cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    chance = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    share = {k: most / max(1, n.get(k, 0)) for k, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))}
+    part = lambda: F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    l = l.where(chance < part())
+    sizes = d.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(l), "doc_id").groupBy("toxic").agg(F.sum("size").alias("size")).collect()
+    for r in sizes:
+        share[r["toxic"]] = min(1.0, share[r["toxic"]]) * min(1.0, SAMPLE_BYTES / max(1, r["size"]))
+    l = l.where(chance < part())
     # the labelled sample is small by its parameters: its ids are broadcast
-    rows = d.join(F.broadcast(l), "doc_id").where("text is not null").select("toxic", "text").toLocalIterator()
+    rows = d.join(F.broadcast(l), "doc_id").select("toxic", "text").toLocalIterator()
     texts: dict[int, list[str]] = {0: [], 1: []}
     for r in rows:
         texts[r["toxic"]].append(r["text"])

@@ -469,6 +469,20 @@ def test_dictionaries_are_trained_at_every_size():
     assert toxicity.dictionary([b"ab "], toxicity.TOXIC_DICT, 32) == b"" and toxicity.completed(b"", [b"ab "], 8192) == b"ab "
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: seen.update({1: toxic, 0: ordinary}))
+    rows = [(i, f"{i} " + "plain words " * (3000 if i % 2 else 10) + "end") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    toxicity.trained(d, labels)
+    assert seen[1] == sorted(t for i, t in rows if i < 20) and seen[0] == sorted(t for i, t in rows if i >= 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
+    toxicity.trained(d, labels)
+    texts = {t for _, t in rows}
+    assert all(0 < len(seen[k]) < 20 and texts.issuperset(seen[k]) for k in (0, 1))
+
+
 def test_frequent_words_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HELD_WORDS", 3)
     d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(90)], "doc_id long, text string").repartition(5)
