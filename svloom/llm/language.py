@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..ship import ship
 from .common import U64, pieces
 
-#: Labelled documents to learn from for each language (expected number); n-gram buckets; n-grams kept; languages told apart at most.
-SAMPLE, BUCKETS, KEPT, LANGUAGES = 4000, 1 << 14, 2048, 64
+#: Labelled documents to learn from for each language (expected number); n-gram buckets; n-grams kept; languages at most, beyond it is an error (their counts are 128 MB then).
+SAMPLE, BUCKETS, KEPT, LANGUAGES = 4000, 1 << 14, 2048, 1024
 #: Rounds of expectation-maximisation; penalty for a further language, in log likelihood per ln(n-grams).
 ROUNDS, PENALTY = 15, 3.0
 
@@ -108,13 +108,15 @@ def trained(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text:
 
     Of ``fold_n`` folds, ``held`` is left out. The counts are sums over the
     sample made by the executors; the driver gets LANGUAGES x BUCKETS numbers
-    at most. Of more languages than LANGUAGES the most frequent are learned.
+    at most. All languages are learned; more than LANGUAGES raise a ValueError.
     """
     ship(docs.sparkSession)
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).where("text is not null and lang is not null")
     if fold_n:
         d = d.where(fold(F.col("doc_id"), fold_n) != held)
-    found = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = d.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang}")
     if not found:
         return Model([], np.ones((1, BUCKETS)), np.ones(1))
     names = sorted(r["lang"] for r in found)

@@ -443,6 +443,18 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in language.identify(d.limit(5), none).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(own[i % 80], 60)), f"l{i % 80:02d}") for i in range(320)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.trained(d)
+    assert len(model.languages) == 80 and np.mean([p == r[2] for p, r in zip(model.predict([r[1] for r in rows])[0], rows, strict=True)]) > 0.97
+    monkeypatch.setattr(language, "LANGUAGES", 79)
+    with pytest.raises(ValueError):
+        language.trained(d)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
