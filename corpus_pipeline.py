@@ -17,8 +17,11 @@ from svloom.llm.common import table, written
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no identifiable language: no text, no letters. Learns from the labelled rows of its input."""
-    found = language.identify(docs, language.trained(docs))
+    """Rejects what has no identifiable language: no text, no letters. Learns from the labelled rows of its input; without any, only these two are rejected."""
+    model = language.trained(docs)
+    if not model.languages:
+        return docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("\\p{L}"))
+    found = language.identify(docs, model)
     good = found.where("lang_pred <> 'und'").select("doc_id").distinct()
     return docs.join(good, "doc_id", "left_semi")
 

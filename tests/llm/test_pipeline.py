@@ -39,3 +39,9 @@ def test_run_and_odd_rows(spark):
             docs = written(stage(spark, docs, SF), "t")
         out = cp.pack(spark, docs, SF)
         assert (out.count() == 0) if empty else out.where("doc_id in (1, 2, 3, 9) or doc_id is null").count() == 0
+
+
+def test_unlabelled_texts_are_kept(spark):
+    rows = [(1, "some words", None), (2, "日本語", None), (3, "12 + 3", None), (4, None, None), (5, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in cp.keep_languages(spark, d, "").collect()) == [1, 2]
