@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-zstandard dictionaries are trained on ordinary text and on the words that set
-toxic text apart (those around byte n-grams more frequent in toxic than in
-ordinary documents): one of words hardly found elsewhere, one that also has
-words merely more frequent. Windows of a text are compressed with the ordinary
-dictionary alone and with either of the others before it; the bytes these save,
-window by window, are turned into a probability by weights calibrated on
-labelled documents that had no part in the dictionaries.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
+A window of a text is compressed with the ordinary dictionary alone and with
+both; the difference of the two lengths is its distance towards toxic text. How
+many windows of a text lie beyond a few distances, and the largest of them, are
+turned into a probability by weights calibrated on labelled documents that had
+no part in the dictionaries.
+
+Most of a toxic document is ordinary text. So the toxic dictionary is trained in
+rounds: first on all windows of the toxic texts, then on those of them whose
+distance is beyond that of nearly all ordinary windows. Windows are judged by a
+dictionary trained on the other half of the texts. A passage of three words that
+several texts repeat is learned once, so copies do not pass for a manner of
+speaking.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +25,21 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..ship import ship
-from .common import U64, pieces
+from .common import MIX_A, U64, mixed, pieces, word_hashes, written
 from .language import fold
 
 #: Labelled documents to learn from, by label, and the bytes they may have by label (expected numbers; each is taken whole).
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 6000, 32 << 20
-#: Bytes of the n-grams; for either toxic dictionary, times an n-gram must be more frequent in toxic documents, and by how many standard errors.
-GRAM, TELLING = 5, ((20, 4), (3, 6))
-#: Bytes of the dictionaries; of a window and of its overlap with the next.
-TOXIC_DICT, ORDINARY_DICT, WINDOW, OVERLAP = 8192, 32_768, 64, 16
-#: Bytes of the smallest dictionary that zstandard trains.
-LEAST_DICT = 256
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 6000, 16 << 20
+#: Bytes of the dictionaries, at most and at least; of the segments zstandard chooses for either.
+TOXIC_DICT, ORDINARY_DICT, LEAST_DICT = 8192, 110_000, 256
+TOXIC_SEGMENT, ORDINARY_SEGMENT = 20, 64
+#: Bytes of a window and of its overlap with the next; of a sample of ordinary text.
+WINDOW, OVERLAP, PIECE = 24, 10, 256
+#: Words of a passage that is learned once; rounds of the toxic dictionary; share of ordinary windows beyond a round's limit, and how many of them find it.
+PASSAGE, ROUNDS, BEYOND, JUDGED = 3, 2, 0.03, 20_000
+#: Distances beyond which windows are counted; largest distances that are features of their own.
+SHARES, COUNTS, LARGEST = (2, 4, 6), (2, 3, 4, 5, 6), 3
+FEATURES = 1 + LARGEST + len(SHARES) + len(COUNTS)
 
 
 def plain(text: str | None) -> bytes:
@@ -40,47 +49,37 @@ def plain(text: str | None) -> bytes:
     return b[np.concatenate(([True], (b[1:] != 32) | (b[:-1] != 32)))].tobytes()
 
 
-def grams(b: bytes) -> np.ndarray:
-    """Packed byte n-grams; 0 for those that run over a word's end (they may begin with its space)."""
-    a = np.frombuffer(b, np.uint8).astype(np.uint64)
-    n = max(0, len(a) - GRAM + 1)
-    code, inner = np.zeros(n, U64), np.ones(n, bool)
-    for i in range(GRAM):
-        code = code << U64(8) | a[i : n + i]
-        if i:
-            inner &= a[i : n + i] != 32
-    return np.where(inner, code, U64(0))
-
-
-def document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    seen = np.concatenate([np.unique(grams(t)) for t in texts] or [np.empty(0, U64)])
-    g, n = np.unique(seen, return_counts=True)
-    return g[g > 0], n[g > 0]
-
-
-def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float, errors: float) -> list[bytes]:
-    """Words of the toxic texts, with the spaces around them, that hold a telling n-gram."""
-    g, n = document_counts(toxic)
-    h, m = document_counts(ordinary)
-    if not len(g) or not len(h):
-        return []
-    at = np.minimum(np.searchsorted(h, g), len(h) - 1)
-    other = np.where(h[at] == g, m[at], 0)
-    p, q, both = n / len(toxic), (other + 1) / len(ordinary), (n + other + 1) / (len(toxic) + len(ordinary))
-    error = np.sqrt(both * np.maximum(1e-9, 1 - both) * (1 / len(toxic) + 1 / len(ordinary)))
-    g = g[(n >= 3) & (p > ratio * q) & (p - q > errors * error)]
-    words = []
-    for t in toxic:
-        end = -1
-        for k in np.flatnonzero(np.isin(grams(t), g)):
-            if k >= end:
-                start, end = t.rfind(b" ", 0, k + 1), t.find(b" ", k + 1)
-                words.append(t[max(0, start) : end + 1])
-    return words
+def windows(b: bytes) -> list[bytes]:
+    return [b[i : i + WINDOW + OVERLAP] for i in range(0, max(1, len(b)), WINDOW)]
+
+
+def once(texts: list[bytes]) -> list[bytes]:
+    """The texts without the words of passages that stand in them before."""
+    ws = [t.split() for t in texts]
+    h = word_hashes([w for own in ws for w in own])
+    ends = np.cumsum([len(own) for own in ws])
+    g = np.zeros(max(0, len(h) - PASSAGE + 1), U64)
+    with np.errstate(over="ignore"):
+        for i in range(PASSAGE):
+            g = mixed(g * MIX_A ^ h[i : i + len(g)])
+    _, first = np.unique(g, return_index=True)
+    again = np.ones(len(g), bool)
+    again[first] = False
+    # a passage lies within one text
+    of = np.searchsorted(ends, np.arange(len(h)), side="right")
+    again &= of[: len(g)] == of[PASSAGE - 1 :][: len(g)]
+    drop = np.zeros(len(h), bool)
+    for i in range(PASSAGE):
+        drop[i : i + len(g)] |= again
+    kept, at = [], 0
+    for own in ws:
+        kept.append(b" " + b" ".join(w for w, d in zip(own, drop[at : at + len(own)].tolist(), strict=True) if not d) + b" ")
+        at += len(own)
+    return kept
 
 
 def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """Content of a dictionary trained at any size of the samples (of few: a smaller one); empty where zstandard can train none."""
+    """A dictionary trained by zstandard, of ``size`` bytes or of a quarter of the samples' if these are fewer; empty where it can train none of LEAST_DICT."""
     n = min(size, sum(map(len, samples)) // 4)
     while n >= LEAST_DICT:
         try:
@@ -90,95 +89,94 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     return b""
 
 
-def completed(trained: bytes, samples: list[bytes], size: int) -> bytes:
-    """The trained content, and before it what of the samples it lacks, the most frequent first, as far as there is room."""
-    kept, room = [], size - len(trained)
-    for s, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
-        if len(s) <= room and s not in trained:
-            kept.append(s)
-            room -= len(s)
-    return b"".join(kept[::-1]) + trained
+class Dictionaries:
+    """A trained ordinary and a trained toxic dictionary, and the distances they give."""
 
-
-class Model:
-    """The dictionaries and the calibrated weights."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        tox, plain_ = ([*dict.fromkeys(map(plain, ts))] for ts in (toxic, ordinary))
-        self.weights, x, y = None, [], []
-        # dictionaries of one half calibrate on the other; those of all are kept
-        for k in (0, 1):
-            self.learn(tox[k::2], plain_[k::2])
-            for label, texts in ((1.0, tox[1 - k :: 2]), (0.0, plain_[1 - k :: 2])):
-                x += [self.savings(t) for t in texts]
-                y += [label] * len(texts)
-        self.learn(tox, plain_)
-        if 0 < sum(y) < len(y):
-            self.fit(np.array(x, float), np.array(y))
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "compressors"}
-
-    def learn(self, toxic: list[bytes], ordinary: list[bytes]) -> None:
-        self.__dict__.pop("compressors", None)
-        self.toxic = []
-        for ratio, errors in TELLING:
-            words = telling_words(toxic, ordinary, ratio, errors)
-            samples = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
-            self.toxic.append(completed(dictionary(samples, TOXIC_DICT, 32), words, TOXIC_DICT))
-        samples = [t[i : i + 256] for t in ordinary[::3] for i in range(0, len(t), 256)]
-        self.ordinary = dictionary(samples, ORDINARY_DICT, 256) or completed(b"", samples, ORDINARY_DICT)
-
-    def all(self) -> tuple:
-        if "compressors" not in self.__dict__:
-            p = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return {"ordinary": self.ordinary, "toxic": self.toxic}
+
+    def compressors(self) -> tuple:
+        """With the ordinary dictionary alone, and with the toxic one after it. Zeros stand for the latter in the first: so the ordinary content is equally far, and the entropy tables (the ordinary ones) are the same."""
+        if "_made" not in self.__dict__:
+            p = zstandard.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
             made = []
-            # the ordinary part ends all of them, so it is equally near in each; zeros stand before it in the first
-            for before in (b"", *self.toxic):
-                d = zstandard.ZstdCompressionDict(before.rjust(TOXIC_DICT, b"\0") + self.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            for after in (bytes(len(self.toxic)), self.toxic):
+                d = zstandard.ZstdCompressionDict(self.ordinary + after, dict_type=zstandard.DICT_TYPE_FULLDICT)
                 d.precompute_compress(compression_params=p)
                 made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
-            self.compressors = tuple(made)
-        return self.compressors
-
-    def savings(self, b: bytes) -> tuple:
-        """For either toxic dictionary the three largest savings of a window and the share of windows that save 3 bytes or more; the windows' logarithm."""
-        plain_, *others = self.all()
-        windows = [b[i : i + WINDOW + OVERLAP] for i in range(0, max(1, len(b)), WINDOW)]
-        size = [len(plain_(w)) for w in windows]
-        out = [np.log(len(windows))]
-        for c in others:
-            s = sorted((n - len(c(w)) for n, w in zip(size, windows, strict=True)), reverse=True)
-            out += [*(s + [0, 0])[:3], 20 * sum(x >= 3 for x in s) / len(s)]
-        return tuple(out)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic weights by Newton steps, lightly held near zero."""
-        self.mean, self.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-        z = np.c_[(x - self.mean) / self.spread, np.ones(len(x))]
-        w = np.zeros(z.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
-            w = w + np.linalg.solve(h, z.T @ (y - p) - 1e-2 * w)
-        self.weights = w
+            self._made = tuple(made)
+        return self._made
+
+    def distances(self, ws: list[bytes]) -> np.ndarray:
+        one, both = self.compressors()
+        return np.array([len(one(w)) - len(both(w)) for w in ws])
+
+    def features(self, b: bytes) -> np.ndarray:
+        """The windows' logarithm, the largest distances, and shares and numbers of the windows beyond some distances."""
+        s = self.distances(windows(b))
+        top = np.pad(np.sort(s)[::-1][:LARGEST], (0, max(0, LARGEST - len(s))))
+        return np.array([np.log(len(s)), *top, *(20 * (s >= v).mean() for v in SHARES), *(np.log1p((s >= v).sum()) for v in COUNTS)])
+
+
+def learn(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries | None:
+    """Dictionaries of the texts; None where there is too little text to train either."""
+    toxic, ordinary = once(toxic), once(ordinary)
+    plain_dict = dictionary([t[i : i + PIECE] for t in ordinary for i in range(0, len(t), PIECE)], ORDINARY_DICT, ORDINARY_SEGMENT)
+    halves = [[w for t in toxic[k::2] for w in windows(t)] for k in (0, 1)]
+    found = dictionary(halves[0] + halves[1], TOXIC_DICT, TOXIC_SEGMENT)
+    if not plain_dict or not found:
+        return None
+    judged = [w for t in ordinary for w in windows(t)]
+    judged = judged[:: -(-len(judged) // JUDGED)]
+    chosen = halves
+    for _ in range(ROUNDS):
+        own = [dictionary(ws, TOXIC_DICT, TOXIC_SEGMENT) for ws in chosen]
+        if not all(own):
+            break
+        chosen = []
+        for ws, other in zip(halves, own[::-1], strict=True):
+            d = Dictionaries(plain_dict, other)
+            limit = max(1, np.quantile(d.distances(judged), 1 - BEYOND))
+            chosen.append([w for w, s in zip(ws, d.distances(ws).tolist(), strict=True) if s > limit])
+        # windows too few to train on leave the dictionary as it was
+        found = dictionary(chosen[0] + chosen[1], TOXIC_DICT, TOXIC_SEGMENT) or found
+    return Dictionaries(plain_dict, found)
+
+
+class Model:
+    """Dictionaries of all texts to learn from and the weights of their features; without weights (nothing learned) every score is 0."""
+
+    def __init__(self, dictionaries: Dictionaries | None, weights: tuple | None = None):
+        self.dictionaries, self.weights = dictionaries, weights if dictionaries else None
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        x = np.array([self.savings(plain(t)) for t in texts], float).reshape(len(texts), 1 + 4 * len(TELLING))
-        z = np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights
+        mean, spread, w = self.weights
+        x = np.array([self.dictionaries.features(plain(t)) for t in texts], float).reshape(len(texts), FEATURES)
+        z = np.c_[(x - mean) / spread, np.ones(len(x))] @ w
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold_n: int | None = None, held: int | None = None) -> Model:
-    """A model from labelled documents; of ``fold_n`` folds of the id, ``held`` is left out.
+def fit(x: np.ndarray, y: np.ndarray) -> tuple | None:
+    """Mean, spread and logistic weights by Newton steps, lightly held near zero; None for one class alone."""
+    if not 0 < y.sum() < len(y):
+        return None
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.c_[(x - mean) / spread, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
+        w = w + np.linalg.solve(h, z.T @ (y - p) - 1e-2 * w)
+    return mean, spread, w
 
-    About TOXIC_SAMPLE and ORDINARY_SAMPLE documents, fewer where these would
-    have more than SAMPLE_BYTES, are chosen by a hash of the id, each whole;
-    only they come to the driver.
-    """
-    ship(docs.sparkSession)
+
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold_n: int | None = None, held: int | None = None) -> DataFrame:
+    """(half, toxic, text) of about TOXIC_SAMPLE and ORDINARY_SAMPLE labelled documents, fewer where these would have more than SAMPLE_BYTES, chosen by a hash of the id, each whole; equal texts of a label are one."""
     l = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[toxic].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if fold_n:
         l = l.where(fold(F.col("doc_id"), fold_n) != held)
@@ -193,18 +191,46 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
         share[r["toxic"]] = min(1.0, share[r["toxic"]]) * min(1.0, SAMPLE_BYTES / max(1, r["size"]))
     l = l.where(chance < part())
     # the labelled sample is small by its parameters: its ids are broadcast
-    rows = d.join(F.broadcast(l), "doc_id").select("toxic", "text").toLocalIterator()
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows:
-        texts[r["toxic"]].append(r["text"])
-    return Model(sorted(texts[1]), sorted(texts[0]))
+    rows = d.join(F.broadcast(l), "doc_id").select("toxic", "text").distinct()
+    return rows.select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "toxic", "text")
+
+
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold_n: int | None = None, held: int | None = None) -> Model:
+    """A model from a sample of the labelled documents (see ``sampled``); of ``fold_n`` folds of the id, ``held`` is left out.
+
+    Dictionaries of one half of the sample give the features on which the
+    weights of the other half's documents are calibrated; those of all are kept.
+    Only the sample comes to the driver, which trains the dictionaries; features
+    are made on the executors.
+    """
+    spark = ship(docs.sparkSession)
+    sample = written(sampled(docs, labels, doc_id, text, toxic, fold_n, held), "toxic-sample")
+    texts: dict[tuple[int, int], list[bytes]] = {(k, y): [] for k in (0, 1) for y in (0, 1)}
+    for r in sample.toLocalIterator():
+        texts[r["half"], r["toxic"]].append(plain(r["text"]))
+    for v in texts.values():
+        v.sort()
+    halves = [learn(texts[k, 1], texts[k, 0]) for k in (0, 1)]
+    whole = learn(texts[0, 1] + texts[1, 1], texts[0, 0] + texts[1, 0]) if all(halves) else None
+    if whole is None:
+        return Model(None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            x = [halves[1 - k].features(plain(t)).tolist() for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    rows = sample.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("text")).mapInArrow(run, "toxic int, x array<double>").collect()
+    rows.sort()
+    return Model(whole, fit(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: likelier toxic), predicted (1 if score >= 0.5, else 0) of every row of ``docs``.
 
     All windows of the whole text count. A null or empty text is scored as one
-    empty window; with nothing learned every score is 0. Repeated rows each get
+    empty window; with nothing learned (one label alone, or too little text to
+    train dictionaries) every score is 0. Repeated rows each get
     a row, a null doc_id stays null, an empty table gives no rows, other
     columns take no part. One scan, no shuffle.
     """

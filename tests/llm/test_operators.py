@@ -458,41 +458,70 @@ def test_all_languages_are_learned(spark, monkeypatch):
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    r = queries.op10_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
-    s, y = np.array([x["score"] for x in r]), np.array([x["toxic"] for x in r])
-    order = s.argsort().argsort()
-    auc = (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
-    assert auc > 0.9 and all(x["predicted"] == (x["score"] >= 0.5) for x in r)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = queries.op10_toxicity(spark, sf).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+
+    def auc(rows):
+        s, y = np.array([x["score"] for x in rows]), np.array([x["toxic"] for x in rows])
+        order = s.argsort().argsort()
+        return (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+
+    # the toxic words of the other languages are put together from ordinary syllables, and some 30 documents each have them
+    assert auc(r) > 0.75 and auc([x for x in r if x["lang"] == "en"]) > 0.9 and all(x["predicted"] == (x["score"] >= 0.5) for x in r)
     d = odd_docs(spark)
     model = toxicity.trained(d, labels.limit(0))
     assert {x["score"] for x in toxicity.score(d, model).collect()} == {0.0} and toxicity.score(d.limit(0), model).count() == 0
-    real = toxicity.trained(spark.read.parquet(f"{sf}/documents.parquet"), labels)
-    assert all(0 <= x["score"] <= 1 for x in toxicity.score(d, real).collect())
+
+
+def test_toxicity_against_plain_statement(spark):
+    import zstandard
+
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.trained(d, labels, fold_n=5, held=0)
+    both = model.dictionaries
+    assert both.toxic[:4] == both.ordinary[:4] == b"\x37\xa4\x30\xec"  # a trained dictionary's magic number
+    rows = [(r["doc_id"], r["text"]) for r in d.unionByName(odd_docs(spark).select(d.columns)).collect()]
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.score(d.unionByName(odd_docs(spark).select(d.columns)), model).collect())
+    p = zstandard.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = [lambda w, c=zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_FULLDICT), compression_params=p): len(c.compress(w)) for x in (both.ordinary + bytes(len(both.toxic)), both.ordinary + both.toxic)]
+    mean, spread, w = model.weights
+    want = []
+    for i, t in rows:
+        b = (" " + "".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in (t or "").lower()) + " ").encode()
+        while b"  " in b:
+            b = b.replace(b"  ", b" ")
+        s = sorted((size[0](b[k : k + 34]) - size[1](b[k : k + 34]) for k in range(0, max(1, len(b)), 24)), reverse=True)
+        x = [math.log(len(s)), *(s + [0, 0])[:3], *(20 * sum(v >= k for v in s) / len(s) for k in (2, 4, 6)), *(math.log1p(sum(v >= k for v in s)) for k in (2, 3, 4, 5, 6))]
+        want.append((i or -1, 1 / (1 + math.exp(-sum((a - m) / d * c for a, m, d, c in zip(x, mean, spread, w[:-1], strict=True)) - w[-1]))))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([s for _, s in got], [s for _, s in sorted(want)])
+    assert {0} < {round(s) for _, s in got} | {0, 1}
 
 
 def test_dictionaries_are_trained_at_every_size():
     words = [f" word{i:03d}{'xyz'[i % 3]} ".encode() for i in range(150)]
     samples = [b"".join(words[(7 * i + j) % 150] for j in range(8)) for i in range(140)]
     assert sum(map(len, samples)) < 4 * toxicity.TOXIC_DICT
-    made = toxicity.dictionary(samples, toxicity.TOXIC_DICT, 32)
-    assert made[:4] == b"\x37\xa4\x30\xec"  # a trained dictionary's magic number
-    whole = toxicity.completed(made, words * 8, toxicity.TOXIC_DICT)
-    assert len(whole) <= toxicity.TOXIC_DICT and all(w in whole for w in words)
-    assert toxicity.dictionary([b"ab "], toxicity.TOXIC_DICT, 32) == b"" and toxicity.completed(b"", [b"ab "], 8192) == b"ab "
+    made = toxicity.dictionary(samples, toxicity.TOXIC_DICT, 20)
+    assert made[:4] == b"\x37\xa4\x30\xec"
+    assert toxicity.dictionary([b"ab "], toxicity.TOXIC_DICT, 20) == b"" and toxicity.learn([b" ab "], [b" cd "]) is None
+
+
+def test_repeated_passages_are_learned_once():
+    texts = [b" a b c d e ", b" x b c d y ", b" c d ", b" d e f ", b" a b c d e ", b""]
+    assert [t.split() for t in toxicity.once(texts)] == [[*b"a b c d e".split()], [b"x", b"y"], [b"c", b"d"], [b"d", b"e", b"f"], [], []]
+    assert toxicity.once([]) == []
 
 
 def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: seen.update({1: toxic, 0: ordinary}))
     rows = [(i, f"{i} " + "plain words " * (3000 if i % 2 else 10) + "end") for i in range(40)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
-    toxicity.trained(d, labels)
-    assert seen[1] == sorted(t for i, t in rows if i < 20) and seen[0] == sorted(t for i, t in rows if i >= 20)
+    d = spark.createDataFrame([*rows, (0, rows[0][1]), (1, None), (None, "x")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    labels = spark.createDataFrame([*((i, int(i < 20)) for i in range(40)), (3, None), (None, 1), (4, 1)], "doc_id long, toxic int")
+    seen = [(r["toxic"], r["text"]) for r in toxicity.sampled(d, labels).collect()]
+    assert sorted(seen) == sorted((int(i < 20), t) for i, t in rows)
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
-    toxicity.trained(d, labels)
+    seen = [(r["toxic"], r["text"]) for r in toxicity.sampled(d, labels).collect()]
     texts = {t for _, t in rows}
-    assert all(0 < len(seen[k]) < 20 and texts.issuperset(seen[k]) for k in (0, 1))
+    assert all(0 < sum(y == k for y, _ in seen) < 20 for k in (0, 1)) and texts.issuperset(t for _, t in seen)
 
 
 def test_frequent_words_are_counted_exactly(spark, monkeypatch):
