@@ -1,36 +1,41 @@
 """Packing documents into windows by lexical retrieval.
 
-Each document is cut into full windows and a tail. BM25's document frequencies
-and mean length are those of all tails. Packing goes in rounds over the pool of
-unused tails: a part of them, chosen by hash, seed a window each and query the
-index of all others, which lies in shards; every seed meets every shard, and the
-best hits are merged. A tail goes to the seed that scores it highest, a seed
-takes its tails best first until the window is full, and the last one is cut;
-what is left of it and what an unfilled seed won stay in the pool. The last
-pool, of bounded size, is filled one seed after the other; its last window is
-cut into windows whose lengths are powers of two, which need no padding.
-The search is exact, so its work is the product of seeds and tails.
+Each document is cut into full windows and a tail. The tails are dealt into the
+shards of a BM25 inverted index; in a shard, every seed's window is filled with
+the unused tails that score highest for it, one after the other, and the last
+one is cut. What is left of a shard becomes windows whose lengths are powers of
+two, which need no padding. Document frequencies and mean length are those of
+all tails.
+
+Shards keep lexical neighbours together: a tail's terms, weighed by their
+inverse document frequency and projected to a few dimensions, fall down a tree
+of median splits that was fitted on a sample, to a leaf; a run of leaves is a
+shard. A leaf of more than SHARD_TAILS tails is split by a hash, so equal tails,
+however many, share a task no more than others. Search is exact within a shard
+and its cost linear in the tails; neighbours in other shards are not seen.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..ship import ship
 from .common import U64, mixed, pieces, written
 
 #: Tokens of a window; BM25's saturation and length parameters.
 WINDOW, K1, B = 1024, 1.2, 0.75
-#: Tails of the last pool at most; of an index shard (mean); a round's seeds are one in so many; hits of a seed in the first round.
-LAST_TAILS, SHARD_TAILS, SEEDS, HITS = 2048, 16_384, 4, 8
-#: Most frequent terms, whose weights are a matrix; queries scored at once.
-DENSE, QUERIES = 1024, 256
+#: Tails of an index shard (at most, but for the hash's spread); dimensions of the projection; leaves of the tree at most; sampled tails for each leaf.
+SHARD_TAILS, DIMENSIONS, LEAVES, LEAF_SAMPLE = 1024, 32, 65_536, 8
+#: Leaves for each shard wanted; tails projected at once.
+FINE, PROJECTED = 8, 128
 
 
 class Encoder:
@@ -113,8 +118,6 @@ class Statistics:
         # a term of more than half the tails tells nothing: BM25's inverse frequency is not positive
         idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
         self.terms, self.idf = terms[idf > 0], idf[idf > 0]
-        # columns of the matrix: the most frequent of the terms that tell something
-        self.dense = np.sort(np.argsort(self.idf, kind="stable")[:DENSE])
 
     @classmethod
     def of(cls, tails: list[np.ndarray]) -> Statistics:
@@ -156,19 +159,11 @@ class Index:
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
-    def matrix(self) -> np.ndarray:
-        """Weights of the dense terms, a column for each tail."""
-        m = np.zeros((len(self.statistics.dense), self.n), np.float32)
-        for row, t in enumerate(self.statistics.dense):
-            at = slice(self.first[t], self.first[t + 1])
-            m[row, self.doc[at]] = self.weight[at]
-        return m
 
-
-def fill(tails: list[np.ndarray], window: int, statistics: Statistics | None = None, begun: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (tail, from, to); every window is full but those of powers of two at the end. begun: where the unused part of each tail begins."""
+def fill(tails: list[np.ndarray], window: int, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
+    """Windows as lists of (tail, from, to); every window is full but those of powers of two at the end."""
     index = Index(tails, statistics)
-    begun, size = np.zeros(len(tails), np.int64) if begun is None else begun.copy(), np.array([len(t) for t in tails])
+    begun, size = np.zeros(len(tails), np.int64), np.array([len(t) for t in tails])
     unused = np.ones(len(tails), bool)
     seed, out = 0, []
     while True:
@@ -210,30 +205,39 @@ def fill(tails: list[np.ndarray], window: int, statistics: Statistics | None = N
     return out
 
 
+#: Kinds of windows, for distinct numbers: 0 one piece of a document, 1 full, others by their length's bits.
+KINDS = 64
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed_last(window: int, statistics: Statistics):
-    """For the rows (key, doc_id, start, doc_tokens, ids, begun) of the last pool, in one partition: the pieces with their windows."""
+def packed(window: int, statistics: Statistics):
+    """For the rows (shard, key, doc_id, start, doc_tokens, ids) sorted by shard: the pieces with their windows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
+    def windows(rows: list[dict]) -> pa.RecordBatch:
         tails = [np.frombuffer(r["ids"], "<u4") for r in rows]
         found = []
-        for n, parts in enumerate(fill(tails, window, statistics, np.array([r["begun"] for r in rows]))):
-            offset = 0
+        for parts in fill(tails, window, statistics):
+            offset, n = 0, sum(e - s for _, s, e in parts)
+            # named by the tail that opens it; one tail can open a full window and, of the last ones, one of each length
+            sequence = rows[parts[0][0]]["key"] * KINDS + (1 if n == window else n.bit_length() + 1)
             for j, s, e in parts:
-                found.append((rows[j]["doc_id"], rows[j]["start"] + s, e - s, crc(tails[j][s:e]), rows[j]["doc_tokens"], 2 * (LAST_SEQUENCE + n) + 1, offset))
+                found.append((rows[j]["doc_id"], rows[j]["start"] + s, e - s, crc(tails[j][s:e]), rows[j]["doc_tokens"], sequence, offset))
                 offset += e - s
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=NAMES)
-
-    return run
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=NAMES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["shard"] != shard:
+                    if rows:
+                        yield windows(rows)
+                    shard, rows = r["shard"], []
+                rows.append(r)
+        if rows:
+            yield windows(rows)
 
-#: Number of the last pool's first window; others have the key of their seed, which is less.
-LAST_SEQUENCE = 1 << 60
+    return run
 
 
 def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,100 +254,103 @@ def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, size]))], names=["token", "n"])
 
 
-def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, ids): (key, packed differences of the distinct tokens)."""
-    for b in batches:
-        packed = [zlib.compress(np.diff(np.unique(np.frombuffer(x, "<u4")), prepend=np.uint32(0)).tobytes(), 1) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "ids"])
-
-
-def hits(statistics: Statistics, most: int):
-    """For rows (shard, seeds, key, begun, ids) sorted by them, tails (seeds 0) before queries: each query's ``most`` best tails of the shard."""
-
-    def ask(index: Index, matrix: np.ndarray, keys: np.ndarray, left: np.ndarray, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        s, rare = statistics, np.ones(len(statistics.terms), bool)
-        rare[s.dense] = False
-        column = np.zeros(len(s.terms), np.int64)
-        column[s.dense] = np.arange(len(s.dense))
-        terms = [s.known(np.cumsum(np.frombuffer(zlib.decompress(x), "<u4"), dtype=np.uint32))[1] for _, x in asked]
-        q = np.zeros((len(asked), len(s.dense)), np.float32)
-        for i, t in enumerate(terms):
-            q[i, column[t[~rare[t]]]] = 1
-        score = q @ matrix
-        for i, t in enumerate(terms):
-            score[i] += index.sums(t[rare[t]])
-        # equal tails (copies) are told apart by seed, else all seeds would want the same few
-        seeds = np.array([k for k, _ in asked])
-        n = min(most, index.n)
-        top = np.empty((len(asked), n), np.int64)
-        for i, k in enumerate(seeds):
-            score[i] *= 1 + (mixed(keys.astype(U64) ^ mixed(np.array([k], U64))) >> U64(40)).astype(np.float32) * np.float32(1e-4 / (1 << 24))
-            top[i] = np.argpartition(-score[i], n - 1)[:n]
-        at = top.ravel()
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(seeds, n)), pa.array(keys[at]), pa.array(left[at]), pa.array(np.take_along_axis(score, top, 1).ravel().astype(float))], names=["seed", "key", "left", "score"])
+@lru_cache(2)
+def directions(vocabulary: int) -> np.ndarray:
+    """A random direction for each token."""
+    return np.random.default_rng(4).standard_normal((vocabulary, DIMENSIONS), np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tails, index, asked = None, [], None, []
-        for b in batches:
-            for no, seeds, key, begun, ids in zip(*(b.column(n).to_pylist() for n in ("shard", "seeds", "key", "begun", "ids")), strict=True):
-                if no != shard:
-                    if asked:
-                        yield ask(*index, asked)
-                    shard, tails, index, asked = no, [], None, []
-                if not seeds:
-                    tails.append((key, begun, np.frombuffer(ids, "<u4")))
-                elif tails:
-                    if index is None:
-                        index = Index([t for _, _, t in tails], statistics)
-                        index = (index, index.matrix(), np.array([k for k, _, _ in tails]), np.array([len(t) - s for _, s, t in tails]))
-                    asked.append((key, ids))
-                    if len(asked) == QUERIES:
-                        yield ask(*index, asked)
-                        asked = []
-        if asked:
-            yield ask(*index, asked)
+
+def projected(statistics: Statistics):
+    """Tails -> (n, DIMENSIONS) unit vectors: sums of their tokens' directions, weighed by inverse document frequency."""
+    top = int(statistics.terms[-1]) + 1 if len(statistics.terms) else 1
+    idf = np.zeros(top + 1, np.float32)
+    idf[statistics.terms] = statistics.idf
+
+    def run(tails: list[np.ndarray]) -> np.ndarray:
+        flat = np.minimum(np.concatenate(tails), top).astype(np.int64)
+        x = np.add.reduceat(directions(top + 1)[flat] * idf[flat, None], np.cumsum([0, *map(len, tails[:-1])]))
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
     return run
 
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, start, doc_tokens, ids, begun, taken, sequence_id, offset): the pieces."""
-    for b in batches:
-        r = b.to_pydict()
-        sums = [crc(np.frombuffer(x, "<u4")[s : s + n]) for x, s, n in zip(r["ids"], r["begun"], r["taken"], strict=True)]
-        cols = (r["doc_id"], [a + s for a, s in zip(r["start"], r["begun"], strict=True)], r["taken"], sums, r["doc_tokens"], r["sequence_id"], r["offset"])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=NAMES)
-
-
-def removed(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def matched(pool: DataFrame, n: int, number: int, most: int, statistics: Statistics, window: int) -> DataFrame:
-    """A round over the ``n`` tails of ``pool`` with ``most`` hits for a seed: its rows with taken, sequence_id and offset, null for those no full window uses."""
-    shards = -(-n // SHARD_TAILS)
-    is_seed = F.pmod(F.xxhash64(F.lit(number), "key"), F.lit(SEEDS)) == 0
-    tails = pool.where(~is_seed).select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("seeds"), "key", "begun", "ids")
-    asked = pool.where(is_seed).select("key", "ids").mapInArrow(queries, "key long, ids binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("seeds"), "key", F.lit(0).cast("long").alias("begun"), "ids")
-    met = tails.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "seeds", "key")
-    found = met.mapInArrow(hits(statistics, most), "seed long, key long, left long, score double")
-    by_seed = Window.partitionBy("seed").orderBy(F.desc("score"), "key")
-    best = found.withColumn("no", F.row_number().over(by_seed)).where(F.col("no") <= most)
-    won = best.groupBy("key").agg(F.max(F.struct("score", "seed", "left")).alias("w")).select("key", "w.seed", "w.left", "w.score")
-    own = pool.where(is_seed).select(F.col("key").alias("seed"), ((F.octet_length("ids") / 4).cast("long") - F.col("begun")).alias("own"))
-    won = won.join(own, "seed").withColumn("before", F.col("own") + F.sum("left").over(by_seed.rowsBetween(Window.unboundedPreceding, -1)))
-    won = won.withColumn("before", F.coalesce("before", "own")).withColumn("total", F.col("own") + F.sum("left").over(Window.partitionBy("seed")))
-    won = won.where((F.col("total") >= window) & (F.col("before") < window))
-    won = won.select("key", "seed", F.least(F.col("left"), window - F.col("before")).alias("taken"), F.col("before").alias("offset"), "own")
-    won = written(won, "won")
-    opened = won.where(F.col("offset") == F.col("own")).select(F.col("seed").alias("key"), "seed", F.col("own").alias("taken"), F.lit(0).cast("long").alias("offset"))
-    used = won.select("key", "seed", "taken", "offset").unionByName(opened).select("key", "taken", (2 * F.col("seed") + 1).alias("sequence_id"), "offset")
-    return written(pool.join(used, "key", "left"), "round")
+class Tree:
+    """Median splits along the widest direction of each node's sample, down to 2 ** depth leaves."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth if len(sample) else 0
+        self.along, self.limit = np.zeros((2**self.depth, DIMENSIONS), np.float32), np.zeros(2**self.depth, np.float32)
+        nodes = [sample]
+        for level in range(self.depth):
+            below = []
+            for i, x in enumerate(nodes):
+                n = (1 << level) + i
+                if len(x) > 1:
+                    self.along[n] = np.linalg.eigh(np.cov(x.T.astype(float)))[1][:, -1]
+                at = x @ self.along[n]
+                self.limit[n] = np.median(at) if len(x) else 0
+                below += [x[at <= self.limit[n]], x[at > self.limit[n]]]
+            nodes = below
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        n = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            n = 2 * n + ((x * self.along[n]).sum(axis=1) > self.limit[n])
+        return n - (1 << self.depth)
+
+
+def runs(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, shards) of every leaf: runs of leaves of up to ``most`` tails are one shard, a larger leaf has shards of its own."""
+    first, parts, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for i, c in enumerate(counts.tolist()):
+        if held and held + c > most:
+            shard, held = shard + 1, 0
+        first[i], parts[i] = shard, max(1, -(-c // most))
+        if parts[i] > 1:
+            shard, held = shard + int(parts[i]), 0
+        else:
+            held += c
+    return first, parts
+
+
+def dealt(pool: DataFrame, statistics: Statistics, n: int) -> DataFrame:
+    """``pool`` with ``shard``: runs of the tree's leaves; a leaf of more than SHARD_TAILS tails is split by a hash of the key."""
+    if n <= SHARD_TAILS:
+        return pool.withColumn("shard", F.lit(0).cast("long"))
+    project = projected(statistics)
+    leaves = min(LEAVES, 1 << math.ceil(math.log2(FINE * n / SHARD_TAILS)))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, PROJECTED):
+            x = project([np.frombuffer(i, "<u4") for i in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["key", "x"])
+
+    # the sample's size follows the leaves, whose number has a limit
+    share = min(1.0, leaves * LEAF_SAMPLE / n)
+    few = pool.select("key", "ids").where(F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = sorted((r["key"], bytes(r["x"])) for r in few.mapInArrow(vectors, "key long, x binary").toLocalIterator())
+    tree = Tree(np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(-1, DIMENSIONS), leaves.bit_length() - 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(leaves, np.int64)
+        for b in pieces(batches, PROJECTED):
+            c += np.bincount(tree.leaves(project([np.frombuffer(i, "<u4") for i in b.column(0).to_pylist()])), minlength=leaves)
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], names=["leaf", "n"])
+
+    # a row for each leaf, LEAVES at most
+    counts = np.zeros(leaves, np.int64)
+    for r in pool.select("ids").mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r["leaf"]] = r["n"]
+    first, parts = runs(counts, SHARD_TAILS)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, PROJECTED):
+            leaf = tree.leaves(project([np.frombuffer(i, "<u4") for i in b.column("ids").to_pylist()]))
+            shard = first[leaf] + (mixed(b.column("key").to_numpy().astype(U64)) % parts[leaf].astype(U64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
+
+    return pool.mapInArrow(placed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema) + ", shard long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,25 +367,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     ship(docs.sparkSession)
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     parts = written(cut(slim, tokenizer, window).withColumn("key", F.monotonically_increasing_id()), "pieces")
-    full = parts.where("ids is null").withColumn("sequence_id", 2 * F.col("key")).withColumn("offset", F.lit(0).cast("long"))
+    full = parts.where("ids is null").withColumn("sequence_id", F.col("key") * KINDS).withColumn("offset", F.lit(0).cast("long"))
     out = full.select(NAMES)
-    pool = parts.where("ids is not null").select("key", "doc_id", "start", "doc_tokens", "ids", F.lit(0).cast("long").alias("begun"))
+    pool = parts.where("ids is not null").select("key", "doc_id", "start", "doc_tokens", "ids")
     # as many rows as the tokenizer has tokens, at most
     df = {r["token"]: r["n"] for r in pool.select("ids").mapInArrow(document_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     n, tokens = df.pop(-1, 0), df.pop(-2, 0)
     terms = sorted(df)
     statistics = Statistics(n, tokens / max(1, n), np.array(terms, np.uint32), np.array([df[t] for t in terms], float))
-    # as the pool shrinks, seeds get more hits, so that those with the same neighbours find free ones
-    first, most, number, before = n, HITS, 0, None
-    while n > LAST_TAILS:
-        done = matched(pool, n, number, most, statistics, window)
-        found = done.where("taken is not null").mapInArrow(summed, ", ".join(f"{c} long" for c in NAMES))
-        out = out.unionByName(written(found, "windows"))
-        pool = done.withColumn("begun", F.col("begun") + F.coalesce("taken", F.lit(0))).where("begun < octet_length(ids) / 4").drop("taken", "sequence_id", "offset")
-        if before is not None:
-            removed(before)
-        left = pool.count()
-        most = max(HITS * first // max(1, left), most if left < 0.95 * n else 2 * most)
-        n, number, before = left, number + 1, done
-    last = pool.coalesce(1).sortWithinPartitions("doc_id", "start", "doc_tokens", "key")
-    return out.unionByName(last.mapInArrow(packed_last(window, statistics), ", ".join(f"{c} long" for c in NAMES)))
+    rows = dealt(pool, statistics, n).repartition("shard").sortWithinPartitions("shard", "key")
+    return out.unionByName(rows.mapInArrow(packed(window, statistics), ", ".join(f"{c} long" for c in NAMES)))
