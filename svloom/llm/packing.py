@@ -21,21 +21,20 @@ import base64
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..ship import ship
-from .common import U64, mixed, pieces, written
+from .common import MIX_B, U64, mixed, pieces, written
 
 #: Tokens of a window; BM25's saturation and length parameters.
 WINDOW, K1, B = 1024, 1.2, 0.75
 #: Tails of an index shard (at most, but for the hash's spread); dimensions of the projection; leaves of the tree at most; sampled tails for each leaf.
-SHARD_TAILS, DIMENSIONS, LEAVES, LEAF_SAMPLE = 1024, 32, 65_536, 8
-#: Leaves for each shard wanted; tails projected at once.
-FINE, PROJECTED = 8, 128
+SHARD_TAILS, DIMENSIONS, LEAVES, LEAF_SAMPLE = 1024, 64, 65_536, 8
+#: Leaves for each shard wanted; tails projected at once; hash buckets of the tokens' directions.
+FINE, PROJECTED, BUCKETS = 8, 128, 2048
 
 
 class Encoder:
@@ -254,21 +253,22 @@ def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, size]))], names=["token", "n"])
 
 
-@lru_cache(2)
-def directions(vocabulary: int) -> np.ndarray:
-    """A random direction for each token."""
-    return np.random.default_rng(4).standard_normal((vocabulary, DIMENSIONS), np.float32)
-
-
 def projected(statistics: Statistics):
-    """Tails -> (n, DIMENSIONS) unit vectors: sums of their tokens' directions, weighed by inverse document frequency."""
+    """Tails -> (n, DIMENSIONS) unit vectors: random directions of their tokens, weighed by inverse document frequency and summed.
+
+    A token's direction is plus or minus that of one of BUCKETS hash buckets, so the sum is a count by bucket and one matrix product.
+    """
     top = int(statistics.terms[-1]) + 1 if len(statistics.terms) else 1
-    idf = np.zeros(top + 1, np.float32)
-    idf[statistics.terms] = statistics.idf
+    hashed = mixed(np.arange(top + 1, dtype=U64) ^ MIX_B)
+    bucket, weight = (hashed % U64(BUCKETS)).astype(np.int64), np.zeros(top + 1)
+    weight[statistics.terms] = statistics.idf
+    weight[hashed >> U64(63) == 1] *= -1
+    directions = np.random.default_rng(4).standard_normal((BUCKETS, DIMENSIONS), np.float32)
 
     def run(tails: list[np.ndarray]) -> np.ndarray:
-        flat = np.minimum(np.concatenate(tails), top).astype(np.int64)
-        x = np.add.reduceat(directions(top + 1)[flat] * idf[flat, None], np.cumsum([0, *map(len, tails[:-1])]))
+        flat = np.minimum(np.concatenate(tails), top)
+        row = np.repeat(np.arange(0, BUCKETS * len(tails), BUCKETS), [len(t) for t in tails])
+        x = np.bincount(row + bucket[flat], weight[flat], BUCKETS * len(tails)).reshape(len(tails), BUCKETS).astype(np.float32) @ directions
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
     return run
