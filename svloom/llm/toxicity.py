@@ -111,8 +111,9 @@ class Dictionaries:
         return self._made
 
     def distances(self, ws: list[bytes]) -> np.ndarray:
-        one, both = self.compressors()
-        return np.array([len(one(w)) - len(both(w)) for w in ws])
+        # one after the other: either's tables about fill a processor's cache
+        one, both = ([len(c(w)) for w in ws] for c in self.compressors())
+        return np.subtract(one, both)
 
     def features(self, b: bytes) -> np.ndarray:
         """The windows' logarithm, the largest distances, and shares and numbers of the windows beyond some distances."""
