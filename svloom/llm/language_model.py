@@ -1,21 +1,25 @@
 """Hierarchical Pitman-Yor language model.
 
-Every frequent word has a restaurant for the words that follow it; all of them
-share one parent restaurant (the word alone), whose parent is the uniform
-distribution over the vocabulary and one unknown word. Seatings are sampled by
-Gibbs sweeps: each dish (a word in a restaurant) is seated anew given all other
-tables, and its tables are the customers of the parent. Predictive
-probabilities are averaged over the sweeps after burn-in.
+Every word has a restaurant for the words that follow it: each of the most
+frequent words one of its own, all others one of a fixed number that their hash
+shares out. All of them share one parent restaurant (the word alone), whose
+parent is the uniform distribution over the vocabulary and one unknown word.
+Seatings are sampled by Gibbs sweeps: each dish (a word in a restaurant) is
+taken out, with what its tables add to the parent, and seated anew given all
+other tables as the last sweep left them; its tables are customers of the
+parent. Dishes are seated side by side, not one after another. Predictive
+probabilities, not table counts, are averaged over the sweeps after burn-in.
 
 Distribution: documents are dealt into blocks. A block counts its distinct
 words and (context, word) pairs and sends them, packed, to the parts of the
 vocabulary. A part merges the counts of its words from all blocks, samples the
 seatings of all its dishes, and answers each block with the numbers its texts
-need. Words are dealt by hash, so a part sees a fair share of every restaurant:
-it scales its own table counts by the number of parts where a restaurant's
-total is needed, and no restaurant, however large, has to fit a task. Texts are
-scored block by block from the answers; the restaurants' totals, CONTEXTS rows
-at most, are the only thing that is broadcast.
+need. Words are dealt by hash, so no restaurant, however large, has to fit a
+task. While it samples, a part knows the exact number of customers of every
+restaurant, and takes its own tables per customer for those of all; the
+probabilities use the exact sums over all parts. Texts are scored block by block
+from the answers; the restaurants' totals, CONTEXTS rows, are the only thing
+that is broadcast.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ship import ship
-from .common import MIX_B, U64, as_bytes, mixed, pieces, signed, word_hashes, words, written
+from .common import MIX_B, MIX_C, U64, as_bytes, mixed, pieces, signed, word_hashes, words, written
 
-#: Restaurants for the most frequent words; documents in a block (mean).
-CONTEXTS, BLOCK_DOCS = 4096, 4000
+#: Words with a restaurant of their own (the most frequent); restaurants in all, 2 ** 16 at most; documents in a block (mean).
+FREQUENT, CONTEXTS, BLOCK_DOCS = 4096, 1 << 16, 4000
+#: Tasks that look for the frequent words; groups in which the parts' totals are added up.
+TOP_TASKS, SUM_TASKS = 32, 16
 #: Distinct words whose sums a task holds.
 HELD_WORDS = 1 << 20
 #: Discount and strength of the parent and of the context restaurants.
@@ -65,38 +71,30 @@ def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Gen
         i = j
 
 
-def tokens(texts: list[bytes | None], context_of: dict[int, int]):
-    """(word hashes with ends, context of each, document of each); contexts: 0 the begin, 1.. frequent words, last none."""
-    none = len(context_of) + 1
-    hs = [np.append(word_hashes(words(t)), END) for t in texts]
-    n = np.array([len(h) for h in hs])
-    flat = np.concatenate(hs)
+def restaurants(h: np.ndarray, context_of: dict[int, int]) -> np.ndarray:
+    """The restaurant of what follows each word: its own number for a frequent word, else one by its hash."""
+    first = len(context_of) + 1
+    out = first + (mixed(h ^ MIX_C) % U64(CONTEXTS - first)).astype(np.int64)
     keys = np.array(sorted(context_of), U64)
-    rank = np.array([context_of[k] for k in keys.tolist()], np.int64)
     if len(keys):
-        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-        own = np.where(keys[at] == flat, rank[at], none)
-    else:
-        own = np.full(len(flat), none)
-    ctx = np.empty(len(flat), np.int64)
-    ctx[1:] = own[:-1]
-    ctx[np.concatenate(([0], np.cumsum(n)[:-1]))] = 0
-    return flat, ctx, np.repeat(np.arange(len(texts)), n)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        out = np.where(keys[at] == h, np.array([context_of[k] for k in keys.tolist()])[at], out)
+    return out
 
 
 class Block:
     """Distinct words and (word, context) entries of some texts, in a fixed order, and where each token has them."""
 
     def __init__(self, texts: list[bytes | None], context_of: dict[int, int], parts: int):
-        flat, ctx, self.doc = tokens(texts, context_of)
-        self.n_ctx = len(context_of) + 2
-        self.words, self.word = np.unique(flat, return_inverse=True)
-        self.ctx = ctx
-        seated = ctx < self.n_ctx - 1
-        keys, entry = np.unique(self.word[seated] * self.n_ctx + ctx[seated], return_inverse=True)
-        self.entry = np.full(len(flat), -1)
-        self.entry[seated] = entry
-        self.entry_word, self.entry_ctx = keys // self.n_ctx, keys % self.n_ctx
+        hs = [np.append(word_hashes(words(t)), END) for t in texts]
+        n = np.array([len(h) for h in hs])
+        self.doc = np.repeat(np.arange(len(texts)), n)
+        self.words, self.word = np.unique(np.concatenate(hs), return_inverse=True)
+        self.ctx = np.empty(len(self.word), np.int64)
+        self.ctx[1:] = restaurants(self.words, context_of)[self.word[:-1]]
+        self.ctx[np.concatenate(([0], np.cumsum(n)[:-1]))] = 0  # the begin of a text
+        keys, self.entry = np.unique(self.word * CONTEXTS + self.ctx, return_inverse=True)
+        self.entry_word, self.entry_ctx = keys // CONTEXTS, keys % CONTEXTS
         part = (mixed(self.words ^ MIX_B) % U64(parts)).astype(np.int64)
         self.by_part = []
         for x in (part, part[self.entry_word]):
@@ -115,8 +113,7 @@ def counted(context_of: dict[int, int], parts: int):
         b = Block(texts, context_of, parts)
         learn = np.array(train)[b.doc]
         c = np.bincount(b.word[learn], minlength=len(b.words)).astype(np.uint32)
-        seated = learn & (b.entry >= 0)
-        e = np.bincount(b.entry[seated], minlength=len(b.entry_word)).astype(np.uint32)
+        e = np.bincount(b.entry[learn], minlength=len(b.entry_word)).astype(np.uint32)
         for p in range(parts):
             w, x = b.of_part(p)
             if len(w):
@@ -140,50 +137,58 @@ def counted(context_of: dict[int, int], parts: int):
 
 
 _COUNTS = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("words", "counts", "entry_word", "entry_ctx", "entry_counts"))])
-_ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("rest", pa.binary()), ("entry_rest", pa.binary()), ("ctx", pa.int64()), ("customers", pa.float64()), ("tables", pa.float64())])
-ANSWERS = "block long, part long, counts binary, rest binary, entry_rest binary, ctx long, customers double, tables double"
-#: In the totals: contexts 0.. are the restaurants, these the parent and (vocabulary, training tokens).
-PARENT, SIZES = -1, -2
+_ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int64()), *((n, pa.binary()) for n in ("counts", "rest", "entry_rest", "totals"))])
+ANSWERS = "block long, part long, counts binary, rest binary, entry_rest binary, totals binary"
 
 
-def seated(n_ctx: int, parts: int):
+class Sizes:
+    """Exact sizes of the training text: customers of every restaurant, tokens, distinct words."""
+
+    def __init__(self, customers: np.ndarray, tokens: int, vocabulary: int):
+        self.customers, self.tokens, self.vocabulary = customers, tokens, vocabulary
+
+
+def seated(sizes: Sizes):
     """Per part (rows sorted by part): merged counts, Gibbs seating, answers to the blocks and the part's share of the totals."""
 
     def sample(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         ws = [np.frombuffer(r["words"], U64) for r in rows]
         vocabulary, at = np.unique(np.concatenate(ws), return_inverse=True)
-        c = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(vocabulary))
+        size = len(vocabulary)
+        c = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), size)
         base = np.concatenate(([0], np.cumsum([len(w) for w in ws])))
-        keys = np.concatenate([at[base[i] + np.frombuffer(r["entry_word"], np.uint32).astype(np.int64)] * n_ctx + np.frombuffer(r["entry_ctx"], np.uint16) for i, r in enumerate(rows)])
+        keys = np.concatenate([at[base[i] + np.frombuffer(r["entry_word"], np.uint32).astype(np.int64)] * CONTEXTS + np.frombuffer(r["entry_ctx"], np.uint16) for i, r in enumerate(rows)])
         ends = np.cumsum([0, *(len(r["entry_ctx"]) // 2 for r in rows)])
         entries, place = np.unique(keys, return_inverse=True)
-        n = np.bincount(place, np.concatenate([np.frombuffer(r["entry_counts"], np.uint32) for r in rows]), len(entries)) if len(entries) else np.zeros(0)
-        word, ctx = entries // n_ctx, entries % n_ctx
-        direct = c - np.bincount(word, n, len(vocabulary)) if len(entries) else c
+        n = np.bincount(place, np.concatenate([np.frombuffer(r["entry_counts"], np.uint32) for r in rows]), len(entries))
+        word, ctx = entries // CONTEXTS, entries % CONTEXTS
         rng = np.random.default_rng(part + 7)
-        uniform = 1 / (np.count_nonzero(c) * parts + 1)
+        uniform = 1 / (sizes.vocabulary + 1)
+        own, own_words = np.bincount(ctx, n, CONTEXTS), max(1, np.count_nonzero(c))
+        more = np.flatnonzero(n > 1)  # a dish of one customer has one table
         t, t1 = (n > 0).astype(float), (c > 0).astype(float)
-        mean_t, mean_t1, mean_c1 = np.zeros_like(t), np.zeros_like(t1), np.zeros_like(t1)
+        rest, entry_rest, totals = np.empty((SAMPLES, size), np.float32), np.zeros(len(n)), np.empty((SAMPLES, CONTEXTS + 2))
         for sweep in range(BURN + SAMPLES):
-            c1 = direct + np.bincount(word, t, len(vocabulary)) if len(entries) else direct
-            p1 = (c1 - D1 * t1 + (THETA1 + D1 * t1.sum() * parts) * uniform) / (THETA1 + max(1.0, c1.sum() * parts))
-            tables = np.bincount(ctx, t, n_ctx) * parts if len(entries) else np.zeros(n_ctx)
-            t = seat(n, (THETA2 + D2 * tables[ctx]) * p1[word], D2, rng)
-            c1 = direct + np.bincount(word, t, len(vocabulary)) if len(entries) else direct
-            t1 = seat(c1, np.full(len(c1), (THETA1 + D1 * t1.sum() * parts) * uniform), D1, rng)
-            if sweep >= BURN:
-                mean_t += t / SAMPLES
-                mean_t1 += t1 / SAMPLES
-                mean_c1 += c1 / SAMPLES
-        rest, entry_rest = mean_c1 - D1 * mean_t1, n - D2 * mean_t
+            c1 = np.bincount(word, t, size)
+            # tables of all parts: the own ones for each own customer, word or token, times those of all
+            all_t1 = t1.sum() * sizes.vocabulary / own_words
+            all_c1 = c1.sum() * sizes.tokens / max(1.0, c.sum())
+            tables = np.bincount(ctx, t, CONTEXTS) / np.maximum(own, 1) * sizes.customers
+            w, mine = word[more], t[more]
+            others = c1[w] - mine
+            p1 = (others * (1 - D1 * t1[w] / np.maximum(c1[w], 1)) + (THETA1 + D1 * all_t1) * uniform) / (THETA1 + np.maximum(1.0, all_c1 - mine))
+            t[more] = seat(n[more], (THETA2 + D2 * np.maximum(0, tables[ctx[more]] - mine)) * p1, D2, rng)
+            c1 = np.bincount(word, t, size)
+            t1 = seat(c1, np.full(size, (THETA1 + D1 * all_t1) * uniform), D1, rng)
+            if (k := sweep - BURN) >= 0:
+                rest[k] = c1 - D1 * t1
+                entry_rest += (n - D2 * t) / SAMPLES
+                totals[k] = [*np.bincount(ctx, t, CONTEXTS), c1.sum(), t1.sum()]
+        entry_rest = entry_rest.astype(np.float32)
         for i, r in enumerate(rows):
             own, mine = at[base[i] : base[i + 1]], place[ends[i] : ends[i + 1]]
-            yield pa.RecordBatch.from_pydict({"block": [r["block"]], "part": [part], "counts": [c[own].astype(np.uint32).tobytes()], "rest": [rest[own].astype(np.float32).tobytes()], "entry_rest": [entry_rest[mine].astype(np.float32).tobytes()], "ctx": [None], "customers": [None], "tables": [None]}, schema=_ANSWERS)
-        customers, tables = (np.bincount(ctx, x, n_ctx) if len(entries) else np.zeros(n_ctx) for x in (n, mean_t))
-        k = np.flatnonzero(customers)
-        cols = [np.append(k, [PARENT, SIZES]), np.append(customers[k], [mean_c1.sum(), c.sum()]), np.append(tables[k], [mean_t1.sum(), np.count_nonzero(c)])]
-        none = [None] * len(cols[0])
-        yield pa.RecordBatch.from_pydict({"block": none, "part": none, "counts": none, "rest": none, "entry_rest": none, "ctx": cols[0], "customers": cols[1], "tables": cols[2]}, schema=_ANSWERS)
+            yield pa.RecordBatch.from_pydict({"block": [r["block"]], "part": [part], "counts": [c[own].astype(np.int64).tobytes()], "rest": [rest[:, own].tobytes()], "entry_rest": [entry_rest[mine].tobytes()], "totals": [None]}, schema=_ANSWERS)
+        yield pa.RecordBatch.from_pydict({"block": [None], "part": [part], "counts": [None], "rest": [None], "entry_rest": [None], "totals": [totals.tobytes()]}, schema=_ANSWERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
@@ -200,44 +205,47 @@ def seated(n_ctx: int, parts: int):
     return run
 
 
-def scored(context_of: dict[int, int], parts: int, totals: dict[int, tuple[float, float]]):
-    """(texts of a block, answers to it) -> scores."""
-    n_ctx = len(context_of) + 2
-    customers, tables = np.zeros(n_ctx), np.zeros(n_ctx)
-    for k, (c, t) in totals.items():
-        if k >= 0:
-            customers[k], tables[k] = c, t
-    n1, t1 = totals.get(PARENT, (0.0, 0.0))
-    n_train, vocabulary = totals.get(SIZES, (0.0, 0.0))
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (totals): their sum, a row a task."""
+    total = np.zeros(SAMPLES * (CONTEXTS + 2))
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            total += np.frombuffer(x)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["totals"])
+
+
+def scored(context_of: dict[int, int], parts: int, sizes: Sizes, totals: np.ndarray):
+    """(texts of a block, answers to it) -> scores. totals: by sample the tables of every restaurant, the customers and tables of the parent."""
+    n1, t1 = totals[:, CONTEXTS], totals[:, CONTEXTS + 1]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [t for chunk in left.column("text").chunks for t in as_bytes(chunk)]
         b = Block(texts, context_of, parts)
-        c, rest, entry_rest = np.zeros(len(b.words)), np.zeros(len(b.words)), np.zeros(len(b.entry_word))
+        c, rest, entry_rest = np.zeros(len(b.words)), np.zeros((SAMPLES, len(b.words))), np.zeros(len(b.entry_word))
         for r in right.to_pylist():
             w, x = b.of_part(r["part"])
-            c[w], rest[w] = np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["rest"], np.float32)
+            c[w], rest[:, w] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["rest"], np.float32).reshape(SAMPLES, -1)
             entry_rest[x] = np.frombuffer(r["entry_rest"], np.float32)
-        p1 = (rest + (THETA1 + D1 * t1) / (vocabulary + 1)) / (THETA1 + n1)
-        p = p1[b.word]
-        on = np.flatnonzero(b.entry >= 0)
-        u = b.ctx[on]
-        p[on] = (entry_rest[b.entry[on]] + (THETA2 + D2 * tables[u]) * p[on]) / (THETA2 + customers[u])
-        plain = np.log10((c + 0.5) / (n_train + 0.5 * (vocabulary + 1)))[b.word]
+        u, p = b.entry_ctx, entry_rest
+        for k in range(SAMPLES):
+            p1 = (rest[k] + (THETA1 + D1 * t1[k]) / (sizes.vocabulary + 1)) / (THETA1 + n1[k])
+            p += (THETA2 + D2 * totals[k, u]) * p1[b.entry_word] / SAMPLES
+        p /= THETA2 + sizes.customers[u]
+        plain = np.log10((c + 0.5) / (sizes.tokens + 0.5 * (sizes.vocabulary + 1)))[b.word]
         total = lambda x: np.bincount(b.doc, x, len(texts))
-        n = total(np.ones(len(p))).astype(np.int64)
-        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": n, "n_known": total(c[b.word] > 0).astype(np.int64), "train_tokens": np.full(len(texts), int(n_train)), "base_score": total(plain), "score": total(np.log10(p))})
+        n = total(np.ones(len(b.word))).astype(np.int64)
+        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": n, "n_known": total(c[b.word] > 0).astype(np.int64), "train_tokens": np.full(len(texts), sizes.tokens), "base_score": total(plain), "score": total(np.log10(p)[b.entry])})
 
     return run
 
 
-def frequent_words(train: DataFrame, most: int = CONTEXTS) -> dict[int, int]:
-    """Hash -> number (from 1) of the most frequent words by their exact counts; a task sends sums of up to HELD_WORDS words at a time."""
+def word_counts(train: DataFrame) -> DataFrame:
+    """(h, n): how often each word (by its hash) and the end occur in the texts; a task sends sums of up to HELD_WORDS words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = np.empty(0, U64), np.empty(0, np.int64)
         for b in pieces(batches, 2048):
-            u, c = np.unique(np.concatenate([np.empty(0, U64), *(word_hashes(words(t)) for t in as_bytes(b.column(0)))]), return_counts=True)
+            u, c = np.unique(np.concatenate([np.full(b.num_rows, END), *(word_hashes(words(t)) for t in as_bytes(b.column(0)))]), return_counts=True)
             h, at = np.unique(np.concatenate([h, u]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, c]), len(h)).astype(np.int64)
             if len(h) > HELD_WORDS:
@@ -245,10 +253,35 @@ def frequent_words(train: DataFrame, most: int = CONTEXTS) -> dict[int, int]:
                 h, n = np.empty(0, U64), np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
 
-    top = train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).collect()
+    return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[int, int]:
+    """Hash -> number (from 1) of the most frequent words."""
+    end = int(signed(np.array([END]))[0])
+    # few tasks, as each sends ``most`` rows to the driver
+    top = counts.where(F.col("h") != end).coalesce(TOP_TASKS).orderBy(F.desc("n"), "h").limit(most).collect()
     return {r["h"] & 0xFFFFFFFFFFFFFFFF: i + 1 for i, r in enumerate(top)}
 
 
+def sizes_of(counts: DataFrame, context_of: dict[int, int]) -> Sizes:
+    """Every word but the end has what follows it as customer of its restaurant; what begins a text is a customer of restaurant 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, words_ = np.zeros(CONTEXTS, np.int64), 0
+        for b in batches:
+            h, n = b.column(0).to_numpy().view(U64), b.column(1).to_numpy()
+            at = np.where(h == END, 0, restaurants(h, context_of))
+            c += np.bincount(at, n, CONTEXTS).astype(np.int64)
+            words_ += len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(CONTEXTS), CONTEXTS]), pa.array([*c.tolist(), words_])], names=["ctx", "n"])
+
+    got = np.zeros(CONTEXTS + 1, np.int64)
+    for r in counts.coalesce(TOP_TASKS).mapInArrow(run, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")).where("n > 0").collect():
+        got[r["ctx"]] = r["n"]
+    return Sizes(got[:-1].astype(float), int(got[:-1].sum()), int(got[-1]))
+
+
 def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
@@ -264,14 +297,15 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     ship(docs.sparkSession)
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     parts = max(1, d.count() // BLOCK_DOCS)
-    context_of = frequent_words(d.where("train"))
+    occurring = written(word_counts(d.where("train")), "word-counts")
+    context_of = frequent_words(occurring)
+    sizes = sizes_of(occurring, context_of)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     sent = d.select("block", "text", "train").repartition("block").sortWithinPartitions("block", F.xxhash64("text"))
     counts = sent.mapInArrow(counted(context_of, parts), "part long, block long, words binary, counts binary, entry_word binary, entry_ctx binary, entry_counts binary")
-    answers = counts.repartition("part").sortWithinPartitions("part", "block").mapInArrow(seated(len(context_of) + 2, parts), ANSWERS)
-    answers = written(answers, "answers")
-    sums = answers.where("ctx is not null").groupBy("ctx").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-    totals = {r["ctx"]: (r["c"], r["t"]) for r in sums}
+    answers = written(counts.repartition("part").sortWithinPartitions("part", "block").mapInArrow(seated(sizes), ANSWERS), "answers")
+    shares = answers.where("totals is not null").select(F.pmod("part", F.lit(SUM_TASKS)).alias("group"), "totals").repartition(SUM_TASKS, "group").select("totals")
+    totals = sum((np.frombuffer(r["totals"]) for r in shares.mapInArrow(summed, "totals binary").collect()), np.zeros(SAMPLES * (CONTEXTS + 2))).reshape(SAMPLES, -1)
     replies = answers.where("block is not null").select("block", "part", "counts", "rest", "entry_rest")
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored(context_of, parts, totals), out)
+    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored(context_of, parts, sizes, totals), out)

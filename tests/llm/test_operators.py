@@ -562,5 +562,8 @@ def test_frequent_words_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HELD_WORDS", 3)
     d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(90)], "doc_id long, text string").repartition(5)
     want = {language_model.word_hashes([f"w{j}".encode()])[0].item(): j + 1 for j in range(4)}
-    assert language_model.frequent_words(d, 4) == want
-    assert language_model.frequent_words(d.limit(0), 4) == {}
+    counts = language_model.word_counts(d).cache()
+    assert language_model.frequent_words(counts, 4) == want
+    sizes = language_model.sizes_of(counts, want)
+    assert (sizes.tokens, sizes.vocabulary) == (90 + 450, 10) and sizes.customers[:5].tolist() == [90, 90, 80, 70, 60]
+    assert language_model.frequent_words(language_model.word_counts(d.limit(0)), 4) == {}
