@@ -102,5 +102,28 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h"""
 
 
+#: Vectors that take part: no null or non-finite component, none empty.
+FINE_SQL = "e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+LINKS_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINE_SQL} AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.low, v.vec_id) AS component_id, coalesce(c.low, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a"""
+
+TOP_K_SQL = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+q AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS q FROM v WHERE vec_id IS NOT NULL AND {FINE_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding_sql(), "op6_mixing": MIXING_SQL}
+    return {"op1_sharding": sharding_sql(), "op3_embedding_near_dup": LINKS_SQL, "op5_exact_top_k": TOP_K_SQL, "op6_mixing": MIXING_SQL}

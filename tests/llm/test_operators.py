@@ -177,6 +177,32 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     assert embedding_dup.embedding_near_duplicates(d.limit(0)).count() == 0
 
 
+def test_planted_links_among_thousands(spark):
+    # groups at cosines around the threshold, copies by the hundred, and a crowd that links with nothing
+    rng = np.random.default_rng(9)
+    xs, labels = rng.normal(size=(4000, 32)), rng.integers(0, 4, 4000).tolist()
+    for g in range(150):
+        a = xs[20 * g] / np.linalg.norm(xs[20 * g])
+        for k in range(1, 5):
+            o = rng.normal(size=32)
+            o -= (o @ a) * a
+            cos = [0.999, 0.985, 0.981, 0.979][k - 1]
+            xs[20 * g + k] = (cos * a + math.sqrt(1 - cos**2) * o / np.linalg.norm(o)) * rng.uniform(0.1, 9)
+            labels[20 * g + k] = labels[20 * g]
+    xs[3200:3900], labels[3200:3900] = xs[0], [labels[0]] * 700
+    u = xs / np.linalg.norm(xs, axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(link, False)
+    ids = rng.permutation(4000)
+    comp = ids.copy()
+    for _ in range(20):
+        comp = np.minimum(comp, np.array([comp[link[i]].min() if link[i].any() else comp[i] for i in range(4000)]))
+    d = spark.createDataFrame([(int(i), x, int(l)) for i, x, l in zip(ids, xs.tolist(), labels, strict=True)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dup.embedding_near_duplicates(d, 0.98).collect()}
+    assert sum(r["n_links"] for r in got.values()) == link.sum() and all(got[int(i)]["n_links"] == n for i, n in zip(ids, link.sum(axis=1), strict=True))
+    assert all(got[int(i)]["component_id"] == c for i, c in zip(ids, comp, strict=True))
+
+
 def test_bands_of_large_plans_miss_as_seldom_as_promised():
     rng = np.random.default_rng(5)
     bits, bands = embedding_dup.band_plan(10_000_000, 0.98)
@@ -196,7 +222,7 @@ def test_estimates_are_unbiased_and_bounds_hold():
     x[200:] = x[:200] + rng.normal(size=(200, 64)) * 0.15
     x /= np.linalg.norm(x, axis=1)[:, None]
     turn = embedding_dup.rotations(64)
-    a, b = embedding_dup.Codes(x[:200], turn), embedding_dup.Codes(x[200:], turn)
+    a, b = (embedding_dup.Codes(v, *embedding_dup.codes_of(v, turn), turn) for v in (x[:200], x[200:]))
     true = x[:200] @ x[200:].T
     est = (a.signs @ b.turned.T) / (turn.shape[0] * a.factor)[:, None]
     assert abs((est - true).mean()) < 0.002
