@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(taken: Iterable[str], name: str) -> str:
+    """``name``, longer by underscores as far as one of ``taken`` has it (Spark's names have no case)."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), element by element."""
     with np.errstate(over="ignore"):
@@ -77,11 +85,24 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+#: Bytes of a record batch's part, if it has more rows than one.
+PIECE_BYTES = 8 << 20
+
+
 def pieces(batches: Iterable, rows: int = 512):
-    """Record batches cut to at most ``rows`` rows, so that long texts stay bounded."""
+    """Record batches cut to at most ``rows`` rows, and as far as rows allow to about PIECE_BYTES, so that long texts stay bounded."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        if not b.num_rows:
+            continue
+        some = max(1, min(rows, b.num_rows * PIECE_BYTES // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, some):
+            c = b.slice(i, some)
+            # a few long texts among short ones: rows one by one
+            if c.num_rows > 1 and c.nbytes > 2 * PIECE_BYTES:
+                for j in range(c.num_rows):
+                    yield c.slice(j, 1)
+            else:
+                yield c
 
 
 def signed(h: np.ndarray) -> np.ndarray:

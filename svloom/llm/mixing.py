@@ -52,7 +52,7 @@ def targets(sources: DataFrame, weights: Sequence[float], cap: float) -> DataFra
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, size, source_size, target, taken, source, times of every row of ``docs``.
 
     size counts the words ``[^\\x20\\x09-\\x0D]+`` (null text: 0). Sources in
     code point order, null last, weigh ``weights``, repeating, and share the
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, d
     to the others by weight until none is above. A source takes every document
     floor(target / source_size) times and, for the rest, once more those whose
     hash lies below its threshold; the document at the boundary goes in if the
-    sum comes nearer to the target by it. taken = size * times. Rows that
+    sum comes nearer to the target by it. taken = size * times; times is one for a doc_id and source. Rows that
     repeat a doc_id within a source share its hash and are taken together; a
     null doc_id hashes as such. An empty table gives no rows, and sources
     without words have target 0; other columns take no part.
@@ -92,5 +92,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, d
     s = s.withColumn("edge", F.col("prefix") + F.when(nearer, 1).otherwise(0))
     s = s.select(F.col("source").alias("src"), "source_size", "target", "times", F.expr("shiftleft(edge, bits)").alias("threshold"))
     out = d.join(s, d["source"].eqNullSafe(F.col("src")))
-    taken = F.col("size") * (F.col("times") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = out.withColumn("times", F.col("times") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times")

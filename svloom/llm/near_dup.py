@@ -12,14 +12,17 @@ exact check of shingle sets inside each component -> components of the links.
 
 Equal sets are one class, so thousands of copies cost one entry. In a bucket,
 members are compared with *leaders* only: Jaccard distance is a metric, so if x
-and y link (distance <= d) and y follows leader L (distance <= d), then x is
-within 2d of L; joining each member to every leader within 2d keeps the ends of
-every link in one candidate component, at a cost linear in the copies.
+and y link (distance <= d) and y follows leader L (distance <= r), then x is
+within d + r of L; joining each member to every leader that may be within d + r
+keeps the ends of every link in one candidate component, at a cost linear in the
+copies. A member follows only if its sketch shows no pair farther than r, and
+joins if it shows pairs within d + r, either but for tails of BUCKET_SIGMAS;
+pairs that link meet in several buckets, whose leaders differ.
 
 A hot bucket of n members is split by a salt into sqrt(n) / SPREAD parts, each
 with leaders of its own. If x and y link across parts and follow L and M, then L
-is within 3d of M: the leaders of all parts, few beside the members, meet once
-more and join within 3d.
+is within d + 2r of M: the leaders of all parts, few beside the members, meet
+once more and join within d + 2r.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ship import ship
 from .common import MIX_B, U64, as_bytes, mixed, pieces, shingle_set, signed, written
@@ -37,6 +40,8 @@ from .components import components
 
 #: MinHash samples and bits of the odd sketch.
 SAMPLES, BITS = 128, 512
+#: Distance within which members follow a leader, and standard deviations of its tests.
+FOLLOW, BUCKET_SIGMAS = 0.25, 3.0
 #: A link is missed by all bands with at most this probability.
 MISS = 1e-4
 #: Members of a bucket that is not split; a larger one of n members gets sqrt(n) / SPREAD parts.
@@ -51,12 +56,24 @@ def bands_for(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> t
     return samples // rows, rows
 
 
-def sketch_limit(threshold: float, samples: int = SAMPLES, bits: int = BITS, reach: float = 1.0, sigmas: float = 4.5) -> int:
-    """Largest XOR count that a pair within ``reach`` times the threshold's distance shows, but for 4.5 sigma tails."""
-    p = min(1.0, reach * (1 - threshold))
-    differing = min(samples, samples * p + sigmas * math.sqrt(samples * p * (1 - p)))
-    odd = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differing))
-    return math.ceil(odd + sigmas * math.sqrt(bits) / 2 * math.sqrt(max(1e-9, 1 - math.exp(-4 * 2 * differing / bits))))
+def xor_count(distance: float, samples: int = SAMPLES, bits: int = BITS) -> tuple[float, float]:
+    """Mean and standard deviation of the XOR count of two sketches whose sets lie ``distance`` apart."""
+    p = min(1.0, distance)
+    differing, left = samples * p, (1 - 2 / bits) ** (2 * samples * p)
+    # the number of differing samples varies, and how many of their bits cancel
+    return bits / 2 * (1 - left), math.sqrt(4 * differing * (1 - p) * left**2 + bits / 4 * (1 - math.exp(-8 * differing / bits)))
+
+
+def sketch_limit(threshold: float, distance: float | None = None, sigmas: float = 4.5) -> int:
+    """Largest XOR count that a pair within ``distance`` (default: the threshold's) shows, but for tails of so many sigmas."""
+    mean, deviation = xor_count(1 - threshold if distance is None else distance)
+    return math.ceil(mean + sigmas * deviation)
+
+
+def sure_limit(distance: float, sigmas: float) -> int:
+    """Largest XOR count that no pair farther apart than ``distance`` shows, but for tails of so many sigmas."""
+    mean, deviation = xor_count(distance)
+    return max(0, math.floor(mean - sigmas * deviation))
 
 
 def minhash(flat: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
@@ -109,8 +126,8 @@ def features_of(sets: list[np.ndarray], bands: int, rows: int):
     return np.concatenate(cls), np.concatenate(sketches), np.concatenate(keys)
 
 
-def features(docs: DataFrame, k: int, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls (null: no set), sketch, bands of each row."""
+def features(docs: DataFrame, k: int, threshold: float, doc_id: str, text: str, mark: Column) -> DataFrame:
+    """doc_id, mark, n_shingles, cls (null: no set), sketch, bands of each row."""
     bands, rows = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +140,12 @@ def features(docs: DataFrame, k: int, threshold: float, doc_id: str = "doc_id",
                 for at, i in enumerate(full):
                     cls[i], sketch[i], keys[i] = int(signed(c)[at]), s[at].tobytes(), signed(q[at])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "sketch", "bands"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n_shingles", "cls", "sketch", "bands"],
             )
 
-    slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary, bands array<long>")
+    slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), mark.cast("long").alias("mark"))
+    return slim.mapInArrow(run, "doc_id long, mark long, n_shingles long, cls long, sketch binary, bands array<long>")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str):
@@ -263,8 +280,8 @@ def tile_links(k: int, num: int, den: int, near: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, group (and mark, if given) for every row of ``docs``.
 
     Rows link when their sets of distinct ``k``-word shingles (A-Z lowered; all
     the words as one shingle when there are fewer) have
@@ -273,13 +290,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     A null, empty or blank text has no set: it links with nothing, is kept and
     is its own component. Rows that repeat a doc_id each get a row; a null
     doc_id joins by an equal set alone: component_id is that of its class if
-    another row has one, else null, and kept is false. Other columns take no part. An empty
-    table gives no rows.
+    another row has one, else null, and kept is false. group names the linked
+    texts whatever their doc_ids (null: no set), mark is a long Column of
+    ``docs`` that is handed through. Other columns take no part. An empty table
+    gives no rows.
     """
     ship(docs.sparkSession)
     threshold = num / den
-    near, far = sketch_limit(threshold), sketch_limit(threshold, reach=2.0)
-    f = written(features(docs, k, threshold, doc_id, text), "features")
+    reach = lambda times: sketch_limit(threshold, 1 - threshold + times * FOLLOW, BUCKET_SIGMAS)
+    given, mark = mark is not None, F.lit(None) if mark is None else mark
+    f = written(features(docs, k, threshold, doc_id, text, mark), "features")
     one = f.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     one = written(one, "classes")
     keys = one.select("cls", F.explode("bands").alias("key"))
@@ -289,9 +309,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     part = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.col("parts")))).otherwise(F.col("key"))
     buckets = keys.withColumn("part", part).join(one.select("cls", "sketch", "n"), "cls").repartition("part").sortWithinPartitions("part", "n", "cls")
     columns = ["part", "key", "parts", "cls", "sketch"]
-    found = written(buckets.select(columns).mapInArrow(bucket_forest(near, far), FOUND), "forest")
+    found = written(buckets.select(columns).mapInArrow(bucket_forest(sure_limit(FOLLOW, BUCKET_SIGMAS), reach(1)), FOUND), "forest")
     heads = found.where("b is null").select(F.col("key").alias("part"), "key", F.lit(1).alias("parts"), F.col("a").alias("cls"), "sketch")
-    across = heads.repartition("part").sortWithinPartitions("part", "cls").mapInArrow(bucket_forest(-1, sketch_limit(threshold, reach=3.0)), FOUND)
+    across = heads.repartition("part").sortWithinPartitions("part", "cls").mapInArrow(bucket_forest(-1, reach(2)), FOUND)
     edges = found.where("b is not null").unionByName(across).select("a", "b").distinct()
     group = written(components(edges), "candidates").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
@@ -303,11 +323,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     member = member.withColumn("tile", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
     slim = docs.select(docs[doc_id].cast("long").alias("low"), docs[text].cast("string").alias("text"))
     rows = member.select("low", "cls", "sketch", "tile").join(slim, "low").repartition("tile").sortWithinPartitions("tile", "cls")
-    links = rows.select("tile", "cls", "sketch", "text").mapInArrow(tile_links(k, num, den, near), "a long, b long")
+    links = rows.select("tile", "cls", "sketch", "text").mapInArrow(tile_links(k, num, den, sketch_limit(threshold)), "a long, b long")
     comp = components(links).select(F.col("node").alias("cls"), "component")
     named = one.select("cls", "low").join(comp, "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    out = f.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = named.join(least, "component").select("cls", "component_id", F.col("component").alias("group"))
+    out = f.select("doc_id", "mark", "n_shingles", "cls").join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group"]
+    return out.select(*columns, "mark") if given else out.select(*columns)

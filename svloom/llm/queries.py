@@ -36,7 +36,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
+    return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100).drop("group")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free
+
 #: Slots (a prime, over 100 for each shard) and shards of the production table.
 TABLE_SIZE, SHARDS = 65_537, 256
 
@@ -57,11 +59,13 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int =
     ValueError. An empty table stays empty. The join is a broadcast of ``size``
     rows, whatever the data: no shuffle, and no key can make a task larger.
     """
-    if clash := {slot, shard} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    have = {c.lower() for c in df.columns}
+    if clash := [c for c in (slot, shard) if c.lower() in have]:
+        raise ValueError(f"columns {clash} exist already")
+    at, no = (free([*df.columns, slot, shard], c) for c in ("_slot", "_no"))
     names = list(shards)
     # the table as text: split and numbered by Spark itself
-    slots = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(names, size)))), ",")).alias("_slot", "_no"))
-    slots = slots.select(F.col("_slot").cast("long").alias("_slot"), F.element_at(F.array(*map(F.lit, names)), F.col("_no").cast("int") + 1).alias(shard))
+    slots = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(names, size)))), ",")).alias(at, no))
+    slots = slots.select(F.col(at).cast("long").alias(at), F.element_at(F.array(*map(F.lit, names)), F.col(no).cast("int") + 1).alias(shard))
     out = df.withColumn(slot, F.pmod(key_hash(*[df[k] for k in keys]), F.lit(size).cast("long")))
-    return out.join(F.broadcast(slots), F.col(slot) == F.col("_slot")).select(*df.columns, slot, shard)
+    return out.join(F.broadcast(slots), F.col(slot) == F.col(at)).select(*df.columns, slot, shard)

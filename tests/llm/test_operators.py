@@ -97,6 +97,11 @@ def test_placement(spark):
         sharding.place(d.withColumn("slot", F.lit(1)), ["doc_id"], ["a"], 101)
     assert sharding.place(d.limit(0), ["doc_id"], ["a"], 101).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    clash = d.withColumn("_slot", F.lit("mine")).withColumn("_NO", F.lit("mine"))
+    assert {(r["_slot"], r["_NO"]) for r in sharding.place(clash, ["doc_id"], ["a", "b"], 101).collect()} == {("mine", "mine")}
+    long_keys = spark.createDataFrame([("k" * 3_000_000,), ("",), (None,), ("null",)], "doc_id string")
+    got = {r["doc_id"]: r["slot"] for r in sharding.place(long_keys, ["doc_id"], ["a"], 101).collect()}
+    assert len(got) == 4 and got[None] == got["null"]
 
 
 # 2 token counts
@@ -410,6 +415,42 @@ def test_language_model(spark, docs):
     assert language_model.score_texts(docs.limit(3), F.lit(False)).count() == 3
 
 
+def test_parts_hardly_change_the_model(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    got = []
+    for docs_each in (400, 40, 8):
+        monkeypatch.setattr(language_model, "BLOCK_DOCS", docs_each)
+        got.append({r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_texts(d, language.fold(d["doc_id"], 5) != 1).collect()})
+    for g in got[1:]:
+        apart = np.abs([g[i] - got[0][i] for i in g])
+        assert apart.mean() < 0.02 and apart.max() < 0.3  # draws of other seeds
+
+
+def test_probabilities_of_a_context_sum_to_one(spark, monkeypatch):
+    # p(w | begin) p(end | w) is the probability of the text "w"; words that never end a text are followed by "stop"
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(12)]
+    texts = [" ".join([*rng.choice(names, 5), "stop"]) for _ in range(150)]
+    seen = sorted({w for t in texts for w in t.split()})
+    asked = [*seen, "never-seen", ""]
+    d = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), *((1000 + i, w) for i, w in enumerate(asked)), *((2000 + i, f"{w} {w}") for i, w in enumerate(asked) if w)], "doc_id long, text string")
+    p = {r["doc_id"]: 10 ** r["score"] for r in language_model.score_texts(d, F.col("doc_id") < 1000).collect()}
+    # mass of what begins a text: texts "w" over p(end | w); the latter from the mass after w, all pairs asked one context at a time
+    pairs = [(u, v) for u in [*seen, "never-seen"] for v in [*seen, "never-seen"]]
+    e = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), *((10_000 + k, f"{u} {v}") for k, (u, v) in enumerate(pairs))], "doc_id long, text string")
+    q = {r["doc_id"]: 10 ** r["score"] for r in language_model.score_texts(e, F.col("doc_id") < 1000).collect()}
+    one = {w: p[1000 + i] for i, w in enumerate(asked)}
+    two = {uv: q[10_000 + k] for k, uv in enumerate(pairs)}
+    # with x(u) = p(u | begin): sum over v of two(u, v) / p(end | v) + one(u) = x(u), and one(v) = x(v) p(end | v)
+    words_ = [*seen, "never-seen"]
+    x = np.full(len(words_), 1 / len(words_))
+    for _ in range(2000):
+        x = np.array([one[u] + sum(two[u, v] * x[j] / one[v] for j, v in enumerate(words_)) for u in words_])
+        x *= (1 - one[""]) / x.sum()
+    again = np.array([one[u] + sum(two[u, v] * x[j] / one[v] for j, v in enumerate(words_)) for u in words_])
+    assert np.allclose(again, x, rtol=1e-3)
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
     one = language_model.seat(np.array([0.0, 1.0, 1.0]), np.ones(3), 0.5, rng)
@@ -487,6 +528,24 @@ def test_odd_sketch_estimates_high_similarity():
     assert near_dup.bands_for(0.85) == (21, 6)
 
 
+def test_bucket_limits_are_sound():
+    # sketches of pairs at known distances: farther ones hardly follow, those within reach are hardly missed
+    rng = np.random.default_rng(6)
+
+    def counts(distance, n=4000):
+        x = rng.integers(0, 2**63, (n, near_dup.SAMPLES)).astype(np.uint64)
+        y = np.where(rng.random(x.shape) < distance, rng.integers(0, 2**63, x.shape).astype(np.uint64), x)
+        return np.bitwise_count(near_dup.odd_sketch(x) ^ near_dup.odd_sketch(y)).sum(axis=1)
+
+    near = near_dup.sure_limit(near_dup.FOLLOW, near_dup.BUCKET_SIGMAS)
+    assert (counts(near_dup.FOLLOW) <= near).mean() < 0.004 and (counts(0.4) <= near).mean() == 0
+    for threshold in (0.8, 0.85):
+        for times in (1, 2):
+            reach = 1 - threshold + times * near_dup.FOLLOW
+            assert (counts(reach) > near_dup.sketch_limit(threshold, reach, near_dup.BUCKET_SIGMAS)).mean() < 0.004
+        assert (counts(1 - threshold) > near_dup.sketch_limit(threshold)).mean() < 0.001
+
+
 # 9 language ID, 10 toxicity
 
 
