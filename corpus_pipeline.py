@@ -3,9 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame, which ``run`` writes as Parquet to the shared folder
 and reads again. All stages but the last return the columns of ``docs``. Rows
-with the same doc_id, if any, are judged together; a row without a doc_id cannot
-be named in a decision and is rejected by the first stage. An empty table gives
-an empty result.
+with the same doc_id, if any, are judged by their own texts; a row without a
+doc_id is rejected by the first stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from svloom.llm import language, mixing, near_dup, packing, toxicity
-from svloom.llm.common import table, written
+from svloom.llm.common import free, table, written
+
+#: What a decision names: the hash of a row's doc_id and text.
+ROW = ("doc_id", "text")
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the hash of ROW, and that column's name."""
+    name = free(docs.columns, "row_key")
+    return docs.withColumn(name, F.xxhash64(*[docs[c] for c in ROW])), name
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,29 +29,36 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.trained(docs)
     if not model.languages:
         return docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("\\p{L}"))
-    found = language.identify(docs, model)
-    good = found.where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    rows, key = keyed(docs.where("doc_id is not null"))
+    good = language.identify(rows, model, doc_id=key).where("lang_pred <> 'und'").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(good, key, "left_semi").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored toxic; learns from the labels of its input's documents."""
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    rows, key = keyed(docs)
+    bad = toxicity.score(rows, model, doc_id=key).where("predicted = 1").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(bad, key, "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group linked by 5-word shingles at a similarity of 0.8."""
-    kept = near_dup.near_duplicates(docs, 5, 80, 100).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document, of the smallest doc_id, of each group linked by 5-word shingles at a similarity of 0.8."""
+    rows, key = keyed(docs)
+    found = near_dup.near_duplicates(docs, 5, 80, 100, mark=F.xxhash64(*[docs[c] for c in ROW])).where("kept")
+    # rows may repeat the smallest doc_id; those without words are groups of their own
+    one = found.groupBy("group", F.when(F.col("group").isNull(), F.col("mark"))).agg(F.min("mark").alias(key)).select(key)
+    return rows.join(one, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's share of all words asks for (0 to 3 times)."""
-    times = mixing.mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = docs.join(times, "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    i, s, n, k = (free(docs.columns, c) for c in ("mix_id", "mix_source", "mix_times", "mix_copy"))
+    times = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("times").alias(n)).distinct()
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(F.col(i)) & docs["source"].eqNullSafe(F.col(s)))
+    # a text without words is not taken, though its doc_id may name one with words
+    taken = taken.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
