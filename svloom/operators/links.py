@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..options import Options
 from ..ship import ship
-from .regions import running
+from .regions import ORDER, running_before
 
 c = F.col
+#: Bases of a bucket in which reads are compared one by one.
+FINE = 4096
 
 
 def mate_pairs(reads: DataFrame) -> DataFrame:
@@ -70,12 +72,28 @@ def owned_pairs(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def normal_counts(admitted: DataFrame, anomalous: DataFrame, keys: list[str], key: str, accepted: DataFrame) -> DataFrame:
-    """Per accepted region: running counts of proper-pair reads of every key at its first (lo) and last (hi) anomalous read."""
+    """Per accepted region: running counts of proper-pair reads of every key at its first (lo) and last (hi) anomalous read.
+
+    Reads are counted by small buckets of positions, whose sums run on; only in
+    buckets that hold a region's end are single reads compared with it. Nothing
+    is sorted.
+    """
     from ..functions import flags as fl
 
-    sums = {f"k{i}": F.when(fl.proper_pair() & (c(key) == k), 1).otherwise(0) for i, k in enumerate(keys)}
-    run = running(admitted, sums).join(anomalous.select("qname", "mate", "island"), ["qname", "mate"]).join(accepted.select("island", "region"), "island")
-    return run.groupBy("region").agg(*[f(x).alias(f"{n}_{x}") for x in sums for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    names = [f"k{i}" for i in range(len(keys))]
+    proper = admitted.where(fl.proper_pair()).select(*ORDER, F.floor(c("pos") / FINE).alias("bucket"), *[F.when(c(key) == k, 1).otherwise(0).alias(n) for n, k in zip(names, keys, strict=True)])
+    at = F.struct(*ORDER)
+    ends = anomalous.select("island", at.alias("at")).join(accepted.select("island", "region"), "island").groupBy("region").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    ends = ends.select("region", F.inline(F.array(F.struct(F.lit("lo").alias("side"), c("lo").alias("end")), F.struct(F.lit("hi").alias("side"), c("hi").alias("end")))))
+    ends = ends.withColumns({"tid": c("end.tid"), "bucket": F.floor(c("end.pos") / FINE)})
+    inside = proper.withColumn("read", at).drop("pos", "rev", "qname", "mate").join(ends, ["tid", "bucket"]).where(c("read") <= c("end"))
+    inside = inside.groupBy("region", "side").agg(*[F.sum(n).alias(n) for n in names])
+    # sums before each bucket: over the buckets of a large one, then over the large ones; buckets that only regions have count none
+    used = ends.select("tid", "bucket", *[F.lit(0).alias(n) for n in names])
+    fine = proper.select("tid", "bucket", *names).unionByName(used).groupBy("tid", "bucket").agg(*[F.sum(n).alias(n) for n in names])
+    before = running_before(fine, names)
+    out = ends.select("region", "side", "tid", "bucket").join(before, ["tid", "bucket"]).join(inside.select("region", "side", *[c(n).alias(f"in_{n}") for n in names]), ["region", "side"], "left")
+    return out.groupBy("region").agg(*[F.max(F.when(c("side") == s, c(n) + F.coalesce(f"in_{n}", F.lit(0)))).cast("long").alias(f"{s}_{n}") for n in names for s in ("lo", "hi")])
 
 
 def between_counts(edge: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

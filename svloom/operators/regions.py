@@ -36,6 +36,21 @@ def running(df: DataFrame, sums: dict[str, F.Column], bucket: int = BUCKET) -> D
     return out
 
 
+def running_before(buckets: DataFrame, sums: list[str], many: int = 4096) -> DataFrame:
+    """Of a row per (tid, bucket): the sums of all rows before it, in order of contig and bucket; ``many`` buckets are added up at a time."""
+    d = buckets.withColumn("_group", F.floor(c("bucket") / many))
+    upto = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy("tid", "_group").agg(*[F.sum(n).alias(n) for n in sums])
+    contigs = per.groupBy("tid").agg(*[F.sum(n).alias(n) for n in sums])
+    # a row per contig: the header's size
+    firsts = contigs.select("tid", *[F.coalesce(F.sum(n).over(upto(Window.orderBy("tid"))), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    groups = per.select("tid", "_group", *[F.coalesce(F.sum(n).over(upto(Window.partitionBy("tid").orderBy("_group"))), F.lit(0)).alias(f"_g_{n}") for n in sums])
+    own = Window.partitionBy("tid", "_group").orderBy("bucket")
+    d = d.select("tid", "_group", "bucket", *[F.coalesce(F.sum(n).over(upto(own)), F.lit(0)).alias(n) for n in sums])
+    d = d.join(groups, ["tid", "_group"]).join(F.broadcast(firsts), "tid")
+    return d.select("tid", "bucket", *[(c(n) + c(f"_g_{n}") + c(f"_c_{n}")).alias(n) for n in sums])
+
+
 def islands(df: DataFrame, window: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Adds ``island``, numbered from 1 in order: a new one where the contig changes or the gap exceeds ``window`` (one row)."""
     d = _buckets(df, bucket)

@@ -227,7 +227,11 @@ def w7_f18_majority(spark, sf_dir):
 
 @query(plain(sql.VOTES, " SELECT ea, eb, lib, bam_file, n, CAST(span AS BIGINT) AS span FROM sup"))
 def a11_evidence(spark, sf_dir):
-    o = by_edge(analysis(spark, sf_dir))
+    return evidence(analysis(spark, sf_dir))
+
+
+def evidence(a: Analysis) -> DataFrame:
+    o = by_edge(a)
     return calls.evidence(o, calls.flag_votes(o).where("flag_pairs >= 2"))
 
 
@@ -258,7 +262,7 @@ def p7_sizes(spark, sf_dir):
 @query(plain(sql.HIST, sql.COVERED, sql.PLACES, ", tests AS (SELECT sup.ea, sup.eb, sup.n AS k, greatest(1e-10::DOUBLE, span_size::DOUBLE * [n0,n1,n2,n3,n4,n5,n6,n7,n8,n9,n10][sup.flag + 1] / covered) AS lam FROM sup JOIN bp USING (ea, eb) JOIN hist USING (lib), cov) SELECT ea, eb, round(sum(" + sql.TAIL + "), 6) AS log_p, CAST(least(99, trunc(-10 * sum(" + sql.TAIL + ") / ln(10) + 0.5::DOUBLE)) AS INTEGER) AS score FROM tests GROUP BY ea, eb"))
 def p1_p3_scores(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    s = calls.log_score(placed(a), a11_evidence(spark, sf_dir), a.hist, a.covered)
+    s = calls.log_score(placed(a), evidence(a), a.hist, a.covered)
     return s.select("ea", "eb", F.round("log_p", 6).alias("log_p"), phred(c("log_p")).alias("score"))
 
 

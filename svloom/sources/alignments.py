@@ -9,10 +9,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from . import bam
+
 c = F.col
 SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int"
 # Four-bit base codes and cigar operations of the format.
 BASES, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+#: Rows of a batch; schemes of files that executors open by themselves.
+BATCH, OPENED = 20_000, {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
 
 
 def read_sam(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
@@ -80,6 +84,23 @@ def _tags(b: bytes) -> dict[str, object]:
     return out
 
 
+def _row(d: bytes, i: int, end: int, name: str, contigs: list[str], with_seq: bool) -> tuple:
+    """A row of SCHEMA from the record at ``i``."""
+    _, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mref, mpos, isize = struct.unpack_from("<iiiBBHHHiiii", d, i)
+    contig = lambda t: contigs[t] if t >= 0 else "*"
+    j = i + 36
+    qname = d[j : j + l_name - 1].decode()
+    j += l_name
+    ops = struct.unpack_from(f"<{n_cigar}I", d, j)
+    j += 4 * n_cigar
+    packed, qual = d[j : j + (l_seq + 1) // 2], d[j + (l_seq + 1) // 2 : j + (l_seq + 1) // 2 + l_seq]
+    t = _tags(d[j + (l_seq + 1) // 2 + l_seq : end])
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] if with_seq and l_seq else None
+    text = bytes(q + 33 for q in qual) if with_seq and l_seq and qual[0] != 255 else None
+    am = t.get("AM")
+    return (name, qname, flag, contig(ref), ref, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", contig(mref), mref, mpos, isize, l_seq, seq, text, t.get("RG"), int(am) if am is not None else None, 2 if flag & 128 else 1)
+
+
 def decode_bam(data: bytes, name: str, tid: int | None = None, with_seq: bool = True) -> Iterator[tuple]:
     """Rows of SCHEMA from the bytes of one BAM file; others than contig ``tid`` are skipped before they are decoded."""
     d = _inflated(data)
@@ -93,33 +114,24 @@ def decode_bam(data: bytes, name: str, tid: int | None = None, with_seq: bool =
         k = struct.unpack_from("<i", d, i)[0]
         contigs.append(d[i + 4 : i + 3 + k].decode())
         i += 8 + k
-    contig = lambda t: contigs[t] if t >= 0 else "*"
     while i < len(d):
-        size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mref, mpos, isize = struct.unpack_from("<iiiBBHHHiiii", d, i)
-        end, j = i + 4 + size, i + 36
+        end = i + 4 + struct.unpack_from("<i", d, i)[0]
+        if tid is None or struct.unpack_from("<i", d, i + 4)[0] == tid:
+            yield _row(d, i, end, name, contigs, with_seq)
         i = end
-        if tid is not None and ref != tid:
-            continue
-        qname = d[j : j + l_name - 1].decode()
-        j += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", d, j)
-        j += 4 * n_cigar
-        packed, qual = d[j : j + (l_seq + 1) // 2], d[j + (l_seq + 1) // 2 : j + (l_seq + 1) // 2 + l_seq]
-        t = _tags(d[j + (l_seq + 1) // 2 + l_seq : end])
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] if with_seq and l_seq else None
-        text = bytes(q + 33 for q in qual) if with_seq and l_seq and qual[0] != 255 else None
-        am = t.get("AM")
-        yield (name, qname, flag, contig(ref), ref, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", contig(mref), mref, mpos, isize, l_seq, seq, text, t.get("RG"), int(am) if am is not None else None, 2 if flag & 128 else 1)
 
 
 class _BamPartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+    """A split of a file; without a header the whole file, whose blocks do not tell their sizes."""
+
+    def __init__(self, path: str, size: int, begin: int, end: int, head: bam.Header | None):
+        self.path, self.size, self.begin, self.end, self.head = path, size, begin, end, head
 
 
 class _BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.tid, self.with_seq = options["path"].split(","), None, options.get("with_seq", "true") == "true"
+        self.split = int(options.get("split", bam.SPLIT))
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -128,15 +140,37 @@ class _BamReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        return [_BamPartition(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            with bam.opened(p) as f:
+                size = f.seek(0, 2)
+                head = bam.header(f, p)
+                cuts = [(0, size)] if head is None else bam.splits(f, size, head, self.tid, self.split)
+                out += [_BamPartition(p, size, b, e, head) for b, e in cuts]
+        return out or [_BamPartition("", 0, 0, 0, None)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from decode_bam(f.read(), partition.value.rsplit("/", 1)[-1], self.tid, self.with_seq)
+        import pyarrow as pa
+
+        name, kinds = partition.path.rsplit("/", 1)[-1], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
+
+        def rows() -> Iterator[tuple]:
+            with bam.opened(partition.path) as f:
+                if partition.head is None:
+                    yield from decode_bam(f.read(), name, self.tid, self.with_seq)
+                    return
+                for d, i, end in bam.records(f, partition.size, partition.begin, partition.end, partition.head):
+                    if self.tid is None or struct.unpack_from("<i", d, i + 4)[0] == self.tid:
+                        yield _row(d, i, end, name, partition.head.contigs, self.with_seq)
+
+        found = rows() if partition.path else iter(())
+        while chunk := [r for _, r in zip(range(BATCH), found, strict=False)]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*chunk, strict=True), schema.types, strict=True)], schema=schema)
 
 
 class BamDataSource(DataSource):
-    """``spark.read.format("bam")`` over files that every executor can open; a partition for each file of a comma-separated path."""
+    """``spark.read.format("bam")`` over files that every executor can open (a path, or a URI of a store that pyarrow knows); path: comma-separated. Partitions are splits of the files, of as many bytes as the option ``split`` says."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,15 +185,27 @@ class BamDataSource(DataSource):
 
 def register_bam(spark: SparkSession) -> None:
     """Makes the format ``bam`` known to the session, with filters handed down to it."""
+    from ..ship import ship
+
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str, with_seq: bool = True) -> DataFrame:
-    """Rows of BAM files below ``path`` in any store Spark reads: whole files as binary, each decoded where it is read."""
-    from ..ship import ship
+def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int = bam.SPLIT) -> DataFrame:
+    """Rows of the BAM files below ``path`` (a file, folder or pattern) in any store Spark reads.
 
-    ship(spark)
+    Files in stores that executors open by themselves are read in splits of
+    ``split`` bytes. Of others each is read whole, so they may have 2 GB at most.
+    """
+    register_bam(spark)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    found = [s for g in store.globStatus(at) or [] for s in (store.listStatus(g.getPath()) if g.isDirectory() else [g])]
+    files = sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith((".", "_")) and not s.getPath().getName().endswith(".bai"))
+    if files and all(f.split(":", 1)[0] in OPENED for f in files):
+        return spark.read.format("bam").options(with_seq=str(with_seq).lower(), split=split).load(",".join(files))
 
     def run(batches):
         import pandas as pd
@@ -167,17 +213,30 @@ def read_bam(spark: SparkSession, path: str, with_seq: bool = True) -> DataFrame
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = decode_bam(bytes(content), path.rsplit("/", 1)[-1], None, with_seq)
-                while chunk := [r for _, r in zip(range(20_000), rows, strict=False)]:
+                while chunk := [r for _, r in zip(range(BATCH), rows, strict=False)]:
                     yield pd.DataFrame(chunk, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"am": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def pooled(parts: list[DataFrame]) -> DataFrame:
-    """Alignments of several files as one set, with contig numbers by name over all of them."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+def pooled(parts: list[DataFrame], contigs: list[str] | None = None) -> DataFrame:
+    """Alignments of several files as one set, with contigs numbered by name over all of them.
+
+    contigs: the names in their order; else those of the first part in its
+    order, then what each further part adds (only names and numbers are
+    collected, a row for each contig). Records without a contig keep -1.
+    """
+    if contigs is None:
+        contigs = []
+        for p in parts:
+            ends = p.select("contig", "tid").unionByName(p.select(c("mcontig").alias("contig"), c("mtid").alias("tid"))).where("tid >= 0")
+            own = sorted((r["tid"], r["contig"]) for r in ends.groupBy("contig").agg(F.min("tid").alias("tid")).collect())
+            contigs += [n for _, n in own if n not in contigs]
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(contigs) for x in (k, i)]) if contigs else F.lit(None).cast("map<string,int>")
+    out = None
+    for p in parts:
+        p = p.withColumns({t: F.when(c(t) >= 0, F.element_at(number, c(n))).otherwise(-1).cast("int") for t, n in (("tid", "contig"), ("mtid", "mcontig"))})
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
 
 
