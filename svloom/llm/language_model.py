@@ -35,8 +35,8 @@ from .common import MIX_B, MIX_C, U64, as_bytes, mixed, pieces, signed, word_has
 
 #: Words with a restaurant of their own (the most frequent); restaurants in all, 2 ** 16 at most; documents in a block (mean).
 FREQUENT, CONTEXTS, BLOCK_DOCS = 4096, 1 << 16, 4000
-#: Tasks that look for the frequent words; groups in which the parts' totals are added up.
-TOP_TASKS, SUM_TASKS = 32, 16
+#: Tasks that look for the frequent words; tasks that add up the parts' totals at last, and rows of totals for each of the tasks before.
+TOP_TASKS, SUM_TASKS, SUM_ROWS = 32, 16, 64
 #: Distinct words whose sums a task holds.
 HELD_WORDS = 1 << 20
 #: Discount and strength of the parent and of the context restaurants.
@@ -206,12 +206,13 @@ def seated(sizes: Sizes):
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (totals): their sum, a row a task."""
-    total = np.zeros(SAMPLES * (CONTEXTS + 2))
+    """Of rows (totals): their sum, a row a task that has rows (empty tasks send nothing to the driver)."""
+    total = None
     for b in batches:
         for x in b.column(0).to_pylist():
-            total += np.frombuffer(x)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["totals"])
+            total = np.frombuffer(x) + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["totals"])
 
 
 def scored(context_of: dict[int, int], parts: int, sizes: Sizes, totals: np.ndarray):
@@ -304,8 +305,10 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     sent = d.select("block", "text", "train").repartition("block").sortWithinPartitions("block", F.xxhash64("text"))
     counts = sent.mapInArrow(counted(context_of, parts), "part long, block long, words binary, counts binary, entry_word binary, entry_ctx binary, entry_counts binary")
     answers = written(counts.repartition("part").sortWithinPartitions("part", "block").mapInArrow(seated(sizes), ANSWERS), "answers")
-    shares = answers.where("totals is not null").select(F.pmod("part", F.lit(SUM_TASKS)).alias("group"), "totals").repartition(SUM_TASKS, "group").select("totals")
-    totals = sum((np.frombuffer(r["totals"]) for r in shares.mapInArrow(summed, "totals binary").collect()), np.zeros(SAMPLES * (CONTEXTS + 2))).reshape(SAMPLES, -1)
+    shares = answers.where("totals is not null").select("totals")
+    for tasks in (max(SUM_TASKS, parts // SUM_ROWS), SUM_TASKS):
+        shares = shares.repartition(tasks).mapInArrow(summed, "totals binary")
+    totals = sum((np.frombuffer(r["totals"]) for r in shares.toLocalIterator()), np.zeros(SAMPLES * (CONTEXTS + 2))).reshape(SAMPLES, -1)
     replies = answers.where("block is not null").select("block", "part", "counts", "rest", "entry_rest")
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored(context_of, parts, sizes, totals), out)
