@@ -37,6 +37,8 @@ TOXIC_SEGMENT, ORDINARY_SEGMENT = 20, 64
 WINDOW, OVERLAP, PIECE = 24, 10, 256
 #: Words of a passage that is learned once; rounds of the toxic dictionary; share of ordinary windows beyond a round's limit, and how many of them find it.
 PASSAGE, ROUNDS, BEYOND, JUDGED = 3, 2, 0.03, 20_000
+#: Windows compressed in one call.
+AT_ONCE = 1 << 15
 #: Distances beyond which windows are counted; largest distances that are features of their own.
 SHARES, COUNTS, LARGEST = (2, 4, 6), (2, 3, 4, 5, 6), 3
 FEATURES = 1 + LARGEST + len(SHARES) + len(COUNTS)
@@ -106,20 +108,31 @@ class Dictionaries:
             for after in (bytes(len(self.toxic)), self.toxic):
                 d = zstandard.ZstdCompressionDict(self.ordinary + after, dict_type=zstandard.DICT_TYPE_FULLDICT)
                 d.precompute_compress(compression_params=p)
-                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
+                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).multi_compress_to_buffer)
             self._made = tuple(made)
         return self._made
 
     def distances(self, ws: list[bytes]) -> np.ndarray:
-        # one after the other: either's tables about fill a processor's cache
-        one, both = ([len(c(w)) for w in ws] for c in self.compressors())
-        return np.subtract(one, both)
-
-    def features(self, b: bytes) -> np.ndarray:
-        """The windows' logarithm, the largest distances, and shares and numbers of the windows beyond some distances."""
-        s = self.distances(windows(b))
-        top = np.pad(np.sort(s)[::-1][:LARGEST], (0, max(0, LARGEST - len(s))))
-        return np.array([np.log(len(s)), *top, *(20 * (s >= v).mean() for v in SHARES), *(np.log1p((s >= v).sum()) for v in COUNTS)])
+        # one after the other: either's tables about fill a processor's cache; each window is a frame of its own
+        one, both = (np.array([len(f) for s in range(0, len(ws), AT_ONCE) for f in c(ws[s : s + AT_ONCE], threads=1)], int) for c in self.compressors())
+        return one - both
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """By text: the windows' logarithm, the largest distances, and shares and numbers of the windows beyond some distances."""
+        out = np.empty((len(texts), FEATURES))
+        i = 0
+        while i < len(texts):
+            # windows of several texts are compressed in one call
+            own, ends, j = [], [], i
+            while j < len(texts) and len(own) < AT_ONCE:
+                own += windows(texts[j])
+                ends.append(len(own))
+                j += 1
+            for k, s in enumerate(np.split(self.distances(own), ends[:-1]), i):
+                top = np.pad(np.sort(s)[::-1][:LARGEST], (0, max(0, LARGEST - len(s))))
+                out[k] = [np.log(len(s)), *top, *(20 * (s >= v).mean() for v in SHARES), *(np.log1p((s >= v).sum()) for v in COUNTS)]
+            i = j
+        return out
 
 
 def learn(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries | None:
@@ -157,7 +170,7 @@ class Model:
         if self.weights is None:
             return np.zeros(len(texts))
         mean, spread, w = self.weights
-        x = np.array([self.dictionaries.features(plain(t)) for t in texts], float).reshape(len(texts), FEATURES)
+        x = self.dictionaries.features([plain(t) for t in texts])
         z = np.c_[(x - mean) / spread, np.ones(len(x))] @ w
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -218,8 +231,12 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            x = [halves[1 - k].features(plain(t)).tolist() for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+            half, texts = b.column(0).to_numpy(), [plain(t) for t in b.column(2).to_pylist()]
+            x = np.empty((len(texts), FEATURES))
+            for k in (0, 1):
+                at = np.flatnonzero(half == k)
+                x[at] = halves[1 - k].features([texts[i] for i in at])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = sample.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("text")).mapInArrow(run, "toxic int, x array<double>").collect()
     rows.sort()
