@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 MAX_ROUNDS = 60
+#: Parts into which the neighbours of each node are dealt, so that a hub's rows meet in as many tasks.
+PARTS = 32
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Points each neighbour of u at the smallest neighbour of u (or u itself)."""
     n = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
-    low = n.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    pairs = n.join(low, "a")
+    n = n.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    parts = n.groupBy("a", "part").agg(F.min("b").alias("m"))
+    low = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
+    # a node has PARTS rows at most here; its neighbours meet them part by part
+    pairs = n.join(parts.select("a", "part").join(low, "a"), ["a", "part"])
     if both:
         out = pairs.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -652,3 +652,24 @@ def test_frequent_words_are_counted_exactly(spark, monkeypatch):
     sizes = language_model.sizes_of(counts, want)
     assert (sizes.tokens, sizes.vocabulary) == (90 + 450, 10) and sizes.customers[:5].tolist() == [90, 90, 80, 70, 60]
     assert language_model.frequent_words(language_model.word_counts(d.limit(0)), 4) == {}
+
+
+def test_components_with_a_hub(spark):
+    from svloom.llm.components import components
+
+    r = random.Random(3)
+    edges = [(7, r.randrange(5000)) for _ in range(6000)] + [(r.randrange(9000, 12000), r.randrange(9000, 12000)) for _ in range(1400)] + [(20000 + i, 20001 + i) for i in range(300)] + [(50, 50), (60000, 60000), (None, 1), (2, None)]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
