@@ -387,7 +387,33 @@ def s19_size_histogram(spark, sf_dir):
 
 @query()
 def p14_p15_normality(spark, sf_dir):
-    return estimate.normality(estimate.usable(legacy(spark, sf_dir)))
+    return estimate.normality(estimate.sampled(estimate.usable(legacy(spark, sf_dir))))
+
+
+#: Of the estimator: each file names one library. Rows of a file up to its stop, for 100 observations.
+FILE_LIBS = {"a.bam": 1, "b.bam": 1}
+
+
+@query(LEGACY + """, good AS (SELECT *, code IN (18, 20) AND dist >= 0 AS obs FROM leg WHERE bdqual > 35 AND lib IS NOT NULL),
+  gk AS (SELECT *, row_number() OVER w AS k, coalesce(count(*) FILTER (obs) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM good WINDOW w AS (PARTITION BY bam_file, lib ORDER BY tid, pos, qname, mate)),
+  hk AS (SELECT *, coalesce(max(CASE WHEN greatest(seen, 1) / k < 0.0001 THEN 1 ELSE 0 END) OVER (PARTITION BY bam_file, lib ORDER BY tid, pos, qname, mate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM gk),
+  ok AS (SELECT *, row_number() OVER (PARTITION BY bam_file ORDER BY tid, pos, qname, mate) AS no FROM hk WHERE seen <= 100 AND gone = 0)
+SELECT lib, qname, mate FROM ok WHERE no <= 301 AND obs""")
+def a20_overall_stop(spark, sf_dir):
+    d = legacy(spark, sf_dir)
+    return estimate.usable(estimate.until_stop(d, estimate.stops(d, FILE_LIBS, 100))).select("lib", "qname", "mate")
+
+
+@query()
+def s18_p14_estimator(spark, sf_dir):
+    x = estimate.estimated(legacy(spark, sf_dir), FILE_LIBS)
+    return estimate.config_lines(x.withColumns({"rg": c("lib"), "bam_file": F.concat("lib", F.lit(".bam"))}))
+
+
+@query("WITH" + sql.reads() + ", n AS (SELECT *, CAST(substr(qname, 2) AS BIGINT) * 2 + mate AS no FROM reads), l AS (SELECT *, lag(tid) OVER w AS t, lag(pos) OVER w AS p FROM n WINDOW w AS (PARTITION BY bam_file ORDER BY no)) SELECT qname, mate FROM l WHERE t = tid AND pos < p")
+def f14_out_of_order(spark, sf_dir):
+    reads = reads_from_orders(spark, sf_dir).withColumn("no", F.expr("CAST(substr(qname, 2) AS BIGINT) * 2 + mate"))
+    return estimate.out_of_order(reads, bits=10).select("qname", "mate")
 
 
 @query("WITH" + sql.reads(True) + """ SELECT qname || chr(9) || flag || chr(9) || CASE WHEN tid < 0 THEN '*' ELSE 'chr' || (tid + 1) END || chr(9) || (pos + 1) || chr(9) || mapq || chr(9) || qlen || 'M' || chr(9)

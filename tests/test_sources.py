@@ -179,14 +179,59 @@ def test_tails(spark):
     assert [r[1] for r in p] == [87, 99, 0]
 
 
-def test_normality():
+def test_normality(spark):
     # a textbook sample (weights of 11 men): W = 0.79, p = 0.007
     x = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    assert abs(10 ** estimate.shapiro_wilk_log10(np.array(x)) - 0.0067) < 0.0005
+    assert abs(estimate.shapiro_wilk(np.array(x)) - 0.0067) < 0.0005
     rng = np.random.default_rng(1)
-    assert estimate.shapiro_wilk_log10(rng.normal(size=3000)) > -2 and estimate.shapiro_wilk_log10(rng.exponential(size=300)) < -5
-    assert estimate.shapiro_wilk_log10(np.array([1.0])) == -1 and estimate.shapiro_wilk_log10(np.ones(9)) == -2.1
-    assert estimate.shapiro_wilk_log10(np.array([1.0, 2.0, 3.0])) > -0.01
+    assert estimate.shapiro_wilk(np.sort(rng.normal(size=3000))) > 1e-2 and estimate.shapiro_wilk(np.sort(rng.exponential(size=300))) < 1e-5
+    assert estimate.shapiro_wilk(np.array([1.0, 2.0, 3.0])) > 0.97
+    codes = [estimate.shapiro_wilk(np.array(v)) for v in ([], [1.0, 2.0], [1.0] * 9, [1.0, 3.0, 2.0, 4.0])]
+    assert codes == [-1, -1, -2.2, -2.3]
+    assert [estimate.normality_field(p) for p in (-1.0, -2.1, -2.2, -2.3, 0.0, 0.01)] == ["data not qualified -1", "data not qualified -2.1", "data not qualified -2.2", "data not qualified -2.3", "minus infinity", "-2.00"]
+    d = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 5.0)] * 4, "lib string, dist double")
+    got = {r["lib"]: r for r in estimate.normality(d).collect()}
+    assert abs(got["a"]["log10_p"] - math.log10(0.0067)) < 0.05 and (got["b"]["p"], got["b"]["log10_p"], got["b"]["field"]) == (-2.2, None, "data not qualified -2.2")
+
+
+def walked(records, libraries, n, share):
+    """Observations by library of one file, a record after the other."""
+    alive, found, good, total = set(libraries), {}, {}, 0
+    for lib, qual, obs in records:
+        if not alive or total > 3 * len(libraries) * n:
+            break
+        if lib not in alive or qual <= 35:
+            continue
+        total += 1
+        good[lib] = good.get(lib, 0) + 1
+        if max(1, len(found.get(lib, ()))) / good[lib] < share:
+            alive.discard(lib)
+            found[lib] = None
+        elif obs:
+            found.setdefault(lib, []).append(total)
+            if len(found[lib]) > n:
+                alive.discard(lib)
+    return {k: len(v) for k, v in found.items() if v}
+
+
+@pytest.mark.parametrize(("n", "share", "odds"), [(5, 1e-4, (0.9, 0.9, 0.9)), (40, 1e-4, (0.9, 0.1, 0.2)), (20, 0.05, (0.8, 0.01, 0.5)), (500, 1e-4, (0.5, 0.5, 0.5))])
+def test_estimator_stops(spark, n, share, odds):
+    rng = np.random.default_rng(n)
+    rows = [("f", f"L{k}", 0, pos, f"q{pos:05d}", 1, int(rng.choice([20, 60], p=[0.2, 0.8])), 18 if rng.random() < odds[k] else 64, 300) for pos, k in enumerate(rng.integers(0, 3, 900).tolist())]
+    d = spark.createDataFrame(rows, "bam_file string, lib string, tid int, pos int, qname string, mate int, bdqual int, code int, dist int")
+    got = estimate.usable(estimate.until_stop(d, estimate.stops(d, {"f": 3}, n, min_share=share))).groupBy("lib").count().collect()
+    assert {r["lib"]: r["count"] for r in got} == walked([(r[1], r[6], r[7] == 18) for r in rows], ["L0", "L1", "L2"], n, share)
+    assert estimate.stops(d.limit(0), {"f": 3}, n).count() == 0 and estimate.stops(d, {}, n).count() == 0
+
+
+def test_order_of_records(spark):
+    rows = [("f", 0, 5), ("f", 0, 9), ("f", 0, 9), ("f", 1, 2), ("f", 0, 1), ("f", 0, 0), ("g", 0, 3), ("g", 0, 2)]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "bam_file string, tid int, pos int, no long")
+    for bits in (0, 1, 33):  # every record a split of its own; two records; all in one
+        assert sorted(r["no"] for r in estimate.out_of_order(d, bits=bits).collect()) == [5, 7]
+    estimate.assert_sorted(d.where("no < 5"))
+    with pytest.raises(ValueError, match="not sorted by position: f"):
+        estimate.assert_sorted(d.where("bam_file = 'f'"))
 
 
 def test_legacy_codes(spark):
