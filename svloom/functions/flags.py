@@ -101,6 +101,11 @@ def letter_or_bit(bit: int, letter: str) -> Column:
     return (F.coalesce(text.try_cast("int"), F.lit(0)).bitwiseAND(bit) != 0) | F.contains(text, F.lit(letter))
 
 
+def legacy_quality(mapped: bool = False) -> Column:
+    """Mapping quality as the estimator takes it: the tags aq, then am, before mapq; mapped: mapq itself."""
+    return c("mapq") if mapped else F.coalesce(c("aq"), c("am"), c("mapq"))
+
+
 def legacy_code() -> Column:
     """External code as the estimator derives it from flag_text, chr/pos/mchr/mpos, platform and mf (an override)."""
     rev, mate_rev = letter_or_bit(0x10, "r"), letter_or_bit(0x20, "R")

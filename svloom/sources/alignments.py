@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import bam
 
 c = F.col
-SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int"
+SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int, aq int"
 # Four-bit base codes and cigar operations of the format.
 BASES, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 #: Rows of a batch; schemes of files that executors open by themselves.
@@ -36,13 +36,14 @@ def read_sam(spark: SparkSession, path: str, contigs: list[str] | None = None) -
     return rows.select(
         "bam_file", s[0].alias("qname"), s[1].cast("int").alias("flag"), s[2].alias("contig"), tid(s[2]).alias("tid"), (s[3].cast("int") - 1).alias("pos"), s[4].cast("int").alias("mapq"), s[5].alias("cigar"),
         mate_contig.alias("mcontig"), tid(mate_contig).alias("mtid"), (s[7].cast("int") - 1).alias("mpos"), s[8].cast("int").alias("isize"), F.coalesce(F.length(seq), F.lit(0)).alias("qlen"), seq.alias("seq"),
-        F.when(s[10] != "*", F.encode(s[10], "utf-8")).alias("qual_text"), tag("RG").alias("rg"), tag("AM").cast("int").alias("am"), F.when(s[1].cast("int").bitwiseAND(128) != 0, 2).otherwise(1).alias("mate"),
+        F.when(s[10] != "*", F.encode(s[10], "utf-8")).alias("qual_text"), tag("RG").alias("rg"), tag("AM").cast("int").alias("am"), F.when(s[1].cast("int").bitwiseAND(128) != 0, 2).otherwise(1).alias("mate"), tag("Aq").cast("int").alias("aq"),
     ).withColumnRenamed("qual_text", "qual")
 
 
 def sam_lines(df: DataFrame) -> DataFrame:
     """SAM text of alignments (qual holds printable bytes): one column, ``value``."""
-    tags = F.concat_ws("\t", F.concat(F.lit("RG:Z:"), c("rg")), F.concat(F.lit("AM:i:"), c("am").cast("string")))
+    tags = [F.concat(F.lit("RG:Z:"), c("rg")), F.concat(F.lit("AM:i:"), c("am").cast("string"))]
+    tags = F.concat_ws("\t", *tags, *[F.concat(F.lit("Aq:i:"), c("aq").cast("string"))] * ("aq" in df.columns))
     star = lambda x: F.coalesce(x, F.lit("*"))
     mate = F.when((c("mcontig") == c("contig")) & (c("contig") != "*"), "=").otherwise(star(c("mcontig")))
     base = F.concat_ws("\t", "qname", c("flag").cast("string"), star(c("contig")), (c("pos") + 1).cast("string"), c("mapq").cast("string"), star(c("cigar")), mate, (c("mpos") + 1).cast("string"), c("isize").cast("string"), star(c("seq")), star(F.decode("qual", "utf-8")))
@@ -97,8 +98,8 @@ def _row(d: bytes, i: int, end: int, name: str, contigs: list[str], with_seq: bo
     t = _tags(d[j + (l_seq + 1) // 2 + l_seq : end])
     seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] if with_seq and l_seq else None
     text = bytes(q + 33 for q in qual) if with_seq and l_seq and qual[0] != 255 else None
-    am = t.get("AM")
-    return (name, qname, flag, contig(ref), ref, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", contig(mref), mref, mpos, isize, l_seq, seq, text, t.get("RG"), int(am) if am is not None else None, 2 if flag & 128 else 1)
+    am, aq = t.get("AM"), t.get("Aq")
+    return (name, qname, flag, contig(ref), ref, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", contig(mref), mref, mpos, isize, l_seq, seq, text, t.get("RG"), int(am) if am is not None else None, 2 if flag & 128 else 1, int(aq) if aq is not None else None)
 
 
 def decode_bam(data: bytes, name: str, tid: int | None = None, with_seq: bool = True) -> Iterator[tuple]:
@@ -214,7 +215,7 @@ def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int =
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = decode_bam(bytes(content), path.rsplit("/", 1)[-1], None, with_seq)
                 while chunk := [r for _, r in zip(range(BATCH), rows, strict=False)]:
-                    yield pd.DataFrame(chunk, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"am": "Int32"})
+                    yield pd.DataFrame(chunk, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"am": "Int32", "aq": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -21,7 +21,7 @@ from svloom.streaming.sessions import region_sessions
 
 SF = "/root/testdata/sf0.001"
 SAM = "@HD\tVN:1.0\n@SQ\tSN:c1\tLN:900\n@SQ\tSN:c2\tLN:500\n" + "\n".join(
-    ["r1\t99\tc1\t11\t60\t4M\t=\t101\t94\tACGT\tIIII\tRG:Z:g1\tAM:i:37", "r1\t147\tc1\t101\t60\t4M\t=\t11\t-94\tTTTT\t####\tRG:Z:g1", "r2\t97\tc1\t20\t40\t4M\tc2\t7\t0\tGGGG\t*", "r3\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*"]
+    ["r1\t99\tc1\t11\t60\t4M\t=\t101\t94\tACGT\tIIII\tRG:Z:g1\tAM:i:37", "r1\t147\tc1\t101\t60\t4M\t=\t11\t-94\tTTTT\t####\tRG:Z:g1\tAq:i:21", "r2\t97\tc1\t20\t40\t4M\tc2\t7\t0\tGGGG\t*", "r3\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*"]
 ) + "\n"
 
 
@@ -31,6 +31,7 @@ def test_sam_round_trip(spark, tmp_path):
     rows = {(r["qname"], r["mate"]): r for r in d.collect()}
     a, b, c = rows["r1", 1], rows["r1", 2], rows["r2", 1]
     assert (a["tid"], a["pos"], a["mpos"], a["am"], a["rg"], a["qlen"]) == (0, 10, 100, 37, "g1", 4)
+    assert {tuple(r) for r in d.where("qname = 'r1'").select("mate", fl.legacy_quality(), fl.legacy_quality(mapped=True)).collect()} == {(1, 37, 60), (2, 21, 60)}
     assert b["isize"] == -94 and c["mtid"] == 1 and c["qual"] is None and c["rg"] is None
     assert rows["r3", 1]["tid"] == -1 and rows["r3", 1]["seq"] is None
     assert sorted(r["value"] for r in al.sam_lines(d).collect()) == sorted(SAM.split("\n")[3:-1])
@@ -55,12 +56,12 @@ def bam_bytes(names, records) -> bytes:
 
 
 def test_bam(spark, tmp_path):
-    recs = [(0, 29185299, "junk", 163, 0, 29184911, -388, "CT", b"HB", b"RGZrg3\0AMc" + bytes([37])), (1, 5, "j2", 97, 0, 7, 0, "ACG", b"\xff\xff\xff", b"XBBc" + struct.pack("<i", 2) + b"\1\2" + b"AMS" + struct.pack("<H", 300))]
+    recs = [(0, 29185299, "junk", 163, 0, 29184911, -388, "CT", b"HB", b"RGZrg3\0AMc" + bytes([37])), (1, 5, "j2", 97, 0, 7, 0, "ACG", b"\xff\xff\xff", b"XBBc" + struct.pack("<i", 2) + b"\1\2" + b"AMS" + struct.pack("<H", 300) + b"Aqi" + struct.pack("<i", 9))]
     (tmp_path / "t.bam").write_bytes(bam_bytes(["c1", "c2"], recs))
     for d in (al.read_bam(spark, str(tmp_path / "t.bam")),):
         a, b = d.orderBy("tid").collect()
         assert (a["qname"], a["flag"], a["pos"], a["mpos"], a["isize"], a["rg"], a["am"], a["seq"], a["contig"], a["mate"]) == ("junk", 163, 29185299, 29184911, -388, "rg3", 37, "CT", "c1", 2)
-        assert bytes(a["qual"]) == bytes(x + 33 for x in b"HB") and b["qual"] is None and b["am"] == 300 and b["cigar"] == "3M"
+        assert bytes(a["qual"]) == bytes(x + 33 for x in b"HB") and b["qual"] is None and b["am"] == 300 and (a["aq"], b["aq"]) == (None, 9) and b["cigar"] == "3M"
     al.register_bam(spark)
     one = spark.read.format("bam").load(str(tmp_path / "t.bam")).where("tid = 1")
     assert [r["qname"] for r in one.collect()] == ["j2"]
