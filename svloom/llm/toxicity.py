@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -214,20 +215,24 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
     Dictionaries of one half of the sample give the features on which the
     weights of the other half's documents are calibrated; those of all are kept.
-    Only the sample comes to the driver, which trains the dictionaries; features
-    are made on the executors.
+    Dictionaries are trained and features made on the executors; only these
+    come to the driver.
     """
     spark = ship(docs.sparkSession)
     sample = written(sampled(docs, labels, doc_id, text, toxic, fold_n, held), "toxic-sample")
-    texts: dict[tuple[int, int], list[bytes]] = {(k, y): [] for k in (0, 1) for y in (0, 1)}
-    for r in sample.toLocalIterator():
-        texts[r["half"], r["toxic"]].append(plain(r["text"]))
-    for v in texts.values():
-        v.sort()
-    halves = [learn(texts[k, 1], texts[k, 0]) for k in (0, 1)]
-    whole = learn(texts[0, 1] + texts[1, 1], texts[0, 0] + texts[1, 0]) if all(halves) else None
-    if whole is None:
+
+    def learned(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["half"].tolist(), map(plain, pdf["text"]), pdf["toxic"].tolist(), strict=True))
+        d = learn(*([t for _, t, y in rows if y == label] for label in (1, 0)))
+        return pd.DataFrame({"part": pdf["part"][:1], "ordinary": [d.ordinary], "toxic": [d.toxic]} if d else {"part": [], "ordinary": [], "toxic": []})
+
+    # each half, and both as part 2: a part is the sample at most, which its parameters bound
+    parts = sample.withColumn("part", F.explode(F.array("half", F.lit(2))))
+    found = parts.groupBy("part").applyInPandas(learned, "part int, ordinary binary, toxic binary").collect()
+    by_part = {r["part"]: Dictionaries(bytes(r["ordinary"]), bytes(r["toxic"])) for r in found}
+    if len(by_part) < 3:
         return Model(None)
+    halves, whole = [by_part[0], by_part[1]], by_part[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
