@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with their production parameters, and SQL where SQL can express them."""
+"""The queries of the thirteen operators, with their production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dup, language, language_model, mixing, near_dup, packing, sharding, token_count, topk, toxicity
+from . import embedding_dup, hard_negatives, language, language_model, mixing, near_dup, packing, sharding, token_count, topk, toxicity
 from .common import table
 
 
@@ -63,9 +63,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), positives=5, negatives=3, every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op7_language_model, op8_minhash_near_dup, op9_language_id, op10_toxicity)
+    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op7_language_model, op8_minhash_near_dup, op9_language_id, op10_toxicity, op11_hard_negatives)
 }
 
 #: A row's 60-bit hash in DuckDB.
@@ -125,5 +129,17 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5"""
 
 
+HARD_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+q AS (SELECT vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS q FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINE_SQL}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding_sql(), "op3_embedding_near_dup": LINKS_SQL, "op5_exact_top_k": TOP_K_SQL, "op6_mixing": MIXING_SQL}
+    return {"op1_sharding": sharding_sql(), "op3_embedding_near_dup": LINKS_SQL, "op5_exact_top_k": TOP_K_SQL, "op6_mixing": MIXING_SQL, "op11_hard_negatives": HARD_SQL}
