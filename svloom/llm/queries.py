@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cross_tokenizer, embedding_dup, hard_negatives, language, language_model, mixing, near_dup, packing, sharding, token_count, topk, toxicity
+from . import cross_tokenizer, embedding_dup, hard_negatives, language, language_model, mixing, near_dup, packing, repeats, sharding, token_count, topk, toxicity
 from .common import table
 
 
@@ -71,9 +71,14 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer.cross_tokenizer_alignment(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), 200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op7_language_model, op8_minhash_near_dup, op9_language_id, op10_toxicity, op11_hard_negatives, op12_cross_tokenizer)
+    for f in (op1_sharding, op2_token_counts, op3_embedding_near_dup, op4_packing, op5_exact_top_k, op6_mixing, op7_language_model, op8_minhash_near_dup, op9_language_id, op10_toxicity, op11_hard_negatives, op12_cross_tokenizer, op13_suffix_dedup)
 }
 
 #: A row's 60-bit hash in DuckDB.
