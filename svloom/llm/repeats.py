@@ -11,8 +11,9 @@ array is built by induced sorting; permuted common prefixes tell which strings
 start elsewhere too.
 
 A key with very many different segments (a common passage in many contexts)
-would burden one shard: its strings are compared by 128-bit hashes instead,
-combined before they are shuffled.
+would burden one shard. Its segments are parted by the side on which their
+strings have more of other bytes, and half of these bytes join the key: the parts
+go to keys of their own, again and again until no key is crowded.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from ..ship import shared_dir, ship
 from .common import MIX_A, U64, as_bytes, mixed, pieces, written
 from .suffixes import permuted_prefixes, suffix_array
 
-#: Bytes of a fingerprinted substring; bytes of one suffix array, as far as keys allow; different segments of a key beyond which its strings are hashed; bytes in a table part; bytes fingerprinted at a time.
+#: Bytes of a fingerprinted substring; bytes of one suffix array, as far as keys allow; different segments of a key beyond which they are parted; bytes in a table part; bytes fingerprinted at a time.
 GRAM, SHARD_BYTES, CROWD, PART_BYTES, SPAN = 32, 2 << 20, 512, 64 << 20, 1 << 23
 
 
@@ -89,21 +90,48 @@ def keyed(length: int):
     return run
 
 
+def shared_parts(rows: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(row, first place, places): the rows' right and left parts (see ``parts``) as far as another row shares what all strings of the part have; both parts of a row are one."""
+    b = np.frombuffer(b"".join(x[2] for x in rows) + b"\0" * GRAM, np.uint8)
+    sizes = np.array([len(x[2]) for x in rows])
+    first = np.cumsum(sizes) - sizes
+    f = (fingerprints(b, GRAM)[: len(b) - GRAM] & ~U64(0xFFFFFF)) | (np.arange(len(b) - GRAM) - np.repeat(first, sizes)).astype(U64)
+    for k in range(1, GRAM):  # substrings that end in the next row
+        f[first + sizes - k] = ~U64(0)
+    low = (np.minimum.reduceat(f, first) & U64(0xFFFFFF)).astype(np.int64).tolist()
+    mine = [parts(len(text) - length + 1, at, at + GRAM, length) for (_, _, text), at in zip(rows, low, strict=True)]
+    marks = np.array([xxhash.xxh3_64_intdigest(rows[r][2][i:j], seed=i == low[r]) for r, some in enumerate(mine) for _, _, i, j in some], U64)
+    _, where, n = np.unique(marks, return_inverse=True, return_counts=True)
+    often = iter((n[where] > 1).tolist())
+    out = []
+    for r, some in enumerate(mine):
+        kept = sorted((at, n) for at, n, _, _ in some if next(often))
+        if kept:
+            out.append((r, kept[0][0], sum(n for _, n in kept)))
+    return out
+
+
 def sharded(length: int):
     """Rows key, h, bits of (key, h, bytes) rows in order of the key: which places start a string that starts in another segment or place of the key."""
 
     def found(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        sizes = np.array([len(x[2]) for x in rows])
-        # no UTF-8 text has the byte 255: it ends a segment
-        b = np.frombuffer(b"".join(x[2] + b"\xff" for x in rows), np.uint8)
-        ends = np.cumsum(sizes + 1)
-        room = np.repeat(ends, sizes + 1) - 1 - np.arange(len(b))
-        sa = suffix_array(np.concatenate((b.astype(np.int32) + 1, [0])), 257)[1:]
-        shared, before = permuted_prefixes(b, sa, room)
-        again = shared >= length
-        again[before[np.flatnonzero(again)]] = True
-        bits = [np.packbits(again[e - 1 - n : e - length]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        some = [(k, h, x) for (k, h, _), x in zip(rows, bits, strict=True) if any(x)]
+        kept = shared_parts(rows, length)
+        bits = dict.fromkeys(range(len(rows)))
+        if kept:
+            sizes = np.array([n + length - 1 for _, _, n in kept])
+            # no UTF-8 text has the byte 255: it ends a segment
+            b = np.frombuffer(b"".join(rows[r][2][i : i + n + length - 1] + b"\xff" for r, i, n in kept), np.uint8)
+            ends = np.cumsum(sizes + 1)
+            room = np.repeat(ends, sizes + 1) - 1 - np.arange(len(b))
+            sa = suffix_array(np.concatenate((b.astype(np.int32) + 1, [0])), 257)[1:]
+            shared, before = permuted_prefixes(b, sa, room)
+            again = shared >= length
+            again[before[np.flatnonzero(again)]] = True
+            for (r, i, n), e in zip(kept, ends.tolist(), strict=True):
+                x = again[e - length - n : e - length]
+                if x.any():
+                    bits[r] = np.packbits(np.concatenate((np.zeros(i, bool), x, np.zeros(len(rows[r][2]) - length + 1 - i - n, bool)))).tobytes()
+        some = [(k, h, bits[r]) for r, (k, h, _) in enumerate(rows) if bits[r]]
         k, h, x = zip(*some, strict=True) if some else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(h, pa.int64()), pa.array(x, pa.binary())], names=["key", "h", "bits"])
 
@@ -122,29 +150,87 @@ def sharded(length: int):
     return run
 
 
-def crowded_bits(crowded: DataFrame, length: int) -> DataFrame:
-    """The rows of ``sharded`` for (key, h, bytes) rows of keys with very many segments: each string by a 128-bit hash."""
+def halved(length: int):
+    """Two parts of each segment of a crowded key, with keys of their own: those places whose strings have most of the bytes that are not common on the right, and those that have them on the left.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                view, n = memoryview(text), len(text) - length + 1
-                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, h)), pa.array(np.arange(n)), pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1]))], names=["key", "h", "at", "u", "v"])
+    All strings of a segment share the bytes from ``low`` to ``high``; those of
+    a part share half of the remaining bytes more, which make the part's key.
+    """
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for at in b.column(2).to_pylist():
-                x = np.zeros(max(at) + 1, bool)
-                x[at] = True
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["key", "h", "bits"])
+            for k, h, text, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if low is None:
+                    f = fingerprints(np.frombuffer(text, np.uint8), GRAM)
+                    low = int(np.argmin((f & ~U64(0xFFFFFF)) | np.arange(len(f), dtype=U64)))
+                    high = low + GRAM
+                for at, n, i, j in parts(len(text) - length + 1, low, high, length):
+                    mine = text[at : at + n + length - 1]
+                    hashes = (xxhash.xxh3_64_intdigest(x, seed=(i == low) + 2 * (j - i)) for x in (text[i:j], mine))
+                    out.append((*(x - (1 << 64) if x >> 63 else x for x in hashes), mine, i - at, j - at, k, h, at, n))
+            if out:
+                names = ["key", "h", "bytes", "low", "high", "of_key", "of_h", "at", "places"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "bytes" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names=names)
+
+    return run
+
+
+def parts(places: int, low: int, high: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(first place, places, common bytes' begin and end) of the right and the left part of a segment whose strings share the bytes from ``low`` to ``high``."""
+    half = -(-(length - (high - low)) // 2)
+    m = max(0, min(places, high + half - length))
+    right = [(m, places - m, low, high + half)] if m < places else []
+    return right + ([(0, m, low - half, high)] if m else [])
+
 
-    strings = written(crowded.mapInArrow(each, "key long, h long, at long, u long, v long"), "strings")
-    again = strings.groupBy("u", "v").count().where("count > 1").select("u", "v")
-    # a segment has at most ``length`` places, so this list is bounded
-    return strings.join(again, ["u", "v"]).groupBy("key", "h").agg(F.collect_list("at").alias("at")).mapInArrow(packed, "key long, h long, bits binary")
+def joined_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, h, bits of (key, h, parts) rows."""
+    for b in batches:
+        out = []
+        for some in b.column(2).to_pylist():
+            x = np.zeros(max(r["at"] + r["places"] for r in some), bool)
+            for r in some:
+                # bits end behind the last one that is set
+                mine = np.ones(r["places"], bool) if r["bits"] is None else np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["places"]]
+                x[r["at"] : r["at"] + len(mine)] = mine
+            out.append(np.packbits(x).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["key", "h", "bits"])
+
+
+def known_keys(segments: DataFrame) -> DataFrame:
+    """key, many: the keys that occur twice or more; many: in segments that differ."""
+    n = segments.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.max("h").alias("most"))
+    return written(n.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("many")), "keys")
+
+
+def told(classes: DataFrame, bits: DataFrame) -> DataFrame:
+    """key, h, bits of the segments with repeated strings; a segment with copies repeats as a whole: no bits."""
+    found = classes.select("key", "h", "copies").join(bits, ["key", "h"], "left").where("copies > 1 or bits is not null")
+    return written(found.select("key", "h", F.when(F.col("copies") == 1, F.col("bits")).alias("bits")), "repeats")
+
+
+def repeated_bits(texts: DataFrame, length: int) -> DataFrame:
+    """key, h, bits of (key, h, bytes, low, high) rows: one of each segment of keys that have several.
+
+    Keys with more than CROWD segments are parted, and the parts are treated in
+    the same way; as the common bytes grow to the whole string, where equal keys
+    are equal strings, this ends after a few rounds.
+    """
+    crowds = written(texts.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowds")
+    few = texts.select("key", "h", "bytes").join(crowds, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    few = written(few.mapInArrow(sharded(length), "key long, h long, bits binary"), "bits")
+    if not crowds.limit(1).count():
+        return few
+    halves = written(texts.join(crowds, "key").select("key", "h", "bytes", "low", "high").mapInArrow(halved(length), "key long, h long, bytes binary, low long, high long, of_key long, of_h long, at long, places long"), "halves")
+    candidates = written(halves.join(known_keys(halves), "key"), "candidates")
+    one = F.min(F.struct("bytes", "low", "high")).alias("r")
+    classes = written(candidates.where("many").groupBy("key", "h").agg(F.count("*").alias("copies"), one).select("key", "h", "copies", "r.*"), "classes")
+    marks = candidates.where("many").join(told(classes, repeated_bits(classes, length)), ["key", "h"])
+    marks = marks.select("of_key", "of_h", "at", "places", "bits").unionByName(candidates.where("not many").select("of_key", "of_h", "at", "places", F.lit(None).cast("binary").alias("bits")))
+    # two parts a segment at most
+    both = marks.groupBy(F.col("of_key").alias("key"), F.col("of_h").alias("h")).agg(F.collect_list(F.struct("at", "places", "bits")).alias("parts"))
+    return few.unionByName(written(both.mapInArrow(joined_bits, "key long, h long, bits binary"), "bits"))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,22 +307,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     numbered.write.format("parquet").option("path", f"{shared_dir(spark)}/svloom/{name}").bucketBy(parts, "row").saveAsTable(name)
     rows = spark.table(name)
     places = rows.select("row", "text").mapInArrow(keyed(length), "key long, h long, row long, start long, places int")
-    # keys that occur twice; ``many``: with different segments
-    keys = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1").select("key", (F.col("low") != F.col("high")).alias("many")), "keys")
-    candidates = written(places.join(keys, "key"), "candidates")
+    candidates = written(places.join(known_keys(places), "key"), "candidates")
     one = F.min(F.struct("row", "start", "places")).alias("r")
     classes = written(candidates.where("many").groupBy("key", "h").agg(F.count("*").alias("copies"), one).select("key", "h", "copies", "r.*"), "classes")
     wanted = classes.groupBy("row").agg(F.collect_list(F.struct("key", "h", "start", (F.col("start") + F.col("places") + length - 1).alias("end"))).alias("wanted"))
     texts = written(rows.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(cut, "key long, h long, bytes binary"), "segments")
-    crowds = written(texts.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowds")
-    few = texts.join(crowds, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(sharded(length), "key long, h long, bits binary")
-    bits = few
-    if crowds.limit(1).count():
-        bits = written(few, "bits").unionByName(crowded_bits(texts.join(crowds, "key"), length))
-    # a segment with copies repeats as a whole: no bits
-    told = classes.select("key", "h", "copies").join(bits, ["key", "h"], "left").where("copies > 1 or bits is not null")
-    told = written(told.select("key", "h", F.when(F.col("copies") == 1, F.col("bits")).alias("bits")), "repeats")
-    marks = candidates.where("many").join(told, ["key", "h"]).select("row", "start", "places", "bits")
+    whole = F.lit(None).cast("long")
+    bits = repeated_bits(texts.withColumns({"low": whole, "high": whole}), length)
+    marks = candidates.where("many").join(told(classes, bits), ["key", "h"]).select("row", "start", "places", "bits")
     marks = marks.unionByName(candidates.where("not many").select("row", "start", "places", F.lit(None).cast("binary").alias("bits")))
     # a row's list is bounded by its own text
     found = marks.groupBy("row").agg(F.collect_list(F.struct("start", "places", "bits")).alias("repeats"))

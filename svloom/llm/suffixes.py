@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced bucket by bucket, larger ones suffix by suffix.
-SMALL = 1024
+#: Alphabets up to SMALL symbols are induced bucket by bucket. Larger ones are written in two or more digits; strings of up to SHORT symbols, and what is left after DEEP times (digits make strings longer), are induced suffix by suffix.
+SMALL, SHORT, DEEP = 1024, 40_000, 4
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -23,11 +23,13 @@ def leftmost(is_s: np.ndarray) -> np.ndarray:
 
 def induced(s: np.ndarray, is_s: np.ndarray, size: int, first: np.ndarray) -> np.ndarray:
     """All suffixes in the order that leftmost S suffixes in the order ``first`` induce."""
+    if size <= SMALL:
+        s = s.astype(np.uint16)  # stable sorts of these are radix sorts
     counts = np.bincount(s, minlength=size)
     larger = np.bincount(s[~is_s], minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(len(s), -1, np.int64)
+    sa = np.full(len(s), -1, np.int32 if len(s) < 1 << 31 else np.int64)
     head = s[first]
     order = np.argsort(head, kind="stable")
     head, own = head[order], np.bincount(head, minlength=size)
@@ -40,7 +42,7 @@ def induced(s: np.ndarray, is_s: np.ndarray, size: int, first: np.ndarray) -> np
     def put(part: np.ndarray, kind: bool, step: int) -> None:
         """The suffixes before those of ``part``, as far as they are of this kind, to the next free places of their buckets."""
         j = part[part > 0] - 1
-        j = j[is_s[j] == kind]
+        j = j[is_s[j]] if kind else j[~is_s[j]]
         if len(j):
             t = s[j]
             order = np.argsort(t, kind="stable")
@@ -87,7 +89,20 @@ def _one_by_one(s: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndar
     return np.array(out, np.int64)
 
 
-def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
+def by_digits(s: np.ndarray, size: int, deep: int) -> np.ndarray:
+    """``suffix_array`` of a large alphabet: digits of one number of places keep the order."""
+    places = 2
+    while (SMALL - 2) ** places < size:
+        places += 1
+    base = int(np.ceil(size ** (1 / places))) + 1
+    out = np.zeros(len(s) * places + 1, np.int64)
+    for k in range(places):
+        out[k:-1:places] = s // base ** (places - 1 - k) % base + 1
+    sa = suffix_array(out, base + 1, deep - 1)[1:]
+    return sa[sa % places == 0] // places
+
+
+def suffix_array(s: np.ndarray, size: int, deep: int = DEEP) -> np.ndarray:
     """Order of the suffixes of ``s``, whose symbols are below ``size`` and whose last one is 0 and occurs once.
 
     Leftmost S substrings are sorted by inducing from their first symbols and
@@ -96,9 +111,12 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """
     if len(s) < 2:
         return np.arange(len(s))
+    if size > SMALL and len(s) > SHORT and deep:
+        return by_digits(s, size, deep)
+    s = s.astype(np.uint16 if size <= SMALL else np.int64)
     is_s = smaller_types(s)
     lms = leftmost(is_s)
-    sa = induced(s, is_s, size, lms)
+    sa = induced(s, is_s, size, lms).astype(np.int64)
     marked = np.zeros(len(s), bool)
     marked[lms] = True
     order = sa[marked[sa]]
@@ -117,8 +135,8 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     name[order] = np.concatenate(([0], np.cumsum(~same)))
     names = int(name[order[-1]]) + 1
     if names < len(lms):
-        order = lms[suffix_array(name[lms], names)]
-    return induced(s, is_s, size, order)
+        order = lms[suffix_array(name[lms], names, deep)]
+    return induced(s, is_s, size, order).astype(np.int64)
 
 
 def words_at(b: np.ndarray) -> np.ndarray:

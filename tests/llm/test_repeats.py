@@ -54,7 +54,7 @@ def test_crowded_keys_small_shards_and_spans_give_the_same(spark, monkeypatch):
     rows = passages(random.Random(9))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows, 100)
-    for crowd, shard, span in ((2, 1, 1 << 23), (0, 400, 300), (512, 3000, 1000)):
+    for crowd, shard, span in ((2, 400, 300), (512, 3000, 1000)):
         monkeypatch.setattr(repeats, "CROWD", crowd)
         monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
         monkeypatch.setattr(repeats, "SPAN", span)
@@ -79,12 +79,13 @@ def test_empty_table_and_short_strings(spark):
 
 def test_suffix_arrays(monkeypatch):
     rnd = random.Random(1)
-    for small in (1024, 0):
+    for small, short, deep in ((1024, 9, 0), (0, 10**9, 0), (6, 10, 3)):
         monkeypatch.setattr(suffixes, "SMALL", small)
+        monkeypatch.setattr(suffixes, "SHORT", short)
         for _ in range(500):
             size = rnd.choice([1, 2, 3, 20])
             s = [rnd.randrange(1, size + 1) for _ in range(rnd.randrange(0, 70))] + [0]
-            assert suffixes.suffix_array(np.array(s), size + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+            assert suffixes.suffix_array(np.array(s), size + 1, deep).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 def test_permuted_prefixes():
