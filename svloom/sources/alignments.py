@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from . import bam
+from . import bam, bam_columns, bam_index
 
 c = F.col
 SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int, aq int"
-# Four-bit base codes and cigar operations of the format.
-BASES, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-#: Rows of a batch; schemes of files that executors open by themselves.
-BATCH, OPENED = 20_000, {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
+#: Columns that every record has; schemes of files that executors open by themselves.
+NEVER_NULL = {"bam_file", "qname", "flag", "contig", "tid", "pos", "mapq", "cigar", "mcontig", "mtid", "mpos", "isize", "qlen", "mate"}
+OPENED = {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
 
 
 def read_sam(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def read_mapview(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(s[0].alias("qname"), s[1].alias("contig"), s[2].cast("int").alias("pos"), s[3].alias("ori"), s[4].cast("int").alias("dist"), s[5].cast("int").alias("code"), s[6].cast("int").alias("mapq"), s[13].cast("int").alias("qlen"), s[14].alias("seq"))
 
 
-def _inflated(data: bytes) -> bytes:
+def inflated(data: bytes) -> bytes:
     """The blocks of a blocked gzip file, one after another."""
     out = []
     while data:
@@ -67,44 +70,9 @@ def _inflated(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tags(b: bytes) -> dict[str, object]:
-    size = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-    code = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-    out, i = {}, 0
-    while i + 3 <= len(b):
-        name, kind = b[i : i + 2].decode(), chr(b[i + 2])
-        i += 3
-        if kind in "ZH":
-            end = b.index(0, i)
-            out[name], i = b[i:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(b[i]), struct.unpack_from("<i", b, i + 1)[0]
-            i += 5 + n * size[sub]
-        else:
-            out[name], i = struct.unpack_from("<" + code[kind], b, i)[0], i + size[kind]
-    return out
-
-
-def _row(d: bytes, i: int, end: int, name: str, contigs: list[str], with_seq: bool) -> tuple:
-    """A row of SCHEMA from the record at ``i``."""
-    _, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mref, mpos, isize = struct.unpack_from("<iiiBBHHHiiii", d, i)
-    contig = lambda t: contigs[t] if t >= 0 else "*"
-    j = i + 36
-    qname = d[j : j + l_name - 1].decode()
-    j += l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", d, j)
-    j += 4 * n_cigar
-    packed, qual = d[j : j + (l_seq + 1) // 2], d[j + (l_seq + 1) // 2 : j + (l_seq + 1) // 2 + l_seq]
-    t = _tags(d[j + (l_seq + 1) // 2 + l_seq : end])
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] if with_seq and l_seq else None
-    text = bytes(q + 33 for q in qual) if with_seq and l_seq and qual[0] != 255 else None
-    am, aq = t.get("AM"), t.get("Aq")
-    return (name, qname, flag, contig(ref), ref, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", contig(mref), mref, mpos, isize, l_seq, seq, text, t.get("RG"), int(am) if am is not None else None, 2 if flag & 128 else 1, int(aq) if aq is not None else None)
-
-
-def decode_bam(data: bytes, name: str, tid: int | None = None, with_seq: bool = True) -> Iterator[tuple]:
-    """Rows of SCHEMA from the bytes of one BAM file; others than contig ``tid`` are skipped before they are decoded."""
-    d = _inflated(data)
+def whole(data: bytes, name: str, tests: bam_columns.Tests | None = None, with_seq: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA from the bytes of one BAM file."""
+    d = inflated(data)
     if d[:4] != b"BAM\1":
         raise ValueError(f"{name} is not a BAM file")
     i = 8 + struct.unpack_from("<i", d, 4)[0]
@@ -116,62 +84,110 @@ def decode_bam(data: bytes, name: str, tid: int | None = None, with_seq: bool =
         contigs.append(d[i + 4 : i + 3 + k].decode())
         i += 8 + k
     while i < len(d):
-        end = i + 4 + struct.unpack_from("<i", d, i)[0]
-        if tid is None or struct.unpack_from("<i", d, i + 4)[0] == tid:
-            yield _row(d, i, end, name, contigs, with_seq)
-        i = end
+        at, first = [], i
+        while i < len(d) and i - first < bam.RUN:
+            at.append(i - first)
+            i += 4 + struct.unpack_from("<i", d, i)[0]
+        yield bam_columns.decoded(d[first:i], np.array(at, np.int64), name, contigs, with_seq, tests)
 
 
 class _BamPartition(InputPartition):
-    """A split of a file; without a header the whole file, whose blocks do not tell their sizes."""
+    """A split of a file, from and up to virtual offsets if they are known; without a header the whole file, whose blocks do not tell their sizes."""
 
-    def __init__(self, path: str, size: int, begin: int, end: int, head: bam.Header | None):
-        self.path, self.size, self.begin, self.end, self.head = path, size, begin, end, head
+    def __init__(self, path: str, size: int, begin: int, end: int, head: bam.Header | None, exact: int | None = None, limit: int | None = None, region: tuple | None = None):
+        self.path, self.size, self.begin, self.end, self.head, self.exact, self.limit, self.region = path, size, begin, end, head, exact, limit, region
 
 
 class _BamReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.tid, self.with_seq = options["path"].split(","), None, options.get("with_seq", "true") == "true"
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.with_seq, self.region = options.get("with_seq", "true") == "true", options.get("region")
         self.split = int(options.get("split", bam.SPLIT))
+        self.tests = bam_columns.Tests(flags_all=int(options.get("flags_all", 0)), flags_none=int(options.get("flags_none", 0)))
 
     def pushFilters(self, filters: list[Filter]):
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("tid",):
-                self.tid = f.value
-            yield f
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, IsNotNull) and name in NEVER_NULL:
+                continue
+            if name in bam_columns.TESTED and type(f) in signs and isinstance(f.value, int):
+                self.tests.fields.append((name, signs[type(f)], f.value))
+            elif name in bam_columns.TESTED and isinstance(f, In) and all(isinstance(x, int) for x in f.value):
+                self.tests.fields.append((name, "in", list(f.value)))
+            else:
+                yield f
+
+    def _wanted(self) -> tuple[int, int, int] | None:
+        """The stretch of one contig that the tests leave."""
+        tids = [v for n, op, v in self.tests.fields if (n, op) == ("tid", "=")]
+        if not tids or tids[0] < 0:
+            return None
+        low = max([0] + [v + (op == ">") for n, op, v in self.tests.fields if n == "pos" and op in (">", ">=", "=")])
+        high = min([1 << 29] + [v + (op != "<") for n, op, v in self.tests.fields if n == "pos" and op in ("<", "<=", "=")])
+        return tids[0], low, high
+
+    def _parts(self, path: str) -> list[_BamPartition]:
+        with bam.opened(path) as f:
+            size = f.seek(0, 2)
+            head = bam.header(f, path)
+            if self.region is not None:
+                index = bam_index.load(path)
+                stretch = bam_index.place(self.region, head.contigs if head else [], path)
+                return self._chunks(path, size, head, index, stretch, stretch)
+            if head is None:
+                return [_BamPartition(path, size, 0, size, None)]
+            wanted = self._wanted()
+            if wanted is not None and head.is_sorted:
+                try:
+                    index = bam_index.load(path)
+                except FileNotFoundError:
+                    index = None
+                if index is not None:
+                    return self._chunks(path, size, head, index, wanted, None)
+            return [_BamPartition(path, size, b, e, head) for b, e in bam.splits(f, size, head, wanted and wanted[0], self.split)]
+
+    def _chunks(self, path: str, size: int, head: bam.Header, index: list, stretch: tuple[int, int, int], region: tuple | None) -> list[_BamPartition]:
+        """Splits of the index' chunks; all but a chunk's first one find their first record by themselves."""
+        tid, begin, end = stretch
+        out = []
+        for b, e in index[tid].chunks(begin, end) if tid < len(index) else []:
+            first, last = b >> 16, min(size, (e >> 16) + 1)
+            cuts = [*range(first, last, self.split), last]
+            out += [_BamPartition(path, size, i, j, head, b if i == first else None, e, region) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def partitions(self):
-        out = []
-        for p in self.paths:
-            with bam.opened(p) as f:
-                size = f.seek(0, 2)
-                head = bam.header(f, p)
-                cuts = [(0, size)] if head is None else bam.splits(f, size, head, self.tid, self.split)
-                out += [_BamPartition(p, size, b, e, head) for b, e in cuts]
-        return out or [_BamPartition("", 0, 0, 0, None)]
+        # headers and indices are small; many files are opened side by side
+        with ThreadPoolExecutor(16) as pool:
+            found = [x for parts in pool.map(self._parts, self.paths) for x in parts]
+        return found or [_BamPartition("", 0, 0, 0, None)]
 
     def read(self, partition):
-        import pyarrow as pa
-
-        name, kinds = partition.path.rsplit("/", 1)[-1], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
-        schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
-
-        def rows() -> Iterator[tuple]:
-            with bam.opened(partition.path) as f:
-                if partition.head is None:
-                    yield from decode_bam(f.read(), name, self.tid, self.with_seq)
-                    return
-                for d, i, end in bam.records(f, partition.size, partition.begin, partition.end, partition.head):
-                    if self.tid is None or struct.unpack_from("<i", d, i + 4)[0] == self.tid:
-                        yield _row(d, i, end, name, partition.head.contigs, self.with_seq)
-
-        found = rows() if partition.path else iter(())
-        while chunk := [r for _, r in zip(range(BATCH), found, strict=False)]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*chunk, strict=True), schema.types, strict=True)], schema=schema)
+        if not partition.path:
+            return
+        name, p = partition.path.rsplit("/", 1)[-1], partition
+        self.tests.region = p.region
+        with bam.opened(p.path) as f:
+            if p.head is None:
+                yield from whole(f.read(), name, self.tests, self.with_seq)
+                return
+            for run in bam.runs(f, p.size, p.begin, p.end, p.head, p.exact, p.limit):
+                yield bam_columns.decoded(run.data, run.at, name, p.head.contigs, self.with_seq, self.tests)
 
 
 class BamDataSource(DataSource):
-    """``spark.read.format("bam")`` over files that every executor can open (a path, or a URI of a store that pyarrow knows); path: comma-separated. Partitions are splits of the files, of as many bytes as the option ``split`` says."""
+    """``spark.read.format("bam")`` and ``df.write.format("bam")`` over files that every executor can open (a path, or a URI of a store that pyarrow knows).
+
+    Read: ``load(path)``, or the option ``paths``, a JSON list. Partitions are
+    splits of the files, of as many bytes as the option ``split`` says. Conditions
+    on tid, pos, mapq, flag, mtid, mpos, isize and qlen (=, <, <=, >, >=, in) and
+    the options ``flags_all`` and ``flags_none`` (bits) are tested on a record's
+    fixed fields before anything else of it is decoded. With ``region``
+    (``contig:begin-end``, from 1) only the index' chunks are read, and records
+    that overlap it returned; an error tells of a missing index or a bad region.
+    Conditions on one contig use the index where there is one.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -193,8 +209,8 @@ def register_bam(spark: SparkSession) -> None:
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int = bam.SPLIT) -> DataFrame:
-    """Rows of the BAM files below ``path`` (a file, folder or pattern) in any store Spark reads.
+def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int = bam.SPLIT, region: str | None = None) -> DataFrame:
+    """Rows of the BAM files below ``path`` (a file, folder or pattern) in any store Spark reads; of a ``region`` by their indices.
 
     Files in stores that executors open by themselves are read in splits of
     ``split`` bytes. Of others each is read whole, so they may have 2 GB at most.
@@ -206,18 +222,17 @@ def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int =
     found = [s for g in store.globStatus(at) or [] for s in (store.listStatus(g.getPath()) if g.isDirectory() else [g])]
     files = sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith((".", "_")) and not s.getPath().getName().endswith(".bai"))
     if files and all(f.split(":", 1)[0] in OPENED for f in files):
-        return spark.read.format("bam").options(with_seq=str(with_seq).lower(), split=split).load(",".join(files))
+        more = {"region": region} if region else {}
+        return spark.read.format("bam").options(with_seq=str(with_seq).lower(), split=split, paths=json.dumps(files), **more).load()
+    if region:
+        raise ValueError("a region needs files that executors can open by themselves")
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = decode_bam(bytes(content), path.rsplit("/", 1)[-1], None, with_seq)
-                while chunk := [r for _, r in zip(range(BATCH), rows, strict=False)]:
-                    yield pd.DataFrame(chunk, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"am": "Int32", "aq": "Int32"})
+        for b in batches:
+            for path, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                yield from whole(content, path.rsplit("/", 1)[-1], None, with_seq)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def pooled(parts: list[DataFrame], contigs: list[str] | None = None) -> DataFrame:

@@ -14,9 +14,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 MAGIC = b"\x1f\x8b\x08\x04"
 #: Bytes of a split; most of a block, packed or not; inflated bytes in which a split's first record is looked for, and records that must follow it.
 SPLIT, BLOCK, LOOK, CHAIN = 32 << 20, 1 << 16, 1 << 18, 5
+#: Inflated bytes that are decoded at a time, as far as records allow.
+RUN = 4 << 20
 
 
 def opened(path: str):
@@ -78,9 +82,10 @@ class Blocks:
 
 @dataclass(frozen=True)
 class Header:
-    """Contig names, whether sorted by coordinate, and the first record: its block's offset and its place there."""
+    """Contig names and lengths, whether sorted by coordinate, and the first record: its block's offset and its place there."""
 
     contigs: list[str]
+    lengths: list[int]
     is_sorted: bool
     block: int
     inside: int
@@ -108,7 +113,7 @@ def header(f, name: str) -> Header | None:
     i = 8 + struct.unpack_from("<i", d, 4)[0]
     more(i + 4)
     text = d[8:i]
-    contigs = []
+    contigs, lengths = [], []
     n = struct.unpack_from("<i", d, i)[0]
     i += 4
     for _ in range(n):
@@ -116,11 +121,12 @@ def header(f, name: str) -> Header | None:
         k = struct.unpack_from("<i", d, i)[0]
         more(i + 8 + k)
         contigs.append(d[i + 4 : i + 3 + k].decode())
+        lengths.append(struct.unpack_from("<i", d, i + 4 + k)[0])
         i += 8 + k
     for begin, at in reversed(starts):
         if begin <= i and (begin < i or i == 0):
-            return Header(contigs, b"SO:coordinate" in text, at, i - begin)
-    return Header(contigs, False, 0, i)
+            return Header(contigs, lengths, b"SO:coordinate" in text, at, i - begin)
+    return Header(contigs, lengths, False, 0, i)
 
 
 def plausible(d: bytes, i: int, contigs: int) -> int | None:
@@ -155,24 +161,52 @@ def first_record(d: bytes, limit: int, contigs: int, ended: bool) -> int | None:
     return None
 
 
-def records(f, size: int, begin: int, end: int, head: Header) -> Iterator[tuple[bytes, int, int]]:
-    """(bytes, begin, end) of the records that the split ``begin`` to ``end`` of a file of ``size`` bytes owns."""
-    at = max(head.block, find_block(f, begin, size) if begin else 0)
+@dataclass(frozen=True)
+class Run:
+    """Whole records in a row: inflated bytes, where each record begins, where the last one ends, and (place, offset) of the blocks."""
+
+    data: bytes
+    at: np.ndarray
+    end: int
+    blocks: list[tuple[int, int]]
+
+    def virtual(self, at: np.ndarray) -> np.ndarray:
+        """Virtual offsets (a block's offset, 16 bits of place in it) of places in ``data``."""
+        place, offset = (np.array(x, np.int64) for x in zip(*self.blocks, strict=True))
+        k = np.searchsorted(place, at, "right") - 1
+        return offset[k] << 16 | (at - place[k])
+
+
+def runs(f, size: int, begin: int, end: int, head: Header, exact: int | None = None, limit: int | None = None, least: int = RUN) -> Iterator[Run]:
+    """The records that the split ``begin`` to ``end`` of a file of ``size`` bytes owns, some ``least`` bytes at a time.
+
+    exact: virtual offset at which the split's first record is known to begin;
+    limit: virtual offset from which on records are left out.
+    """
+    if exact is not None:
+        at = exact >> 16
+    else:
+        at = max(head.block, find_block(f, begin, size) if begin else 0)
     if at >= end:
         return
     blocks, d, own = Blocks(f, at), b"", 0  # own: bytes of d in own blocks
+    marks: list[tuple[int, int]] = []
 
     def more() -> bool:
         nonlocal d, own
         mine = blocks.at < end
+        marks.append((len(d), blocks.at))
         x = blocks.take()
         if x is None:
+            marks.pop()
             return False
         d += x
         own += len(x) if mine else 0
         return True
 
-    if at == head.block:
+    if exact is not None:
+        i = exact & 0xFFFF
+    elif at == head.block:
         i = head.inside
     else:
         ended = False
@@ -183,17 +217,43 @@ def records(f, size: int, begin: int, end: int, head: Header) -> Iterator[tuple[
             if ended or len(d) > 256 * LOOK:
                 return
             ended = not more()
+    sizes = struct.Struct("<i").unpack_from
     while True:
-        while len(d) < i + 4 or len(d) < i + 4 + struct.unpack_from("<i", d, i)[0]:
-            if i >= own and blocks.at >= end or not more():
-                return
-        if i >= own:
+        while len(d) - i < least and blocks.at < end and more():
+            pass
+        starts, n = [], len(d)
+        begun = i
+        while i < own and i + 4 <= n:
+            stop = i + 4 + sizes(d, i)[0]
+            if stop > n:
+                break
+            starts.append(i)
+            i = stop
+        if starts:
+            run = Run(d, np.array(starts, np.int64), i, [*marks, (n, blocks.at)])
+            if limit is not None:
+                inside = run.at[run.virtual(run.at) < limit]
+                if len(inside) < len(run.at):
+                    if len(inside):
+                        yield Run(d, inside, int(run.at[len(inside)]), run.blocks)
+                    return
+            yield run
+        if i >= own and blocks.at >= end:
+            return
+        if begun == i and not more():
             return
-        stop = i + 4 + struct.unpack_from("<i", d, i)[0]
-        yield d, i, stop
-        i = stop
-        if i > 16 * BLOCK:
-            d, own, i = d[i:], own - i, 0
+        # keep what is left, and the block it begins in
+        k = max((j for j, (place, _) in enumerate(marks) if place <= i), default=0)
+        if marks and (cut := marks[k][0]):
+            d, own, i = d[cut:], own - cut, i - cut
+            marks[:] = [(place - cut, offset) for place, offset in marks[k:]]
+
+
+def records(f, size: int, begin: int, end: int, head: Header) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, begin, end) of the records that the split ``begin`` to ``end`` of a file of ``size`` bytes owns."""
+    for run in runs(f, size, begin, end, head):
+        for i, stop in zip(run.at.tolist(), [*run.at[1:].tolist(), run.end], strict=True):
+            yield run.data, i, stop
 
 
 def splits(f, size: int, head: Header, tid: int | None = None, split: int = SPLIT) -> list[tuple[int, int]]:
@@ -205,8 +265,8 @@ def splits(f, size: int, head: Header, tid: int | None = None, split: int = SPLI
     def contig(k: int) -> int:
         """Of the first record in split k or a later one; unplaced records are last."""
         for b, e in cuts[k:]:
-            for d, i, _ in records(f, size, b, e, head):
-                ref = struct.unpack_from("<i", d, i + 4)[0]
+            for run in runs(f, size, b, e, head, least=1):
+                ref = struct.unpack_from("<i", run.data, int(run.at[0]) + 4)[0]
                 return ref if ref >= 0 else 1 << 31
         return 1 << 31
 

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import plain_bam
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from svloom.plans import queries as q
 from svloom.sources import alignments as al
 from svloom.sources import config
 from svloom.streaming.sessions import region_sessions
+from tests_blocks import blocked
 
 SF = "/root/testdata/sf0.001"
 SAM = "@HD\tVN:1.0\n@SQ\tSN:c1\tLN:900\n@SQ\tSN:c2\tLN:500\n" + "\n".join(
@@ -43,7 +45,7 @@ def bam_bytes(names, records) -> bytes:
         head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1000)
     body = b""
     for tid, pos, name, flag, mtid, mpos, isize, seq, qual, tags in records:
-        codes = [al.BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
+        codes = [plain_bam.BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
         rec = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, 50, 0, 1, flag, len(seq), mtid, mpos, isize) + name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + qual + tags
         body += struct.pack("<i", len(rec)) + rec
@@ -65,23 +67,9 @@ def test_bam(spark, tmp_path):
     al.register_bam(spark)
     one = spark.read.format("bam").load(str(tmp_path / "t.bam")).where("tid = 1")
     assert [r["qname"] for r in one.collect()] == ["j2"]
-    assert list(al.decode_bam((tmp_path / "t.bam").read_bytes(), "t", with_seq=False))[0][13] is None
+    assert list(plain_bam.decode_bam((tmp_path / "t.bam").read_bytes(), "t", with_seq=False))[0][13] is None
     with pytest.raises(ValueError):
-        list(al.decode_bam(gzip.compress(b"nope"), "t"))
-
-
-def blocked(data: bytes, sizes) -> bytes:
-    """Blocked gzip whose blocks hold ``sizes`` bytes in turn, and the empty block at the end."""
-    out, i, k = [], 0, 0
-    while True:
-        x = data[i : i + sizes[k % len(sizes)]]
-        i, k = i + len(x), k + 1
-        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = z.compress(x) + z.flush()
-        head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
-        out.append(head + body + struct.pack("<II", zlib.crc32(x), len(x)))
-        if not x:
-            return b"".join(out)
+        list(al.whole(gzip.compress(b"nope"), "t"))
 
 
 def test_bam_in_splits(spark, tmp_path):
@@ -93,20 +81,20 @@ def test_bam_in_splits(spark, tmp_path):
         n = 40_000 if i in (5, 400) else int(rng.integers(1, 120))
         seq = "".join(rng.choice(list("ACGT"), n))
         recs.append((min(i // 180, 3) if i < 880 else -1, 10 * i if i < 880 else -1, f"r{i}", 99, 0, 5, 7, seq, bytes(rng.integers(0, 41, n).tolist()), b"RGZg\0" if i % 3 else b""))
-    plain = al._inflated(bam_bytes(["c1", "c2", "c3", "c4"], recs))
+    plain = al.inflated(bam_bytes(["c1", "c2", "c3", "c4"], recs))
     text = b"@HD\tVN:1.6\tSO:coordinate\n"
     plain = plain[:4] + struct.pack("<i", len(text)) + text + plain[8:]
     for sizes in ((300, 70, 4000), (60_000,), (17,)):
         whole = blocked(plain, sizes)
         (tmp_path / "b.bam").write_bytes(whole)
-        want = sorted(map(repr, al.decode_bam(whole, "b.bam")))
+        want = sorted(map(repr, plain_bam.decode_bam(whole, "b.bam")))
         for split in (700, 5000, 1 << 20):
             if len(whole) / split > 600:
                 continue
             with bam.opened(str(tmp_path / "b.bam")) as f:
                 head = bam.header(f, "b.bam")
                 cuts = bam.splits(f, len(whole), head, None, split)
-                got = [repr(al._row(d, i, e, "b.bam", head.contigs, True)) for b, n in cuts for d, i, e in bam.records(f, len(whole), b, n, head)]
+                got = [repr(plain_bam.row(d, i, e, "b.bam", head.contigs, True)) for b, n in cuts for d, i, e in bam.records(f, len(whole), b, n, head)]
                 assert sorted(got) == want and head.is_sorted
                 few = bam.splits(f, len(whole), head, 2, split)
                 own = [d[i + 4 : i + 8] for b, n in few for d, i, _ in bam.records(f, len(whole), b, n, head)]
