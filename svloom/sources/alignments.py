@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from . import bam, bam_columns, bam_index
+from . import bam, bam_columns, bam_index, bam_write
 
 c = F.col
 SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int, aq int"
@@ -187,6 +187,9 @@ class BamDataSource(DataSource):
     (``contig:begin-end``, from 1) only the index' chunks are read, and records
     that overlap it returned; an error tells of a missing index or a bad region.
     Conditions on one contig use the index where there is one.
+
+    Write: the options ``contigs``, ``sorted``, ``header`` and ``level`` (see
+    ``bam_write.BamWriter``); ``write_bam`` sets them.
     """
 
     @classmethod
@@ -199,6 +202,9 @@ class BamDataSource(DataSource):
     def reader(self, schema):
         return _BamReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):
+        return bam_write.BamWriter(dict(self.options), overwrite)
+
 
 def register_bam(spark: SparkSession) -> None:
     """Makes the format ``bam`` known to the session, with filters handed down to it."""
@@ -216,11 +222,7 @@ def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int =
     ``split`` bytes. Of others each is read whole, so they may have 2 GB at most.
     """
     register_bam(spark)
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(conf)
-    found = [s for g in store.globStatus(at) or [] for s in (store.listStatus(g.getPath()) if g.isDirectory() else [g])]
-    files = sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith((".", "_")) and not s.getPath().getName().endswith(".bai"))
+    files = bam_files(spark, path)
     if files and all(f.split(":", 1)[0] in OPENED for f in files):
         more = {"region": region} if region else {}
         return spark.read.format("bam").options(with_seq=str(with_seq).lower(), split=split, paths=json.dumps(files), **more).load()
@@ -256,6 +258,56 @@ def pooled(parts: list[DataFrame], contigs: list[str] | None = None) -> DataFram
     return out
 
 
+def bam_files(spark: SparkSession, path: str) -> list[str]:
+    """The BAM files of a file, folder or pattern, in order."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    found = [s for g in store.globStatus(at) or [] for s in (store.listStatus(g.getPath()) if g.isDirectory() else [g])]
+    return sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith((".", "_")) and not s.getPath().getName().endswith(".bai"))
+
+
+def bam_contigs(paths: list[str]) -> list[tuple[str, int]]:
+    """(name, length) of the contigs in the headers of several files: the first file's in their order, then what each further one adds. Lengths that differ are an error."""
+
+    def own(path: str) -> list[tuple[str, int]]:
+        with bam.opened(path) as f:
+            head = bam.header(f, path)
+        if head is None:
+            raise ValueError(f"{path} has no blocks")
+        return list(zip(head.contigs, head.lengths, strict=True))
+
+    out: dict[str, int] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, found in zip(paths, pool.map(own, paths), strict=True):
+            for n, size in found:
+                if out.setdefault(n, size) != size:
+                    raise ValueError(f"contig {n} has {size} bases in {path}, {out[n]} in a file before")
+    return list(out.items())
+
+
+def read_pooled(spark: SparkSession, paths: list[str], **more) -> DataFrame:
+    """Alignments of several BAM files, folders or patterns as one set; contigs keep the numbers of the headers (see ``bam_contigs``), read or not."""
+    names = [n for n, _ in bam_contigs([f for p in paths for f in bam_files(spark, p)])]
+    return pooled([read_bam(spark, p, **more) for p in paths], names)
+
+
+def write_bam(df: DataFrame, path: str, contigs: list[tuple[str, int]], in_order: bool = True, header: str = "", files: int | None = None) -> None:
+    """Writes alignments as BAM files below ``path``, which replace those there.
+
+    in_order: the files, one after another, are in order of contig (the
+    header's; none is last), position and strand, and each has an index; ranges
+    of about equal size are found by sampling, so no task holds a whole contig.
+    """
+    register_bam(df.sparkSession)
+    if in_order:
+        number = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(contigs) for x in (n, i)]) if contigs else F.lit(None).cast("map<string,int>")
+        at = F.coalesce(F.element_at(number, c("contig")), F.lit(2**31 - 1))
+        key = [at, c("pos"), c("flag").bitwiseAND(16), c("qname"), c("flag")]
+        df = df.repartitionByRange(*([files] if files else []), *key).sortWithinPartitions(*key)
+    df.write.format("bam").mode("overwrite").options(contigs=json.dumps(contigs), sorted=str(in_order).lower(), header=header).save(path)
+
+
 def region(text: str) -> tuple[str, int | None, int | None]:
     """contig, 0-based begin and end of ``contig[:begin[-end]]``."""
     name, _, span = text.partition(":")
