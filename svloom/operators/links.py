@@ -17,10 +17,15 @@ FINE = 4096
 
 
 def mate_pairs(reads: DataFrame) -> DataFrame:
-    """A row per name seen twice: regions a <= b, and class, library and size of the later read; one shuffle by name."""
-    s = F.struct("tid", "pos", "rev", "mate", "region", "cls", "lib", "bam_file", "lib_index", F.abs("isize").alias("size"), "qlen", "bdqual")
-    p = reads.groupBy("qname").agg(F.sort_array(F.collect_list(s)).alias("m")).where(F.size("m") == 2)
-    a, b = c("m")[0], c("m")[1]
+    """A row per name seen twice or more: of its first two reads regions a <= b, and class, library and size of the later one; one shuffle by name.
+
+    Each task sends two reads of a name on at most, so a name that very many
+    reads share (none, or ``*``) burdens no task.
+    """
+    s = F.struct("tid", "pos", "rev", "mate", "region", "cls", "lib", "bam_file", "lib_index", F.abs("isize").alias("size"), "qlen", "bdqual").alias("r")
+    first = reads.select("qname", s).withColumn("_k", F.row_number().over(Window.partitionBy("qname").orderBy("r"))).where("_k <= 2")
+    p = first.groupBy("qname").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("n")).where("n = 2")
+    a, b = c("x"), c("y")
     return p.select("qname", F.least(a["region"], b["region"]).alias("a"), F.greatest(a["region"], b["region"]).alias("b"), b["cls"].alias("cls"), b["lib"].alias("lib"), b["bam_file"].alias("bam_file"), b["size"].alias("size"), a.alias("earlier"), b.alias("later"))
 
 

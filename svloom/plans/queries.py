@@ -201,6 +201,13 @@ def g1_g3_mate_pairs(spark, sf_dir):
     return analysis(spark, sf_dir).pairs.select("qname", "a", "b", "cls", "lib", "size")
 
 
+@query(plain(sql.PAIRS, " SELECT qname, a, b, cls, lib, size FROM pairs").replace("'q' || fid AS qname", "'n' || fid % 997 AS qname"))
+def g1_names_of_many_reads(spark, sf_dir):
+    """Fragments of several files share names: the first two reads of a name are a pair."""
+    reads = reads_from_orders(spark, sf_dir).withColumn("qname", F.concat(F.lit("n"), (F.substring("qname", 2, 20).cast("long") % 997).cast("string")))
+    return Analysis(reads, LIBS, RG_LIB, window=250).pairs.select("qname", "a", "b", "cls", "lib", "size")
+
+
 @query(plain(sql.PAIRS, " SELECT a, b, weight FROM edg WHERE weight >= 2"))
 def g4_f17_edges(spark, sf_dir):
     return analysis(spark, sf_dir).edges.where("weight >= 2")

@@ -44,8 +44,8 @@ tab AS (SELECT tid, island, min(pos) AS s, max(pos) AS e, count(*) AS n, count(*
 it AS (SELECT tab.*, coalesce(nucleotides, 0) AS nucleotides, coalesce(max_len, 0) AS max_len FROM tab LEFT JOIN ext ON i = island),
 reg AS (SELECT *, row_number() OVER (ORDER BY island) - 1 AS region, CAST(nucleotides AS DOUBLE) / (e - s + 1 + max_len) AS coverage FROM it WHERE e - s > 7 AND CAST(nucleotides AS DOUBLE) / (e - s + 1 + max_len) < 1000)"""
 PAIRS = ISLANDS + """, rr AS (SELECT isl.*, region FROM isl JOIN reg USING (island)), big AS (SELECT region FROM rr GROUP BY region HAVING count(*) >= 2),
-two AS (SELECT rr.*, row_number() OVER (PARTITION BY qname ORDER BY ord) AS k, count(*) OVER (PARTITION BY qname) AS c FROM rr JOIN big USING (region)),
-pairs AS (SELECT x.qname, least(x.region, y.region) AS a, greatest(x.region, y.region) AS b, y.cls, y.lib, y.bam_file, abs(y.isize) AS size FROM two x JOIN two y ON x.qname = y.qname AND x.c = 2 AND y.c = 2 AND x.k = 1 AND y.k = 2),
+two AS (SELECT rr.*, row_number() OVER (PARTITION BY qname ORDER BY tid, pos, rev, mate, region, cls, lib, bam_file, abs(isize), qlen, bdqual) AS k FROM rr JOIN big USING (region)),
+pairs AS (SELECT x.qname, least(x.region, y.region) AS a, greatest(x.region, y.region) AS b, y.cls, y.lib, y.bam_file, abs(y.isize) AS size FROM two x JOIN two y ON x.qname = y.qname AND x.k = 1 AND y.k = 2),
 edg AS (SELECT a, b, count(*) AS weight FROM pairs GROUP BY a, b)"""
 #: ln P(X > k) by a series over lgamma.
 TAIL = "CASE WHEN k + 1 >= lam THEN -lam + (k + 1) * ln(lam) - lgamma(k + 2) + ln(1 + list_sum(list_transform(range(1, 200), lambda m: exp(m * ln(lam) + lgamma(k + 2) - lgamma(k + 2 + m))))) ELSE ln(1 - list_sum(list_transform(range(0, CAST(k + 1 AS BIGINT)), lambda j: exp(-lam + j * ln(lam) - lgamma(j + 1))))) END"
