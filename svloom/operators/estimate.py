@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..ship import ship, written
+from ..sources import alignments, bam
 
 c = F.col
 
@@ -25,7 +28,7 @@ def _observation() -> F.Column:
 
 
 def stops(df: DataFrame, libraries: dict[str, int], n: int = 10_000, min_mapq: int = 35, min_share: float = 1e-4) -> DataFrame:
-    """(bam_file, lib, until, single): the last place (tid, pos, qname, mate) at which each library is read, null: to the end.
+    """(bam_file, lib, until, single, full): the last place (tid, pos, qname, mate) at which each library is read, null: to the end; full: at its record the whole file ends.
 
     Reading in order, a library is done with its observation n + 1, and a file
     with good record 3 * libraries * n + 1 of the libraries not yet done;
@@ -48,7 +51,7 @@ def stops(df: DataFrame, libraries: dict[str, int], n: int = 10_000, min_mapq: i
     ends = g.where(c("full")).groupBy("bam_file").agg(F.min(place).alias("end"))
     g = g.join(F.broadcast(ends), "bam_file", "left").where(c("end").isNull() | (place <= c("end")))
     done = F.min(F.when((c("seen") + c("obs") > n) | c("single"), place))
-    return g.groupBy("bam_file", "lib").agg(F.coalesce(done, F.first("end")).alias("until"), F.max("single").alias("single"))
+    return g.groupBy("bam_file", "lib").agg(F.coalesce(done, F.first("end")).alias("until"), F.max("single").alias("single"), F.coalesce(F.max("full"), F.lit(False)).alias("full"))
 
 
 def until_stop(df: DataFrame, stop: DataFrame) -> DataFrame:
@@ -57,6 +60,44 @@ def until_stop(df: DataFrame, stop: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stop.where("not single")), ["bam_file", "lib"]).where(c("until").isNull() | (place <= c("until"))).select(*[df[x] for x in df.columns])
 
 
+def sampled_files(spark: SparkSession, paths: dict[str, int], prepare: Callable[[DataFrame], DataFrame], n: int = 10_000, min_mapq: int = 35, min_share: float = 1e-4, first: int = 64 << 20, split: int = bam.SPLIT) -> tuple[DataFrame, DataFrame, int]:
+    """(records up to each library's stop, stops, bytes read) of sorted BAM files, read from their begin as far as the stops need.
+
+    paths: how many libraries each file's header names. ``prepare`` adds what
+    ``stops`` takes (lib, bdqual, code, dist). Round by round the splits that
+    begin in a file's first ``first`` bytes are read, then twice as many, of the
+    files alone whose stops are not found; so at most some four times the bytes up
+    to a stop are read, and no record behind them is sorted. A stop counts if records
+    of a later position have been read, or the file's end.
+    """
+    sizes = {}
+    for p in paths:
+        with bam.opened(p) as f:
+            sizes[p] = f.seek(0, 2)
+    name = {p: p.rsplit("/", 1)[-1] for p in paths}
+    if len(set(name.values())) < len(paths):
+        raise ValueError("files are told apart by their names, which repeat")
+    left, upto, read, found, ends = sorted(paths), first, 0, [], []
+    while left:
+        d = prepare(alignments.read_files(spark, left, with_seq=False, split=split, upto=upto))
+        d = written(d, "begin-of-files")
+        read += sum(min(sizes[p], -(-upto // split) * split) for p in left)
+        libraries = {name[p]: paths[p] for p in left}
+        stop = written(stops(d, libraries, n, min_mapq, min_share), "stops")
+        last = d.where("tid >= 0").groupBy("bam_file").agg(F.max(F.struct("tid", "pos")).alias("last"))
+        far = F.max(F.struct(c("until.tid").alias("tid"), c("until.pos").alias("pos"))).alias("far")
+        # a row for each file
+        seen = stop.groupBy("bam_file").agg(F.count("until").alias("stopped"), F.max("full").alias("full"), far).join(last, "bam_file")
+        done = {r["bam_file"] for r in seen.where("far < last").collect() if r["full"] or r["stopped"] >= libraries[r["bam_file"]]}
+        ready = [p for p in left if name[p] in done or upto >= sizes[p]]
+        if ready:
+            these = [name[p] for p in ready]
+            found.append(until_stop(d.where(c("bam_file").isin(these)), stop))
+            ends.append(stop.where(c("bam_file").isin(these)))
+        left, upto = [p for p in left if p not in ready], 2 * upto
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, ends), read
+
+
 def out_of_order(df: DataFrame, no: str = "no", bits: int = 33) -> DataFrame:
     """Records that lie before the record read just before them in their file, on the same contig.
 

@@ -11,14 +11,13 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import bam, bam_columns, bam_index, bam_write
 
 c = F.col
 SCHEMA = "bam_file string, qname string, flag int, contig string, tid int, pos int, mapq int, cigar string, mcontig string, mtid int, mpos int, isize int, qlen int, seq string, qual binary, rg string, am int, mate int, aq int"
-#: Columns that every record has; schemes of files that executors open by themselves.
-NEVER_NULL = {"bam_file", "qname", "flag", "contig", "tid", "pos", "mapq", "cigar", "mcontig", "mtid", "mpos", "isize", "qlen", "mate"}
+#: Schemes of files that executors open by themselves.
 OPENED = {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
 
 
@@ -91,6 +90,15 @@ def whole(data: bytes, name: str, tests: bam_columns.Tests | None = None, with_s
         yield bam_columns.decoded(d[first:i], np.array(at, np.int64), name, contigs, with_seq, tests)
 
 
+def tests_of(options: dict) -> bam_columns.Tests:
+    """The tests that the options ``conditions`` (JSON), ``flags_all`` and ``flags_none`` ask for."""
+    fields = [(n, op, v) for n, op, v in json.loads(options.get("conditions", "[]"))]
+    for n, op, v in fields:
+        if n not in bam_columns.TESTED or op not in ("in", *bam_columns.OPS) or not all(isinstance(x, int) for x in (v if op == "in" else [v])):
+            raise ValueError(f"not a condition on a record's fixed fields: {n} {op} {v}")
+    return bam_columns.Tests(fields, int(options.get("flags_all", 0)), int(options.get("flags_none", 0)))
+
+
 class _BamPartition(InputPartition):
     """A split of a file, from and up to virtual offsets if they are known; without a header the whole file, whose blocks do not tell their sizes."""
 
@@ -103,20 +111,8 @@ class _BamReader(DataSourceReader):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.with_seq, self.region = options.get("with_seq", "true") == "true", options.get("region")
         self.split = int(options.get("split", bam.SPLIT))
-        self.tests = bam_columns.Tests(flags_all=int(options.get("flags_all", 0)), flags_none=int(options.get("flags_none", 0)))
-
-    def pushFilters(self, filters: list[Filter]):
-        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if isinstance(f, IsNotNull) and name in NEVER_NULL:
-                continue
-            if name in bam_columns.TESTED and type(f) in signs and isinstance(f.value, int):
-                self.tests.fields.append((name, signs[type(f)], f.value))
-            elif name in bam_columns.TESTED and isinstance(f, In) and all(isinstance(x, int) for x in f.value):
-                self.tests.fields.append((name, "in", list(f.value)))
-            else:
-                yield f
+        self.upto = int(options.get("upto", 1 << 62))
+        self.tests = tests_of(options)
 
     def _wanted(self) -> tuple[int, int, int] | None:
         """The stretch of one contig that the tests leave."""
@@ -145,7 +141,7 @@ class _BamReader(DataSourceReader):
                     index = None
                 if index is not None:
                     return self._chunks(path, size, head, index, wanted, None)
-            return [_BamPartition(path, size, b, e, head) for b, e in bam.splits(f, size, head, wanted and wanted[0], self.split)]
+            return [_BamPartition(path, size, b, e, head) for b, e in bam.splits(f, size, head, wanted and wanted[0], self.split) if b < self.upto]
 
     def _chunks(self, path: str, size: int, head: bam.Header, index: list, stretch: tuple[int, int, int], region: tuple | None) -> list[_BamPartition]:
         """Splits of the index' chunks; all but a chunk's first one find their first record by themselves."""
@@ -180,10 +176,14 @@ class BamDataSource(DataSource):
     """``spark.read.format("bam")`` and ``df.write.format("bam")`` over files that every executor can open (a path, or a URI of a store that pyarrow knows).
 
     Read: ``load(path)``, or the option ``paths``, a JSON list. Partitions are
-    splits of the files, of as many bytes as the option ``split`` says. Conditions
-    on tid, pos, mapq, flag, mtid, mpos, isize and qlen (=, <, <=, >, >=, in) and
-    the options ``flags_all`` and ``flags_none`` (bits) are tested on a record's
-    fixed fields before anything else of it is decoded. With ``region``
+    splits of the files, of as many bytes as the option ``split`` says; with
+    ``upto`` those alone that begin before this byte. ``conditions``, a JSON list
+    of [field, operator, value] on tid, pos, mapq, flag, mtid, mpos, isize and
+    qlen (=, <, <=, >, >=, in), ``flags_all`` and ``flags_none`` (bits) are
+    tested on a record's fixed fields before anything else of it is decoded.
+    They are options because Spark's own handing down of filters to such
+    sources is not safe: what one scan of a DataFrame hands down stays for its
+    other scans (seen in 4.1), which then lack rows. With ``region``
     (``contig:begin-end``, from 1) only the index' chunks are read, and records
     that overlap it returned; an error tells of a missing index or a bad region.
     Conditions on one contig use the index where there is one.
@@ -207,32 +207,37 @@ class BamDataSource(DataSource):
 
 
 def register_bam(spark: SparkSession) -> None:
-    """Makes the format ``bam`` known to the session, with filters handed down to it."""
+    """Makes the format ``bam`` known to the session."""
     from ..ship import ship
 
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int = bam.SPLIT, region: str | None = None) -> DataFrame:
-    """Rows of the BAM files below ``path`` (a file, folder or pattern) in any store Spark reads; of a ``region`` by their indices.
+def read_files(spark: SparkSession, files: list[str], **options) -> DataFrame:
+    """Rows of BAM files that executors open by themselves; options: see ``BamDataSource``."""
+    register_bam(spark)
+    given = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if v is not None}
+    return spark.read.format("bam").options(paths=json.dumps(files), **given).load()
+
+
+def read_bam(spark: SparkSession, path: str, with_seq: bool = True, split: int = bam.SPLIT, region: str | None = None, conditions: list[tuple] = (), flags_all: int = 0, flags_none: int = 0) -> DataFrame:
+    """Rows of the BAM files below ``path`` (a file, folder or pattern) in any store Spark reads; of a ``region`` by their indices, and only those that meet ``conditions`` and flags (see ``BamDataSource``).
 
     Files in stores that executors open by themselves are read in splits of
     ``split`` bytes. Of others each is read whole, so they may have 2 GB at most.
     """
     register_bam(spark)
-    files = bam_files(spark, path)
+    files, tested = bam_files(spark, path), {"conditions": json.dumps(list(conditions)), "flags_all": flags_all, "flags_none": flags_none}
     if files and all(f.split(":", 1)[0] in OPENED for f in files):
-        more = {"region": region} if region else {}
-        return spark.read.format("bam").options(with_seq=str(with_seq).lower(), split=split, paths=json.dumps(files), **more).load()
+        return read_files(spark, files, with_seq=with_seq, split=split, region=region, **tested)
     if region:
         raise ValueError("a region needs files that executors can open by themselves")
 
     def run(batches):
         for b in batches:
             for path, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                yield from whole(content, path.rsplit("/", 1)[-1], None, with_seq)
+                yield from whole(content, path.rsplit("/", 1)[-1], tests_of(tested), with_seq)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 

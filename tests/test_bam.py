@@ -1,5 +1,6 @@
 """BAM: columnar decoding against plain decoding, conditions before decoding, regions by index."""
 
+import json
 import random
 import struct
 import time
@@ -8,7 +9,6 @@ import numpy as np
 import plain_bam
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual
 
 from svloom.sources import alignments as al
 from svloom.sources import bam, bam_columns, bam_index
@@ -101,19 +101,28 @@ def test_columns_are_several_times_faster():
 
 def test_conditions_before_decoding(spark, sorted_bam):
     rows = plain_rows(sorted_bam)
-    reader = al.BamDataSource({"path": str(sorted_bam)}).reader(None)
-    left = list(reader.pushFilters([In(("tid",), (0, 3)), GreaterThan(("pos",), 1050), LessThanOrEqual(("mapq",), 30), IsNotNull(("tid",)), IsNotNull(("rg",)), EqualTo(("qname",), "x")]))
-    assert [type(x).__name__ for x in left] == ["IsNotNull", "EqualTo"]
+    asked = [("tid", "in", [0, 3]), ("pos", ">", 1050), ("mapq", "<=", 30)]
+    reader = al.BamDataSource({"path": str(sorted_bam), "conditions": json.dumps(asked), "flags_none": "1024"}).reader(None)
     got = [x for p in reader.partitions() for b in reader.read(p) for x in b.column("qname").to_pylist()]
-    want = [r for r in rows if r[4] in (0, 3) and r[5] > 1050 and r[6] <= 30]
+    want = [r for r in rows if r[4] in (0, 3) and r[5] > 1050 and r[6] <= 30 and not r[2] & 1024]
     assert sorted(got) == sorted(r[1] for r in want)
     assert reader.tests.seen == len(rows) and reader.tests.decoded == len(want) < len(rows) / 2
-    al.register_bam(spark)
-    d = spark.read.format("bam").option("flags_all", 1).option("flags_none", 1024).load(str(sorted_bam)).where("mapq >= 20 and tid in (0, 1) and isize < 100 and rg is not null")
-    plan = d._jdf.queryExecution().executedPlan().toString()
-    # Spark's own filter keeps nothing but what the source does not test
-    assert "isnotnull(rg" in plan and ">= 20" not in plan and "IN (" not in plan and "< 100" not in plan
-    assert sorted(r["qname"] for r in d.collect()) == sorted(r[1] for r in rows if r[2] & 1 and not r[2] & 1024 and r[6] >= 20 and r[4] in (0, 1) and r[11] < 100 and r[15] is not None)
+    d = al.read_bam(spark, str(sorted_bam), conditions=[("mapq", ">=", 20), ("tid", "in", [0, 1]), ("isize", "<", 100)], flags_all=1, flags_none=1024)
+    assert sorted(r["qname"] for r in d.collect()) == sorted(r[1] for r in rows if r[2] & 1 and not r[2] & 1024 and r[6] >= 20 and r[4] in (0, 1) and r[11] < 100)
+    for bad in ([("qname", "=", 1)], [("pos", "!=", 1)], [("pos", "=", "x")], [("tid", "in", ["a"])]):
+        with pytest.raises(Exception, match="not a condition"):
+            al.read_bam(spark, str(sorted_bam), conditions=bad).collect()
+
+
+def test_filters_of_one_scan_do_not_reach_another(spark, sorted_bam):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        d, rows = al.read_bam(spark, str(sorted_bam)), plain_rows(sorted_bam)
+        high, third = sum(r[6] > 50 for r in rows), sum(r[4] == 3 for r in rows)
+        assert (d.where("mapq > 50").count(), d.count(), d.where("tid = 3").count(), d.count()) == (high, len(rows), third, len(rows))
+        assert d.where("mapq > 50").unionByName(d).unionByName(d.where("tid = 3")).count() == high + len(rows) + third
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 @pytest.mark.parametrize(("text", "tid", "begin", "end"), [("c1", 0, 0, 1 << 29), ("c1:1,001-1,100", 0, 1000, 1100), ("c1:90000", 0, 89_999, 1 << 29), ("c1:16385-16385", 0, 16384, 16385), ("c:2", 1, 0, 1 << 29), ("c:2:1000-1010", 1, 999, 1010), ("c3", 2, 0, 1 << 29), ("c4:45000001-46000000", 3, 45_000_000, 46_000_000), ("c1:399999-400000", 0, 399_998, 400_000)])
@@ -128,8 +137,7 @@ def test_region_reads_only_chunks(sorted_bam):
     parts = reader.partitions()
     assert sum(p.end - p.begin for p in parts) < size / 4
     # a condition on a contig uses the index as well, without the overlap
-    reader = al.BamDataSource({"path": str(sorted_bam)}).reader(None)
-    assert list(reader.pushFilters([EqualTo(("tid",), 3), GreaterThan(("pos",), 58_000_000)])) == []
+    reader = al.BamDataSource({"path": str(sorted_bam), "conditions": '[["tid", "=", 3], ["pos", ">", 58000000]]'}).reader(None)
     assert sum(p.end - p.begin for p in reader.partitions()) < size / 4
     got = [x for p in reader.partitions() for b in reader.read(p) for x in b.column("pos").to_pylist()]
     assert sorted(got) == sorted(r[5] for r in plain_rows(sorted_bam) if r[4] == 3 and r[5] > 58_000_000)
@@ -174,3 +182,30 @@ def test_index_bins_and_packing():
 def test_file_names_with_commas(spark, tmp_path, sorted_bam):
     (tmp_path / "x,y.bam").write_bytes(sorted_bam.read_bytes())
     assert al.read_bam(spark, str(tmp_path / "x,y.bam")).where(F.col("bam_file") == "x,y.bam").count() == len(plain_rows(sorted_bam))
+
+
+def test_estimator_reads_files_up_to_their_stops(spark, tmp_path):
+    from tests_blocks import blocked
+
+    from svloom.operators import estimate
+
+    rnd = random.Random(6)
+    paths = {}
+    for name, libs, n in (("a", 2, 12_000), ("b", 1, 500), ("c", 3, 900)):
+        recs = []
+        for i in range(n):
+            lib = rnd.randrange(libs if name != "c" else 2)  # one library of c never appears, so c is read to its end
+            recs.append(record(0 if i < n // 2 else 1, i // 3 * 7, f"r{i}", 99, rnd.choice([20, 40, 60]), 0, 0, rnd.randrange(100, 400), [(20, "M")], "A" * 20, [9] * 20, b"RGZ" + f"{name}{lib}".encode() + b"\0"))
+        (tmp_path / f"{name}.bam").write_bytes(blocked(plain_file(CONTIGS, recs), (2000,)))
+        paths[str(tmp_path / f"{name}.bam")] = libs
+    prepare = lambda d: d.select("*", F.col("rg").alias("lib"), F.col("mapq").alias("bdqual"), F.when(F.col("isize") % 3 == 0, 2).otherwise(18).alias("code"), F.col("isize").alias("dist"))
+    whole = prepare(al.read_bam(spark, str(tmp_path), with_seq=False))
+    for n in (20, 10_000):
+        stop = estimate.stops(whole, {p.rsplit("/", 1)[-1]: k for p, k in paths.items()}, n)
+        want = estimate.until_stop(whole, stop)
+        got, ends, read = estimate.sampled_files(spark, paths, prepare, n, first=4000, split=2000)
+        assert sorted(map(repr, ends.collect())) == sorted(map(repr, stop.collect()))
+        key = ["bam_file", "lib", "qname"]
+        assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+        size = (tmp_path / "a.bam").stat().st_size + (tmp_path / "b.bam").stat().st_size + (tmp_path / "c.bam").stat().st_size
+        assert read < size / 2 if n == 20 else read < 5 * size

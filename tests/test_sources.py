@@ -102,7 +102,7 @@ def test_bam_in_splits(spark, tmp_path):
     (tmp_path / "b.bam").write_bytes(blocked(plain, (300, 70, 4000)))
     d = al.read_bam(spark, str(tmp_path / "b.bam"), split=5000)
     assert d.rdd.getNumPartitions() > 5 and d.count() == 900 and d.where("tid = 2").count() == 180
-    one = spark.read.format("bam").option("split", 5000).load(str(tmp_path / "b.bam")).where("tid = 1")
+    one = al.read_bam(spark, str(tmp_path / "b.bam"), split=5000, conditions=[("tid", "=", 1)])
     assert one.rdd.getNumPartitions() < d.rdd.getNumPartitions() and one.count() == 180
     assert al.read_bam(spark, str(tmp_path)).count() == 900
 
