@@ -11,6 +11,7 @@ from ..operators import calls, filters, links, regions, stats
 from ..operators.filters import Library
 from ..options import Options
 from ..ship import written
+from ..sources.archive import Archive
 
 
 @dataclass
@@ -30,6 +31,13 @@ class Analysis:
     classifier: Column | None = None
     contig: int | None = None
 
+    @classmethod
+    def restored(cls, alignments: DataFrame, saved: Archive, **more) -> Analysis:
+        """A run with the options, configuration and counting pass of an archive: only the calling pass reads the alignments."""
+        out = cls(alignments, saved.libs, saved.rg_lib, saved.opts, **more)
+        out.hist, out.files, out.covered = saved.hist, saved.files, saved.covered
+        return out
+
     @cached_property
     def library_rows(self) -> DataFrame:
         return filters.library_table(self.alignments, self.libs)
