@@ -46,7 +46,7 @@ def with_(*parts: str) -> str:
 
 
 def plain(*parts: str) -> str:
-    return "WITH" + sql.reads() + "," + sql.ENRICHED + "".join(parts)
+    return "WITH RECURSIVE" + sql.reads() + "," + sql.ENRICHED + "".join(parts)
 
 
 ALL = "bam_file, qname, flag, tid, pos, mapq, am, rg, mtid, mpos, isize, qlen, mate"
@@ -221,14 +221,9 @@ def w5_between_counts(spark, sf_dir):
     return analysis(spark, sf_dir).between
 
 
-def by_edge(a: Analysis) -> DataFrame:
-    """Pairs owned by their own edge: the order-free part of a call."""
-    return a.pairs.withColumns({"ea": c("a"), "eb": c("b"), "flush": F.lit(0).cast("long"), "rank": F.lit(0).cast("long")})
-
-
 @query(plain(sql.VOTES, " SELECT ea, eb, flag, flag_pairs, pairs FROM win"))
 def w7_f18_majority(spark, sf_dir):
-    v = calls.flag_votes(by_edge(analysis(spark, sf_dir)))
+    v = calls.flag_votes(analysis(spark, sf_dir).owned)
     return v.where("flag_pairs >= 2").select("ea", "eb", "flag", "flag_pairs", "pairs")
 
 
@@ -238,7 +233,7 @@ def a11_evidence(spark, sf_dir):
 
 
 def evidence(a: Analysis) -> DataFrame:
-    o = by_edge(a)
+    o = a.owned
     return calls.evidence(o, calls.flag_votes(o).where("flag_pairs >= 2"))
 
 
@@ -248,7 +243,7 @@ def a12_evidence_by_file(spark, sf_dir):
 
 
 def placed(a: Analysis) -> DataFrame:
-    v = calls.flag_votes(by_edge(a)).where("flag_pairs >= 2")
+    v = calls.flag_votes(a.owned).where("flag_pairs >= 2")
     end = lambda n, k: a.regions.select(c("region").alias(k), c("start").alias(f"start{n}"), c("end").alias(f"end{n}"))
     x = v.join(end(1, "ea"), "ea").join(end(2, "eb"), "eb")
     x = x.withColumn("span_size", c("end1") - c("start1") + 1 + F.when(c("ea") == c("eb"), 0).otherwise(c("end2") - c("start2") + 1))
@@ -303,12 +298,12 @@ def p9_allele_frequency(spark, sf_dir):
     return cn.groupBy("ea", "eb").agg(F.round(1 - F.sum("copies") / (2.0 * F.count("*")), 6).alias("allele_frequency"))
 
 
-@query()
+@query(plain(sql.WALK, " SELECT CAST(flush AS BIGINT) AS flush, a, b, weight, rank FROM wlk"))
 def g5_g6_visit_order(spark, sf_dir):
     return analysis(spark, sf_dir).order
 
 
-@query()
+@query(plain(sql.OWNED, " SELECT qname, a, b, CAST(flush AS BIGINT) AS flush, rank, ea, eb FROM owned"))
 def g7_owned_pairs(spark, sf_dir):
     return analysis(spark, sf_dir).owned.select("qname", "a", "b", "flush", "rank", "ea", "eb")
 
@@ -432,10 +427,10 @@ def s5_sam_text(spark, sf_dir):
     return alignments.sam_lines(reads_from_orders(spark, sf_dir, True).withColumns(more))
 
 
-@query(plain(sql.VOTES, """, ends AS (SELECT two.qname, mate, two.lib, two.cls, k, qlen, x.flag FROM two JOIN pairs p ON p.qname = two.qname AND two.c = 2 JOIN win x ON x.ea = p.a AND x.eb = p.b)
+@query(plain(sql.VOTES, """, ends AS (SELECT two.qname, mate, two.lib, two.cls, k, qlen, x.flag FROM two JOIN owned p ON p.qname = two.qname AND two.k <= 2 JOIN win x ON x.ea = p.ea AND x.eb = p.eb)
 SELECT lib, CAST(k AS INTEGER) AS file, '@' || qname || chr(10) || repeat('ACGT', qlen // 4) || chr(10) || '+' || chr(10) || CASE WHEN mate = 1 THEN repeat('I', qlen // 4 * 4) ELSE '' END AS value FROM ends WHERE cls = flag"""))
 def s11_s13_fastq_text(spark, sf_dir):
-    o = by_edge(analysis(spark, sf_dir))
+    o = analysis(spark, sf_dir).owned
     found = calls.flag_votes(o).where("flag_pairs >= 2").select("ea", "eb", "flag", "flush", "rank", *[F.lit(0).alias(n) for n in ("type", "size", "pos1", "pos2", "tid1")])
     size = F.expr("qlen div 4").cast("int")
     qual = F.when(c("mate") == 1, F.encode(F.repeat(F.lit("I"), size * 4), "utf-8"))

@@ -47,11 +47,27 @@ PAIRS = ISLANDS + """, rr AS (SELECT isl.*, region FROM isl JOIN reg USING (isla
 two AS (SELECT rr.*, row_number() OVER (PARTITION BY qname ORDER BY tid, pos, rev, mate, region, cls, lib, bam_file, abs(isize), qlen, bdqual) AS k FROM rr JOIN big USING (region)),
 pairs AS (SELECT x.qname, least(x.region, y.region) AS a, greatest(x.region, y.region) AS b, y.cls, y.lib, y.bam_file, abs(y.isize) AS size FROM two x JOIN two y ON x.qname = y.qname AND x.k = 1 AND y.k = 2),
 edg AS (SELECT a, b, count(*) AS weight FROM pairs GROUP BY a, b)"""
+#: The walk of each batch's edges: nodes by component, distance from its least node and least path of that length; an edge goes with its node that comes first.
+WALK = PAIRS + """, sg AS (SELECT a, b, weight, b // 101 AS fl FROM edg WHERE weight >= 2),
+nb AS (SELECT fl, a AS v, b AS w FROM sg UNION SELECT fl, b, a FROM sg),
+rch AS (SELECT DISTINCT fl, v, v AS w FROM nb UNION SELECT rch.fl, rch.v, nb.w FROM rch JOIN nb ON nb.fl = rch.fl AND nb.v = rch.w),
+rot AS (SELECT fl, v, min(w) AS root FROM rch GROUP BY fl, v),
+stp AS (SELECT fl, v, 0 AS d FROM rot WHERE root = v UNION SELECT stp.fl, nb.w, d + 1 FROM stp JOIN nb ON nb.fl = stp.fl AND nb.v = stp.v WHERE d < 101),
+dis AS (SELECT fl, v, min(d) AS d FROM stp GROUP BY fl, v),
+pth AS (SELECT fl, v, 0 AS d, [v] AS path FROM rot WHERE root = v UNION ALL
+  SELECT pth.fl, nb.w, any_value(pth.d) + 1, min(list_append(path, nb.w)) FROM pth JOIN nb ON nb.fl = pth.fl AND nb.v = pth.v JOIN dis ON dis.fl = nb.fl AND dis.v = nb.w AND dis.d = pth.d + 1 GROUP BY pth.fl, nb.w),
+nod AS (SELECT pth.fl, pth.v, row_number() OVER (PARTITION BY pth.fl ORDER BY root, d, path) AS place FROM pth JOIN rot USING (fl, v)),
+wlk AS (SELECT sg.fl AS flush, sg.a, sg.b, weight, row_number() OVER (PARTITION BY sg.fl ORDER BY least(x.place, y.place), CASE WHEN x.place <= y.place THEN sg.b ELSE sg.a END) - 1 AS rank
+  FROM sg JOIN nod x ON x.fl = sg.fl AND x.v = sg.a JOIN nod y ON y.fl = sg.fl AND y.v = sg.b)"""
+#: Pairs with the edge that consumes them: their own, or for a pair inside a region the first-visited one that touches it.
+OWNED = WALK + """, fst AS (SELECT v, min(struct_pack(f := flush, r := rank, x := a, y := b)) AS e FROM (SELECT flush, rank, a, b, a AS v FROM wlk UNION SELECT flush, rank, a, b, b FROM wlk) GROUP BY v),
+owned AS (SELECT pairs.*, flush, rank, pairs.a AS ea, pairs.b AS eb FROM pairs JOIN wlk ON wlk.a = pairs.a AND wlk.b = pairs.b AND pairs.a <> pairs.b
+  UNION ALL SELECT pairs.*, e.f, e.r, e.x, e.y FROM pairs JOIN fst ON pairs.a = pairs.b AND v = pairs.a)"""
 #: ln P(X > k) by a series over lgamma.
 TAIL = "CASE WHEN k + 1 >= lam THEN -lam + (k + 1) * ln(lam) - lgamma(k + 2) + ln(1 + list_sum(list_transform(range(1, 200), lambda m: exp(m * ln(lam) + lgamma(k + 2) - lgamma(k + 2 + m))))) ELSE ln(1 - list_sum(list_transform(range(0, CAST(k + 1 AS BIGINT)), lambda j: exp(-lam + j * ln(lam) - lgamma(j + 1))))) END"
-VOTES = PAIRS + """, vote AS (SELECT a, b, cls, count(*) AS n FROM pairs GROUP BY a, b, cls), ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, cls) AS rk, sum(n) OVER (PARTITION BY a, b) AS total FROM vote),
+VOTES = OWNED + """, vote AS (SELECT ea AS a, eb AS b, cls, count(*) AS n FROM owned GROUP BY ea, eb, cls), ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, cls) AS rk, sum(n) OVER (PARTITION BY a, b) AS total FROM vote),
 win AS (SELECT a AS ea, b AS eb, cls AS flag, n AS flag_pairs, CAST(total AS BIGINT) AS pairs FROM ranked WHERE rk = 1 AND n >= 2),
-sup AS (SELECT ea, eb, lib, p.bam_file, flag, count(*) AS n, sum(size) AS span FROM win JOIN pairs p ON p.a = ea AND p.b = eb AND p.cls = flag GROUP BY ALL)"""
+sup AS (SELECT ea, eb, p.lib, p.bam_file, flag, count(*) AS n, sum(size) AS span FROM win JOIN owned p USING (ea, eb) WHERE p.cls = flag GROUP BY ALL)"""
 PLACES = VOTES + """, pl AS (SELECT win.*, x.s AS s1, x.e AS e1, y.s AS s2, y.e AS e2, x.e - x.s + 1 + CASE WHEN ea = eb THEN 0 ELSE y.e - y.s + 1 END AS span_size FROM win JOIN reg x ON x.region = ea JOIN reg y ON y.region = eb),
 bp AS (SELECT *, CASE WHEN ea = eb OR flag IN (4, 5) THEN s1 ELSE e1 END AS p1, CASE WHEN ea = eb THEN e1 WHEN flag IN (1, 4) THEN e2 + 46 ELSE s2 END AS p2 FROM pl)"""
 BETWEEN = ADMITTED.replace(", adm", ", adm", 1)
