@@ -308,6 +308,21 @@ def g7_owned_pairs(spark, sf_dir):
     return analysis(spark, sf_dir).owned.select("qname", "a", "b", "flush", "rank", "ea", "eb")
 
 
+#: Pads of batches, places with them, copies, scores, sizes and support of every call, printed as the call table's rows.
+CALLS_SQL = plain(sql.COVERED, sql.HIST, sql.PLACES, """, lst AS (SELECT max_len FROM it ORDER BY island DESC LIMIT 1),
+shu AS (SELECT region // 101 AS flush, max(CASE WHEN region % 101 = 100 THEN max_len END) AS closing FROM reg GROUP BY 1),
+bq AS (SELECT pl.*, wlk.flush, wlk.rank, coalesce(closing, (SELECT max_len FROM lst)) - 5 AS gap, x.tid AS t1, y.tid AS t2, x.fwd AS f1, x.bwd AS r1, y.fwd AS f2, y.bwd AS r2,
+    CASE WHEN ea = eb OR flag IN (4, 5) THEN s1 ELSE e1 END AS p1, CASE WHEN ea = eb THEN e1 WHEN flag IN (1, 4) THEN e2 + coalesce(closing, (SELECT max_len FROM lst)) - 5 ELSE s2 END AS p2
+  FROM pl JOIN wlk ON wlk.a = ea AND wlk.b = eb JOIN shu ON shu.flush = wlk.flush JOIN reg x ON x.region = ea JOIN reg y ON y.region = eb)""", CN_SQL.split(sql.PLACES, 1)[1].replace("JOIN bp ON", "JOIN bq ON"), """,
+tst AS (SELECT sup.ea, sup.eb, sup.n AS k, greatest(1e-10::DOUBLE, span_size::DOUBLE * [n0,n1,n2,n3,n4,n5,n6,n7,n8,n9,n10][sup.flag + 1] / covered) AS lam FROM sup JOIN pl USING (ea, eb) JOIN hist USING (lib), cov),
+sco AS (SELECT ea, eb, CAST(least(99, trunc(-10 * sum(""" + sql.TAIL + """) / ln(10) + 0.5::DOUBLE)) AS INTEGER) AS score FROM tst GROUP BY ea, eb),
+siz AS (SELECT ea, eb, CAST(trunc(sum(span - n * CASE lib WHEN 'libA' THEN 350.0::DOUBLE ELSE 340.0::DOUBLE END) / sum(n) + 0.5::DOUBLE) AS BIGINT) AS size FROM sup GROUP BY ea, eb),
+byf AS (SELECT ea, eb, bam_file, CAST(sum(n) AS BIGINT) AS n FROM sup GROUP BY ALL), txt AS (SELECT ea, eb, string_agg(bam_file || '|' || n, ':' ORDER BY bam_file) AS support FROM byf GROUP BY ea, eb),
+cpy AS (SELECT ea, eb, max(CASE WHEN key = 'a.bam' THEN printf('%.2f', copies) END) AS ca, max(CASE WHEN key = 'b.bam' THEN printf('%.2f', copies) END) AS cb FROM cn GROUP BY ea, eb),
+typ AS (SELECT bq.*, score, size, support, ca, cb, CASE flag WHEN 1 THEN 'INV' WHEN 2 THEN 'DEL' WHEN 3 THEN 'INS' WHEN 4 THEN 'ITX' WHEN 5 THEN 'INV' WHEN 8 THEN 'CTX' END AS type,
+    CASE WHEN flag NOT IN (4, 5) AND p1 + gap < p2 THEN p1 + gap ELSE p1 END + 1 AS q1 FROM bq JOIN sco USING (ea, eb) JOIN siz USING (ea, eb) JOIN txt USING (ea, eb) LEFT JOIN cpy USING (ea, eb) WHERE score > 30)""")
+
+
 @query()
 def sv_calls(spark, sf_dir):
     return analysis(spark, sf_dir).calls
@@ -322,7 +337,8 @@ def contig_names(spark: SparkSession) -> DataFrame:
     return spark.range(5).select(c("id").cast("int").alias("tid"), F.concat(F.lit("chr"), (c("id") + 1).cast("string")).alias("contig"))
 
 
-@query()
+@query(CALLS_SQL + """ SELECT CAST(flush AS BIGINT) AS flush, rank, concat_ws(chr(9), 'chr' || (t1 + 1), q1, f1 || '+' || r1 || '-', 'chr' || (t2 + 1), p2 + 1, f2 || '+' || r2 || '-', type, size, score, flag_pairs, support,
+  CASE WHEN type <> 'CTX' THEN coalesce(ca, 'NA') || chr(9) || coalesce(cb, 'NA') END) AS value FROM typ""")
 def s9_p10_p12_call_text(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return call_lines(a.calls, contig_names(spark), a.keys).select("flush", "rank", "value")
@@ -334,7 +350,9 @@ def s9_header_text(spark, sf_dir):
     return header_lines(stats.coverage(a.hist, a.library_rows, a.covered), a.hist, a.library_rows, "svloom", a.keys)
 
 
-@query()
+@query(CALLS_SQL + """, rds AS (SELECT typ.ea, typ.eb, typ.flag, typ.t1, two.* EXCLUDE (k), CASE WHEN k = 2 THEN 1 ELSE 0 END AS later FROM typ JOIN owned p ON p.ea = typ.ea AND p.eb = typ.eb JOIN two ON two.qname = p.qname AND k <= 2 WHERE two.cls = typ.flag)
+SELECT ea, eb, '1' || qname || later AS no, concat_ws(chr(9), 'chr' || (tid + 1), pos, pos + qlen, qname || '|' || lib, bdqual * 10, rev, pos, pos + qlen, CASE rev WHEN 0 THEN '0,0,255' ELSE '255,0,0' END) AS value FROM rds
+UNION ALL SELECT ea, eb, '0', 'track name=chr' || (t1 + 1) || '_' || q1 || '_' || type || '_' || size || ' description="svloom chr' || (t1 + 1) || ' ' || q1 || ' ' || type || ' ' || size || '" useScore=0' FROM typ""")
 def s10_bed_text(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return bed_lines(supporting(a.owned, a.calls), contig_names(spark))
