@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from ..functions.score import fisher, log_poisson_sf, phred
 from ..operators import calls, estimate, filters, links, regions, stats
 from ..operators.filters import Library
 from ..options import Options
+from ..ship import shared_dir
 from ..sinks import bed_lines, call_lines, fastq_records, header_lines, support_text, supporting
 from ..sources import alignments, config
 from ..sources.reads import reads_from_orders
@@ -436,13 +438,43 @@ def f14_out_of_order(spark, sf_dir):
     return estimate.out_of_order(reads, bits=10).select("qname", "mate")
 
 
+def whole_records(spark, sf_dir) -> DataFrame:
+    """The reads with names of contigs, cigar and bases."""
+    contig = lambda t: F.when(c(t) >= 0, F.concat(F.lit("chr"), (c(t) + 1).cast("string"))).otherwise("*")
+    more = {"contig": contig("tid"), "mcontig": contig("mtid"), "cigar": F.concat(c("qlen").cast("string"), F.lit("M")), "seq": F.repeat(F.lit("A"), c("qlen")), "qual": F.lit(None).cast("binary")}
+    return reads_from_orders(spark, sf_dir, True).withColumns(more)
+
+
+def as_bam(spark, sf_dir) -> str:
+    """The reads as sorted BAM files with indices, in the shared folder."""
+    path = f"{shared_dir(spark)}/svloom/bam-{uuid.uuid4().hex}"
+    alignments.write_bam(whole_records(spark, sf_dir), path, [(f"chr{i + 1}", (1 << 29) - 1) for i in range(5)])
+    return path
+
+
 @query("WITH" + sql.reads(True) + """ SELECT qname || chr(9) || flag || chr(9) || CASE WHEN tid < 0 THEN '*' ELSE 'chr' || (tid + 1) END || chr(9) || (pos + 1) || chr(9) || mapq || chr(9) || qlen || 'M' || chr(9)
   || CASE WHEN tid = mtid AND tid >= 0 THEN '=' WHEN mtid < 0 THEN '*' ELSE 'chr' || (mtid + 1) END || chr(9) || (mpos + 1) || chr(9) || isize || chr(9) || repeat('A', qlen) || chr(9) || '*'
   || coalesce(chr(9) || 'RG:Z:' || rg, '') || coalesce(chr(9) || 'AM:i:' || am, '') AS value FROM reads""")
 def s5_sam_text(spark, sf_dir):
-    contig = lambda t: F.when(c(t) >= 0, F.concat(F.lit("chr"), (c(t) + 1).cast("string"))).otherwise("*")
-    more = {"contig": contig("tid"), "mcontig": contig("mtid"), "cigar": F.concat(c("qlen").cast("string"), F.lit("M")), "seq": F.repeat(F.lit("A"), c("qlen")), "qual": F.lit(None).cast("binary")}
-    return alignments.sam_lines(reads_from_orders(spark, sf_dir, True).withColumns(more))
+    return alignments.sam_lines(whole_records(spark, sf_dir))
+
+
+@query("WITH" + sql.reads(True) + " SELECT qname, flag, tid, pos, mapq, am, rg, mtid, mpos, isize, qlen, mate, qlen || 'M' AS cigar, repeat('A', qlen) AS seq FROM reads")
+def s1_s5_bam_round_trip(spark, sf_dir):
+    back = alignments.read_bam(spark, as_bam(spark, sf_dir), split=1 << 20)
+    return back.select("qname", "flag", "tid", "pos", "mapq", "am", "rg", "mtid", "mpos", "isize", "qlen", "mate", "cigar", "seq")
+
+
+@query("WITH" + sql.reads(True) + " SELECT qname, mate, pos FROM reads WHERE tid = 2 AND pos + qlen > 3000 AND pos < 90000")
+def s2_region_by_index(spark, sf_dir):
+    return alignments.read_bam(spark, as_bam(spark, sf_dir), with_seq=False, region="chr3:3001-90000").select("qname", "mate", "pos")
+
+
+@query("WITH" + sql.reads(True) + " SELECT qname, mate, mapq FROM reads WHERE flag & 2304 = 0 AND tid IN (0, 3) AND mapq > 35 AND isize < 800")
+def f1_f8_conditions_of_bam(spark, sf_dir):
+    asked = [("tid", "in", [0, 3]), ("mapq", ">", 35), ("isize", "<", 800)]
+    return alignments.read_bam(spark, as_bam(spark, sf_dir), with_seq=False, conditions=asked, flags_none=2304).select("qname", "mate", "mapq")
+
 
 
 @query(plain(sql.VOTES, """, ends AS (SELECT two.qname, mate, two.lib, two.cls, k, qlen, x.flag FROM two JOIN owned p ON p.qname = two.qname AND two.k <= 2 JOIN win x ON x.ea = p.ea AND x.eb = p.eb)
