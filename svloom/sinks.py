@@ -23,6 +23,12 @@ def two_decimals(x: Column) -> Column:
     return F.when(x.isNull(), "NA").otherwise(F.format_string("%.2f", x))
 
 
+def general(x: Column) -> Column:
+    """Six significant digits without zeros at the end, and a power of ten where the number is very large or small."""
+    text = F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.regexp_replace(text, r"\.(e|$)", "$1")
+
+
 def support_text(per_library: bool = False) -> Column:
     """key|reads joined by ':'; by library with copies, NA where unknown or between contigs."""
     copies = lambda s: F.when(c("type") == "CTX", F.lit("NA")).otherwise(two_decimals(F.element_at("copy_number", s["key"])))
@@ -35,11 +41,21 @@ def orientation(n: int) -> Column:
 
 
 def call_lines(calls: DataFrame, contigs: DataFrame, keys: list[str], opts: Options = Options()) -> DataFrame:
-    """flush, rank, value: rows of the call table; copy-number columns by file are left out between contigs, as with per-library counts."""
+    """flush, rank, value: rows of the call table; copy-number columns by file are left out between contigs, as with per-library counts.
+
+    An allele frequency has six significant digits up to the row, in visiting
+    order, that prints the first copy number by file, and two decimals from the
+    next row on.
+    """
     x = named(named(calls, contigs, "tid1", "chr1"), contigs, "tid2", "chr2")
     text = [c("chr1"), c("pos1"), orientation(1), c("chr2"), c("pos2"), orientation(2), c("type"), c("size"), c("score"), c("num_reads"), support_text(opts.per_library)]
     if opts.allele_frequency:
-        text.append(F.when(c("allele_frequency").isNull(), "NA").otherwise(F.format_string("%.6g", "allele_frequency")))
+        x = x.withColumn("_at", F.struct("flush", "rank"))
+        prints = F.lit(not opts.per_library) & (c("type") != "CTX") & F.exists(F.array(*map(F.lit, keys)), lambda k: F.element_at("copy_number", k).isNotNull())
+        first = x.where(prints).agg(F.min("_at").alias("_first"))  # one row
+        x = x.crossJoin(F.broadcast(first))
+        fixed = F.coalesce(c("_at") > c("_first"), F.lit(False))
+        text.append(F.when(c("allele_frequency").isNull(), "NA").when(fixed, F.format_string("%.2f", "allele_frequency")).otherwise(general(c("allele_frequency"))))
     if not opts.per_library:
         per = F.transform(F.array(*map(F.lit, keys)), lambda k: two_decimals(F.element_at("copy_number", k)))
         text.append(F.when(c("type") != "CTX", F.array_join(per, "\t")))
@@ -50,7 +66,7 @@ def header_lines(coverage: DataFrame, hist: DataFrame, libs: DataFrame, command:
     """no, value: software, command, a line per library, the column names."""
     codes = F.concat_ws("\t", *[F.when(F.coalesce(c(f"n{k}"), F.lit(0)) > 0, F.concat(F.lit(f"{fl.EXTERNAL[k]}:"), c(f"n{k}").cast("string"))) for k in range(11)])
     x = coverage.join(libs.select("lib", "lib_bam", "mean", "std", "upper", "lower", "readlen"), "lib").join(hist.drop("reads"), "lib", "left")
-    value = F.concat_ws("\t", "lib_bam", *[F.concat(F.lit(f"{n}:"), F.format_string("%.6g", v)) for n, v in (("mean", "mean"), ("std", "std"), ("uppercutoff", "upper"), ("lowercutoff", "lower"), ("readlen", "readlen"))], F.concat(F.lit("library:"), c("lib")), F.concat(F.lit("reflen:"), c("covered").cast("string")), F.concat(F.lit("seqcov:"), F.format_string("%.6g", "sequence_coverage")), F.concat(F.lit("phycov:"), F.format_string("%.6g", "physical_coverage")), codes)
+    value = F.concat_ws("\t", "lib_bam", *[F.concat(F.lit(f"{n}:"), general(c(v))) for n, v in (("mean", "mean"), ("std", "std"), ("uppercutoff", "upper"), ("lowercutoff", "lower"), ("readlen", "readlen"))], F.concat(F.lit("library:"), c("lib")), F.concat(F.lit("reflen:"), c("covered").cast("string")), F.concat(F.lit("seqcov:"), general(c("sequence_coverage"))), F.concat(F.lit("phycov:"), general(c("physical_coverage"))), codes)
     spark = coverage.sparkSession
     names = ["#Chr1", "Pos1", "Orientation1", "Chr2", "Pos2", "Orientation2", "Type", "Size", "Score", "num_Reads", "num_Reads_lib"] + ["Allele_frequency"] * opts.allele_frequency + ([] if opts.per_library else keys)
     fixed = spark.createDataFrame([(0, "#Software: svloom"), (1, f"#Command: {command}"), (2, "#Library Statistics:"), (1 << 40, "\t".join(names))], "no long, value string")

@@ -22,24 +22,20 @@ def some_reads(rnd, n=300):
     return sorted(rows)
 
 
-def streamed(spark, folder, operator, parts, stop_after=None):
+def streamed(spark, folder, operator, parts, stop_after):
     """Rows that the stream gives, one file a batch; with a restart from the checkpoint after ``stop_after`` files."""
     (folder / "in").mkdir()
     end = (4, 0, 0, "end", 1, 1)  # moves the watermark over all places
     reports = []
     for k, part in enumerate([*parts, [end], [(5, 0, 0, "end2", 1, 1)]]):
         (folder / "in" / f"{k:03d}.json").write_text("\n".join(json.dumps(dict(zip([x.split()[0] for x in READS.split(", ")], r, strict=True))) for r in part))
-        if stop_after is not None and k < stop_after and k + 1 < stop_after:
-            continue
-        if stop_after is not None and k >= stop_after and k < len(parts) + 1:
+        if k + 1 not in (stop_after, len(parts) + 2):
             continue
         d = spark.readStream.schema(READS).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
         q = operator(d).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "check")).trigger(availableNow=True).start()
         q.awaitTermination(240)
         assert q.exception() is None
         reports += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
-        if stop_after is None and k < len(parts) + 1:
-            raise AssertionError("one run takes all files")
     return spark.read.parquet(str(folder / "out")), reports
 
 
