@@ -5,9 +5,10 @@ frequent words one of its own, all others one of a fixed number that their hash
 shares out. All of them share one parent restaurant (the word alone), whose
 parent is the uniform distribution over the vocabulary and one unknown word.
 Seatings are sampled by Gibbs sweeps: each dish (a word in a restaurant) is
-taken out, with what its tables add to the parent, and seated anew given all
-other tables as the last sweep left them; its tables are customers of the
-parent. Dishes are seated side by side, not one after another. Predictive
+taken out, with what its tables add to the parent, and its number of tables is
+drawn from its exact conditional (see ``seating``) given all other tables as the
+last sweep left them; its tables are customers of the parent. Dishes are seated
+side by side, not one after another. Predictive
 probabilities, not table counts, are averaged over the sweeps after burn-in.
 
 Distribution: documents are dealt into blocks. A block counts its distinct
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ship import ship
 from .common import MIX_B, MIX_C, U64, as_bytes, mixed, pieces, signed, word_hashes, words, written
+from .seating import Base, Constant, seat
 
 #: Words with a restaurant of their own (the most frequent); restaurants in all, 2 ** 16 at most; documents in a block (mean).
 FREQUENT, CONTEXTS, BLOCK_DOCS = 4096, 1 << 16, 4000
@@ -43,34 +45,10 @@ HELD_WORDS = 1 << 20
 D1, THETA1, D2, THETA2 = 0.8, 10.0, 0.9, 1.0
 #: Gibbs sweeps: burn-in, and those that are averaged.
 BURN, SAMPLES = 2, 3
-#: Customers seated one by one; beyond, new tables are drawn for each doubling of the customers at once.
-ONE_BY_ONE = 32
 #: Hash of the end of a text (a fixed value no word is likely to have), and contexts: 0 begins a text.
 END = U64(0x9D3C0FFEE15600D1)
 
 
-def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with ``count`` customers, where ``new`` is the weight of opening a table: (theta + d T) P_parent."""
-    tables = (count > 0).astype(float)
-    at = np.flatnonzero(count > 1)
-    for i in range(1, ONE_BY_ONE):
-        at = at[count[at] > i]
-        if not len(at):
-            return tables
-        tables[at] += rng.random(len(at)) * (i - discount * tables[at] + new[at]) < new[at]
-    i = np.full(len(at), float(ONE_BY_ONE))
-    while True:
-        more = count[at] > i
-        at, i = at[more], i[more]
-        if not len(at):
-            return tables
-        j = np.minimum(2 * i, count[at])
-        a, old = new[at], i - discount * tables[at]
-        rate = a * np.log((j - i + old + a) / (old + a))
-        tables[at] += np.minimum(rng.poisson(np.minimum(rate, 1e9)), j - i)
-        i = j
-
-
 def restaurants(h: np.ndarray, context_of: dict[int, int]) -> np.ndarray:
     """The restaurant of what follows each word: its own number for a frequent word, else one by its hash."""
     first = len(context_of) + 1
@@ -175,11 +153,14 @@ def seated(sizes: Sizes):
             all_c1 = c1.sum() * sizes.tokens / max(1.0, c.sum())
             tables = np.bincount(ctx, t, CONTEXTS) / np.maximum(own, 1) * sizes.customers
             w, mine = word[more], t[more]
-            others = c1[w] - mine
-            p1 = (others * (1 - D1 * t1[w] / np.maximum(c1[w], 1)) + (THETA1 + D1 * all_t1) * uniform) / (THETA1 + np.maximum(1.0, all_c1 - mine))
-            t[more] = seat(n[more], (THETA2 + D2 * np.maximum(0, tables[ctx[more]] - mine)) * p1, D2, rng)
+            others, start = c1[w] - mine, sweep == 0
+            # the word's tables in the parent that are left without the dish's own customers
+            t1_others = np.where(others > 0, np.maximum(1.0, t1[w] * others / np.maximum(c1[w], 1)), 0.0)
+            share = (THETA1 + D1 * all_t1) * uniform
+            base = Base(others - D1 * t1_others + share, others - D1 * np.maximum(t1_others, 1) + share, THETA1 + np.maximum(1.0, all_c1 - mine))
+            t[more] = seat(n[more], mine, THETA2 + D2 * np.maximum(0, tables[ctx[more]] - mine), base, D2, rng, start)
             c1 = np.bincount(word, t, size)
-            t1 = seat(c1, np.full(size, (THETA1 + D1 * all_t1) * uniform), D1, rng)
+            t1 = seat(c1, t1, THETA1 + D1 * np.maximum(0, all_t1 - t1), Constant(np.full(size, uniform)), D1, rng, start)
             if (k := sweep - BURN) >= 0:
                 rest[k] = c1 - D1 * t1
                 entry_rest += (n - D2 * t) / SAMPLES

@@ -451,23 +451,6 @@ def test_probabilities_of_a_context_sum_to_one(spark, monkeypatch):
     assert np.allclose(again, x, rtol=1e-3)
 
 
-def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(0)
-    one = language_model.seat(np.array([0.0, 1.0, 1.0]), np.ones(3), 0.5, rng)
-    assert one.tolist() == [0, 1, 1]
-
-    def slow(n, a, d):
-        t = 0
-        for i in range(n):
-            t += i == 0 or rng.random() < a / (i - d * t + a)
-        return t
-
-    for n, a in ((20, 0.7), (400, 2.0)):
-        fast = language_model.seat(np.full(3000, float(n)), np.full(3000, a), 0.6, rng).mean()
-        plain = np.mean([slow(n, a, 0.6) for _ in range(1500)])
-        assert abs(fast - plain) < 0.06 * plain + 0.1
-
-
 # 8 near-duplicates
 
 
