@@ -157,8 +157,8 @@ def seated(sizes: Sizes):
             # the word's tables in the parent that are left without the dish's own customers
             t1_others = np.where(others > 0, np.maximum(1.0, t1[w] * others / np.maximum(c1[w], 1)), 0.0)
             share = (THETA1 + D1 * all_t1) * uniform
-            base = Base(others - D1 * t1_others + share, others - D1 * np.maximum(t1_others, 1) + share, THETA1 + np.maximum(1.0, all_c1 - mine))
-            t[more] = seat(n[more], mine, THETA2 + D2 * np.maximum(0, tables[ctx[more]] - mine), base, D2, rng, start)
+            parent = Base(others - D1 * t1_others + share, others - D1 * np.maximum(t1_others, 1) + share, THETA1 + np.maximum(1.0, all_c1 - mine))
+            t[more] = seat(n[more], mine, THETA2 + D2 * np.maximum(0, tables[ctx[more]] - mine), parent, D2, rng, start)
             c1 = np.bincount(word, t, size)
             t1 = seat(c1, t1, THETA1 + D1 * np.maximum(0, all_t1 - t1), Constant(np.full(size, uniform)), D1, rng, start)
             if (k := sweep - BURN) >= 0:
