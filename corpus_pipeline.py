@@ -14,41 +14,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from svloom.llm import language, mixing, near_dup, packing, toxicity
 from svloom.llm.common import free, table, written
 
-#: What a decision names: the hash of a row's doc_id and text.
-ROW = ("doc_id", "text")
-
-
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with the hash of ROW, and that column's name."""
-    name = free(docs.columns, "row_key")
-    return docs.withColumn(name, F.xxhash64(*[docs[c] for c in ROW])), name
-
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no identifiable language: no text, no letters. Learns from the labelled rows of its input; without any, only these two are rejected."""
     model = language.trained(docs)
+    rows = docs.where("doc_id is not null")
     if not model.languages:
-        return docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("\\p{L}"))
-    rows, key = keyed(docs.where("doc_id is not null"))
-    good = language.identify(rows, model, doc_id=key).where("lang_pred <> 'und'").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(good, key, "left_semi").select(docs.columns)
+        return rows.where(F.col("text").rlike("\\p{L}"))
+    return language.identified(rows, model)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored toxic; learns from the labels of its input's documents."""
-    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    rows, key = keyed(docs)
-    bad = toxicity.score(rows, model, doc_id=key).where("predicted = 1").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(bad, key, "left_anti").select(docs.columns)
+    return toxicity.clean(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, of the smallest doc_id, of each group linked by 5-word shingles at a similarity of 0.8."""
-    rows, key = keyed(docs)
-    found = near_dup.near_duplicates(docs, 5, 80, 100, mark=F.xxhash64(*[docs[c] for c in ROW])).where("kept")
+    # a row is named by its doc_id and a hash of its text: rows that share both are taken for repeats of one row
+    i, h = (free(docs.columns, c) for c in ("row_id", "row_text"))
+    rows = docs.withColumn(i, docs["doc_id"]).withColumn(h, F.xxhash64(docs["text"]))
+    found = near_dup.near_duplicates(docs, 5, 80, 100, mark=F.xxhash64(docs["text"])).where("kept")
     # rows may repeat the smallest doc_id; those without words are groups of their own
-    one = found.groupBy("group", F.when(F.col("group").isNull(), F.col("mark"))).agg(F.min("mark").alias(key)).select(key)
-    return rows.join(one, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    alone = F.when(F.col("group").isNull(), F.struct("doc_id", "mark"))
+    one = found.groupBy("group", alone).agg(F.min(F.struct(F.col("doc_id").alias(i), F.col("mark").alias(h))).alias("row")).select("row.*")
+    return rows.join(one, [i, h], "left_semi").dropDuplicates([i, h]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,8 +81,6 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
 
 def as_bytes(column) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
-    import pyarrow as pa
-
     return column.cast(pa.large_binary()).to_pylist()
 
 
@@ -105,5 +104,17 @@ def pieces(batches: Iterable, rows: int = 512):
                 yield c
 
 
+def filtered(docs: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool] | np.ndarray], rows: int = 512) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts ``keep`` marks: rows pass through the workers, nothing is shuffled."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(docs.select(docs[text]).columns[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, rows):
+            yield b.filter(pa.array(keep(b.column(at).cast(pa.large_string()).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

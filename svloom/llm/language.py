@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ship import ship
-from .common import U64, pieces
+from .common import U64, filtered, pieces
 
 #: Labelled documents to learn from for each language (expected number); n-gram buckets; n-grams kept; languages at most, beyond it is an error (their counts are 128 MB then).
 SAMPLE, BUCKETS, KEPT, LANGUAGES = 4000, 1 << 14, 2048, 1024
@@ -162,3 +162,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language, with all columns: texts with a letter; none if nothing was learned. One scan, no shuffle."""
+    return filtered(docs, text, lambda texts: [k != "und" for k in model.predict(texts)[0]], 128)

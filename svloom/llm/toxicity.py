@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..ship import ship
-from .common import MIX_A, U64, mixed, pieces, word_hashes, written
+from .common import MIX_A, U64, filtered, mixed, pieces, word_hashes, written
 from .language import fold
 
 #: Labelled documents to learn from, by label, and the bytes they may have by label (expected numbers; each is taken whole).
@@ -265,3 +265,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not predict toxic, with all columns; all if nothing was learned. One scan, no shuffle."""
+    return filtered(docs, text, lambda texts: model.score(texts) < 0.5)
