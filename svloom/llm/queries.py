@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -150,5 +151,36 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.positive_sc
 QUALIFY rank <= 3"""
 
 
+#: Sets of shingles by document, classes of equal sets, links between classes, what they reach.
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+c AS (SELECT g, min(doc_id) AS low FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT low, len(g) AS n, unnest(g) AS t FROM c),
+l AS (SELECT a.low AS a, b.low AS b FROM x a JOIN x b ON a.t = b.t AND a.low < b.low AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.low, b.low, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT low AS a, low AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.low, s.doc_id) AS component_id, coalesce(m.low, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m ON c.low = m.a"""
+
+#: Starts of 200-byte strings that start twice, runs of the bytes they cover, what lies between the runs.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, b, unnest(range(0, n - 199)) AS i FROM d),
+k AS MATERIALIZED (SELECT doc_id, i, md5(b[i + 1 : i + 200]) AS k FROM p),
+h AS (SELECT doc_id, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM h),
+j AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS low, max(i) + 200 AS high FROM j GROUP BY doc_id, run),
+t AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+o AS (SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS upto FROM (SELECT doc_id, low, high FROM r UNION ALL SELECT doc_id, n, n FROM d)),
+u AS (SELECT o.doc_id, string_agg(hex(d.b[o.upto + 1 : o.low]), '' ORDER BY o.low) AS kept FROM o JOIN d ON o.doc_id = d.doc_id WHERE o.low > o.upto GROUP BY o.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(coalesce(u.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN u ON d.doc_id = u.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding_sql(), "op3_embedding_near_dup": LINKS_SQL, "op5_exact_top_k": TOP_K_SQL, "op6_mixing": MIXING_SQL, "op11_hard_negatives": HARD_SQL}
+    return {"op1_sharding": sharding_sql(), "op3_embedding_near_dup": LINKS_SQL, "op5_exact_top_k": TOP_K_SQL, "op6_mixing": MIXING_SQL, "op8_minhash_near_dup": NEAR_SQL, "op11_hard_negatives": HARD_SQL, "op13_suffix_dedup": REPEATS_SQL}
