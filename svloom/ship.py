@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths that ``written`` made since ``settled`` began; None outside.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here."""
     spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/svloom/{tag}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Removes folders of the shared storage, whichever file system it is; missing ones are passed over."""
+    sc = spark.sparkContext
+    for p in map(sc._jvm.org.apache.hadoop.fs.Path, paths):
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> tuple[DataFrame, str]:
+    """What ``make`` returns as a written table, and its path; the tables that ``make`` wrote on the way are removed, also when it fails."""
+    outer, kept = _made.get(), None
+    token = _made.set(made := [])
+    try:
+        out = written(make(), tag)
+        kept = made[-1]
+    finally:
+        _made.reset(token)
+        removed(spark, [p for p in made if p != kept])
+    if outer is not None:
+        outer.append(kept)
+    return out, kept
