@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from svloom.llm import language, mixing, near_dup, packing, toxicity
-from svloom.llm.common import free, table, written
+from svloom.llm.common import free, table
+from svloom.ship import removed, settled
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; the rows of the last one."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``; the rows of the last one. What a stage wrote on its way, and the input it had from its predecessor, are removed once its output is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        removed(spark, [last] if last else [])
+        last = path
     return docs

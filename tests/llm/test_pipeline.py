@@ -1,10 +1,12 @@
 """The pipeline stage by stage against brute force, and as a whole."""
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as cp
-from svloom.llm import mixing, toxicity
+from svloom.llm import language, mixing, toxicity
 from svloom.llm.common import table, written
+from svloom.ship import shared_dir
 
 from test_operators import brute_components, check_packing, odd_docs, word_sets
 
@@ -15,6 +17,8 @@ def test_stages(spark):
     docs = table(spark, SF, "documents")
     names = docs.columns
     first = written(cp.keep_languages(spark, docs, SF), "t")
+    found = language.identify(docs, language.trained(docs)).where("lang_pred <> 'und'").select("doc_id")
+    assert sorted(r["doc_id"] for r in first.collect()) == sorted(r["doc_id"] for r in found.collect())
     assert first.columns == names and first.count() == docs.count()  # every document has letters
     second = written(cp.drop_toxic(spark, first, SF), "t")
     model = toxicity.trained(first, table(spark, SF, "labels"))
@@ -32,7 +36,10 @@ def test_stages(spark):
 
 def test_run_and_odd_rows(spark):
     assert [n for n, _ in cp.STAGES] == ["language_id", "toxicity", "minhash_near_dup", "mixing", "packing"]
-    assert cp.run(spark, SF).count() > 0
+    left = lambda: {p.name for p in (Path(shared_dir(spark)) / "svloom").iterdir()}
+    before = left()
+    out = cp.run(spark, SF)
+    assert out.count() > 0 and [n.split("-")[0] for n in left() - before] == ["packing"]
     for docs in (odd_docs(spark), odd_docs(spark).limit(0)):
         empty = docs.count() == 0
         for _, stage in cp.STAGES[:-1]:
