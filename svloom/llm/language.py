@@ -132,7 +132,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text:
                 sums.setdefault(k, np.zeros(BUCKETS, np.int64))[:] += np.bincount(grams(t), minlength=BUCKETS)
         for k, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
 
     counts = np.zeros((len(names), BUCKETS))
     rows = d.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -146,7 +146,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """doc_id, lang_pred, score, languages of every row of ``docs``.
 
     lang_pred is the language of the largest estimated proportion within the
-    language set ``languages``, score that proportion; 'und', 0 and an empty
+    language set ``languages``, score that proportion: in the mixture of the
+    set where it has several languages, in that of all learned languages (how
+    little the text needs the others) where it has one; 'und', 0 and an empty
     set where the text is null or has no letter, or nothing was learned. A text
     with letters but no known n-gram gets the most frequent language and its
     frequency. Whole texts are read; repeated rows each get a row, a null

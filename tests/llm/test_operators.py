@@ -1,8 +1,10 @@
 """The ten operators: brute force on small tables, and their edge cases."""
 
+import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -546,6 +548,78 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in language.identify(d.limit(5), none).collect()} == {"und"}
 
 
+def plain_trigrams(text):
+    """Counts of the hash buckets of a text's byte trigrams, byte by byte."""
+    kept = [32]
+    for c in text.lower().encode() + b" ":
+        c = c if 97 <= c <= 122 or c >= 128 else 32
+        if (c, kept[-1]) != (32, 32):
+            kept.append(c)
+    return Counter(((a << 16 | b << 8 | c) * 0x9E3779B97F4A7C15 % 2**64) >> 50 for a, b, c in zip(kept, kept[1:], kept[2:]))
+
+
+def plain_model(rows):
+    """Languages, their frequencies and the probability of each kept trigram by language."""
+    names = sorted({l for _, l in rows})
+    counts = {l: Counter() for l in names}
+    for t, l in rows:
+        counts[l].update(plain_trigrams(t))
+    p = {l: {b: (counts[l][b] + 0.5) / (counts[l].total() + 0.5 * language.BUCKETS) for b in range(language.BUCKETS)} for l in names}
+    gain = {b: sum(p[l][b] * math.log(p[l][b] / (sum(p[m][b] for m in names) / len(names))) for l in names) for b in range(language.BUCKETS)}
+    best = sorted(gain, key=lambda b: -gain[b])[: language.KEPT]
+    total = {l: sum(p[l][b] for b in best) for l in names}
+    return {l: sum(m == l for _, m in rows) / len(rows) for l in names}, {l: {b: p[l][b] / total[l] for b in best} for l in names}
+
+
+def plain_identify(text, prior, p):
+    """(language, score, set) by expectation-maximisation in plain loops."""
+    some = next(iter(p.values()))
+    n = {b: c for b, c in plain_trigrams(text).items() if b in some}
+
+    def mixture(langs):
+        pi = {l: 1 / len(langs) for l in langs}
+        for _ in range(language.ROUNDS):
+            new = dict.fromkeys(langs, 0.0)
+            for b, c in n.items():
+                whole = sum(pi[l] * p[l][b] for l in langs)
+                for l in langs:
+                    new[l] += c * pi[l] * p[l][b] / whole
+            pi = {l: x / sum(n.values()) for l, x in new.items()}
+        return pi, sum(c * math.log(sum(pi[l] * p[l][b] for l in langs)) for b, c in n.items())
+
+    alone = {l: sum(c * math.log(p[l][b]) for b, c in n.items()) for l in p}
+    chosen = [max(p, key=lambda l: alone[l] + math.log(prior[l]))]
+    every, _ = mixture(list(p))
+    pi, fit, penalty = every, alone[chosen[0]], language.PENALTY * math.log(max(2, sum(n.values())))
+    while len(chosen) < len(p):
+        more = [*chosen, max((l for l in p if l not in chosen), key=every.get)]
+        mixed, value = mixture(more)
+        if value - fit <= penalty:
+            break
+        chosen, pi, fit = more, mixed, value
+    top = chosen[0] if len(chosen) == 1 else max(pi, key=pi.get)
+    return top, pi[top], set(chosen)
+
+
+def test_mixtures_against_plain_loops(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    # rows without a language, a text or an id, and repeats, among those to learn from
+    odd = [(9001, "no language", None), (9002, None, "de"), (None, "ein Text ohne Nummer", "de"), (9003, "dos veces lo mismo", "es"), (9003, "dos veces lo mismo", "es"), (9004, "", "en")]
+    d = d.unionByName(spark.createDataFrame(odd, d.schema))
+    rows = d.collect()
+    model = language.trained(d)
+    prior, p = plain_model([(r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None])
+    assert model.languages == list(p) and np.allclose(model.prior, list(prior.values()))
+    assert len(set(model.kept.tolist()) & set(next(iter(p.values())))) > 0.99 * language.KEPT  # equal gains may be kept in another order
+    p = {l: dict(zip(model.kept.tolist(), model.p[:, i].tolist(), strict=True)) for i, l in enumerate(p)}
+    by = {l: [r["text"] for r in rows if r["lang"] == l and r["text"]] for l in p}
+    texts = [t for ts in by.values() for t in ts[:6]] + [a[:400] + " " + b[:300] for a, b in itertools.pairwise(ts[0] for ts in by.values())]
+    for t, lang, score, languages in zip(texts, *model.predict(texts), strict=True):
+        want = plain_identify(t, prior, p)
+        assert (lang, set(languages)) == (want[0], want[2]) and score == pytest.approx(want[1], abs=1e-9)
+    assert any(len(s) > 1 for s in model.predict(texts)[2])
+
+
 def test_all_languages_are_learned(spark, monkeypatch):
     rng = np.random.default_rng(1)
     own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(80)]
