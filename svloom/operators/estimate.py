@@ -9,7 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..ship import ship, written
 from ..sources import alignments, bam
@@ -27,6 +27,36 @@ def _observation() -> F.Column:
     return c("code").isin(18, 20) & (c("dist") >= 0)
 
 
+#: Bases of a bucket in which records are counted to find how far a library is read.
+WIDE = 1 << 16
+
+
+def _reach(good: DataFrame, most: int) -> Column:
+    """Holds for the first ``most`` records of each library of a file and those at the last one's position; for all where there are fewer.
+
+    Records are counted by bucket, then by position in the bucket where the count
+    is reached; a place per library goes to the driver, so that the condition
+    stands before whatever else is computed of a record.
+    """
+    own = Window.partitionBy("bam_file", "lib")
+    upto = lambda by: F.sum("n").over(own.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    d = good.select("bam_file", "lib", "tid", "pos", F.floor(c("pos") / WIDE).alias("bucket"))
+    per = d.groupBy("bam_file", "lib", "tid", "bucket").agg(F.count("*").alias("n")).withColumn("upto", upto(["tid", "bucket"]))
+    at = per.where((c("upto") >= most) & (c("upto") - c("n") < most)).select("bam_file", "lib", "tid", "bucket", (c("upto") - c("n")).alias("before"))
+    fine = d.join(F.broadcast(at), ["bam_file", "lib", "tid", "bucket"]).groupBy("bam_file", "lib", "tid", "before", "pos").agg(F.count("*").alias("n"))
+    fine = fine.withColumn("upto", upto(["pos"]) + c("before")).where(c("upto") >= most)
+    return _before(fine.groupBy("bam_file", "lib", "tid").agg(F.min("pos").alias("pos")))
+
+
+def _before(ends: DataFrame) -> Column:
+    """Up to the positions in ``ends`` (a row for each library of a file that ends); libraries without are read whole."""
+    near = F
+    for r in ends.select("bam_file", "lib", "tid", "pos").collect():
+        place = (c("tid") < r["tid"]) | ((c("tid") == r["tid"]) & (c("pos") <= r["pos"]))
+        near = near.when((c("bam_file") == r["bam_file"]) & (c("lib") == r["lib"]), place)
+    return F.lit(True) if near is F else near.otherwise(True)
+
+
 def stops(df: DataFrame, libraries: dict[str, int], n: int = 10_000, min_mapq: int = 35, min_share: float = 1e-4) -> DataFrame:
     """(bam_file, lib, until, single, full): the last place (tid, pos, qname, mate) at which each library is read, null: to the end; full: at its record the whole file ends.
 
@@ -35,13 +65,14 @@ def stops(df: DataFrame, libraries: dict[str, int], n: int = 10_000, min_mapq: i
     libraries: how many each file's header names. A library is single-ended, and
     read no further, once its observations before a good record are less than
     ``min_share`` of its good records so far (none counts as one). No library
-    needs more records than its file can take, so the sorts are of bounded size.
+    needs more records than its file can take: only so many are sorted (``_reach``).
     """
     place, most = F.struct("tid", "pos", "qname", "mate"), {f: 3 * k * n + 1 for f, k in libraries.items()}
     order = ["tid", "pos", "qname", "mate"]
     own = Window.partitionBy("bam_file", "lib").orderBy(*order)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    g = df.where((c("bdqual") > min_mapq) & c("lib").isNotNull() & c("bam_file").isin(*most)).select("bam_file", "lib", *order, F.coalesce(_observation(), F.lit(False)).cast("int").alias("obs"))
+    g = df.where((c("bdqual") > min_mapq) & c("lib").isNotNull() & c("bam_file").isin(*most))
+    g = g.where(_reach(g, max(most.values(), default=0))).select("bam_file", "lib", *order, F.coalesce(_observation(), F.lit(False)).cast("int").alias("obs"))
     g = g.withColumn("k", F.row_number().over(own)).where(c("k") <= max(most.values(), default=0))
     g = g.withColumn("seen", F.coalesce(F.sum("obs").over(before), F.lit(0)))
     g = g.withColumn("single", F.greatest("seen", F.lit(1)) / c("k") < min_share)
@@ -182,7 +213,9 @@ def estimated(df: DataFrame, libraries: dict[str, int], n: int = 10_000, min_map
     df: records with code and dist; libraries: as for ``stops``. The records up
     to the stops, few of a long file's, are written to the shared folder once.
     """
-    rows = written(until_stop(df, stops(df, libraries, n, min_mapq)).select("lib", "qlen", "bdqual", "code", "dist"), "estimator")
+    stop = written(stops(df, libraries, n, min_mapq), "stops")
+    near = _before(stop.where("until is not null").select("bam_file", "lib", "until.tid", "until.pos"))
+    rows = written(until_stop(df.where(near), stop).select("lib", "qlen", "bdqual", "code", "dist"), "estimator")
     obs = usable(rows, min_mapq)
     first = insert_stats(obs, cut)
     limits = cutoffs(one_sided(obs, first.drop("n"), cut), sd).select("lib", "lower", "upper")

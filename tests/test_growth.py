@@ -53,3 +53,18 @@ def test_batches_of_regions_are_walked_many_a_task(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     few = order(links.visit_order(edge.where("b < 15"), Options(buffer=4)))
     assert len({r[0] for r in want}) > 30 and few == [r for r in want if r[0] < 3]
+
+
+def test_estimator_sorts_only_what_its_stops_can_need(spark):
+    from svloom.operators import estimate
+
+    d = q.legacy(spark, SF)
+    good = d.where((F.col("bdqual") > 35) & F.col("lib").isNotNull())
+    rows = sorted((r["bam_file"], r["lib"], r["tid"], r["pos"]) for r in good.collect())
+    for most in (50, 10**6):
+        got = sorted((r["bam_file"], r["lib"], r["tid"], r["pos"]) for r in good.where(estimate._reach(good, most)).collect())
+        want = []
+        for key in sorted({r[:2] for r in rows}):
+            own = [r for r in rows if r[:2] == key]
+            want += [r for r in own if len(own) < most or r <= own[most - 1]]
+        assert got == want and (len(got) < len(rows)) == (most == 50)
