@@ -8,16 +8,19 @@ key over the whole cluster (range partitions) and added up run by run. Every
 range ends as a pair of sorted arrays in the shared folder, which the second pass
 maps into memory and searches with ``searchsorted``. The table of all pairs can't
 outgrow the product of both vocabularies, whatever the corpus.
-Texts are encoded once; both passes read the ids.
+Texts are encoded once; both passes read the ids. Most go to a faster library
+with the same ranks; ``Tokenizers._fast`` tells when that is the same.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +34,8 @@ from .common import pieces, written
 SPACE = "▁"
 #: Links expanded at a time; keys of a partial count; links of a group from which repeated ids are joined first.
 LINKS, PARTIAL, LARGE = 1 << 22, 1 << 22, 256
+#: Spaces in a row beyond which the faster library's pattern engine may give up.
+LONG = re.compile(r"\s{10000}")
 
 
 def byte_chars() -> dict[str, int]:
@@ -40,6 +45,19 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Steady(dict):
+    """character -> whether its class (letter, number, space, other) was the same in the first and is in Python's edition of Unicode, so that libraries of any edition between cut alike."""
+
+    def __missing__(self, x: str) -> bool:
+        kind = lambda db: k if (k := db.category(x)[0]) in "LNZ" else ""
+        # U+180E was a space for some editions between; what is not assigned yet may become a letter
+        out = self[x] = x < "\u0100" or x != "\u180e" and unicodedata.category(x) != "Cn" and kind(unicodedata) == kind(unicodedata.ucd_3_2_0)
+        return out
+
+
+STEADY = Steady()
+
+
 class Tokenizers:
     """A: a byte-level file of ``tokenizers``; B: a byte-fallback model of ``sentencepiece`` that puts a space before the text."""
 
@@ -57,6 +75,8 @@ class Tokenizers:
         if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or about["normalizer"]:
             raise ValueError("A must be a byte-level tokenizer that changes no text")
         chars, vocab = byte_chars(), self.a.get_vocab(with_added_tokens=True)
+        self.added = [x["content"] for x in about["added_tokens"]]
+        self.fast = self._fast(path_a, about, chars)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(chars[x] for x in token) if all(x in chars for x in token) else token.encode()
@@ -70,15 +90,47 @@ class Tokenizers:
         texts = [np.array([str(i) + end for end in ends for i in range(len(t))], object) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
         self.texts = tuple(np.array([x.encode() for x in t], object) for t in texts)
 
+    @staticmethod
+    def _fast(path: str, about: dict, chars: dict[str, int]):
+        """A faster encoder of A, from the ranks beside its file; None if they aren't there or aren't A's.
+
+        It joins any two tokens whose bytes are a token, lowest rank first; A joins
+        those of its list of merges, in the list's order. That is the same if ranks
+        rise along the list and every token's own bytes are encoded as that token.
+        """
+        model = about["model"]
+        if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or not about["pre_tokenizer"].get("use_regex", True):
+            return None
+        try:
+            import public_tokenizers
+            import tiktoken
+
+            with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+                ranks = {base64.b64decode(x): int(n) for x, n in map(bytes.split, f)}
+        except (ImportError, OSError):
+            return None
+        joined = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        added = {x["content"] for x in about["added_tokens"]}
+        own = {bytes(chars[x] for x in t): i for t, i in model["vocab"].items() if t not in added}
+        if own != ranks or None in joined or any(x >= y for x, y in zip(joined, joined[1:], strict=False)) or len(own) != 256 + len(joined):
+            return None
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, text: str) -> np.ndarray:
+        """Ids of A: by the faster library if all characters are steady, no stretch is long and no added token's string is in the text."""
+        if self.fast is not None and (text.isascii() or all(map(STEADY.__getitem__, set(text)))) and not LONG.search(text) and not any(x in text for x in self.added):
+            return np.array(self.fast.encode_ordinary(text), self.kinds[0])
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, self.kinds[0])
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Packed ids of A and of B; none if the text is null or empty or a tokenizer changes its bytes."""
         if not text:
             return b"", b""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        a, b = self.encode_a(" " + text), self.b.encode(text)
         want = (" " + text).encode()
-        if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return b"", b""
-        return np.array(a, self.kinds[0]).tobytes(), np.array(b, self.kinds[1]).tobytes()
+        return a.tobytes(), np.array(b, self.kinds[1]).tobytes()
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}

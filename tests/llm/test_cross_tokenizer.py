@@ -1,10 +1,12 @@
 """Cross-tokenizer alignment: a plain count over all links, and its edge cases."""
 
 import hashlib
+import json
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -129,3 +131,51 @@ def test_shards_hold_every_pair_once_in_order(spark):
 def test_empty_table_and_query(spark):
     assert cross_tokenizer.cross_tokenizer_alignment(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert "op12_cross_tokenizer" in queries.QUERIES
+
+
+def test_ordinary_texts_go_to_the_faster_library(monkeypatch):
+    t = cross_tokenizer.Tokenizers(A, B)
+    want = t.a.encode(" It's naïve: 日本語 text", add_special_tokens=False).ids
+    monkeypatch.setattr(t, "a", None)
+    assert t.encode_a(" It's naïve: 日本語 text").tolist() == want
+
+
+def test_faster_library_gives_the_same():
+    t = cross_tokenizer.Tokenizers(A, B)
+    odd = [x for _, x in ODD if x] + [" " * 1_200_000 + "x", "\n " * 20_000, "'" * 999 + "'S 's", "ᠠ᠎b​c d\x85e\x1cf", "²½Ⅷ٣ ǅʰ", "\U0001f9ffé\U00031350 ꟊ", "w" * 3000 + "é" * 3000]
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    for x in [*odd, *filter(None, rows)]:
+        assert t.encode_a(" " + x).tolist() == t.a.encode(" " + x, add_special_tokens=False).ids
+    # characters whose class another edition of Unicode may not know go to the slow one
+    assert not any(map(cross_tokenizer.STEADY.__getitem__, "\u180e\u200b\U00031350\ua7ca\u1c89"))
+
+
+def test_joining_by_rank_is_joining_by_merges():
+    """Every token's own bytes are encoded as that token: the premise on which the faster library is used."""
+    with open(A) as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = {m: k for k, m in enumerate(merges)}
+    for x in {a + b for a, b in merges}:
+        parts = list(x)
+        while len(parts) > 1:
+            k, i = min((order.get(p, len(order)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if k == len(order):
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [x]
+
+
+def test_ranks_that_are_not_the_vocabulary_are_not_used(tmp_path):
+    with open(A) as f:
+        about = json.load(f)
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(about))
+    assert cross_tokenizer.Tokenizers(str(own), B).fast is None
+    with open(A.removesuffix(".json") + ".tiktoken", "rb") as f:
+        lines = f.read().splitlines()
+    (tmp_path / "own.tiktoken").write_bytes(b"\n".join(lines))
+    assert cross_tokenizer.Tokenizers(str(own), B).fast is not None
+    x, y = (line.split()[0] for line in lines[-2:])
+    (tmp_path / "own.tiktoken").write_bytes(b"\n".join([*lines[:-2], x + b" " + lines[-1].split()[1], y + b" " + lines[-2].split()[1]]))
+    assert cross_tokenizer.Tokenizers(str(own), B).fast is None
