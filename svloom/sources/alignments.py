@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -297,6 +298,17 @@ def read_pooled(spark: SparkSession, paths: list[str], **more) -> DataFrame:
     return pooled([read_bam(spark, p, **more) for p in paths], names)
 
 
+def ordered(df: DataFrame, contigs: list[tuple[str, int]], files: int | None = None) -> DataFrame:
+    """The rows in order of contig (none is last), position and strand, in ranges of about equal size."""
+    number = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(contigs) for x in (n, i)]) if contigs else F.lit(None).cast("map<string,int>")
+    at = F.coalesce(F.element_at(number, c("contig")), F.lit(len(contigs))).cast("long")
+    # contig, position and strand as one number, made once a row: a sort computes expressions anew at each comparison
+    place = f"place_{uuid.uuid4().hex}"
+    keyed = df.withColumn(place, at * (1 << 33) + (c("pos").cast("long") + (1 << 31)) * 2 + F.shiftright(c("flag"), 4).bitwiseAND(1))
+    key = [c(place), c("qname"), c("flag")]
+    return keyed.repartitionByRange(*([files] if files else []), *key).sortWithinPartitions(*key).drop(place)
+
+
 def write_bam(df: DataFrame, path: str, contigs: list[tuple[str, int]], in_order: bool = True, header: str = "", files: int | None = None) -> None:
     """Writes alignments as BAM files below ``path``, which replace those there.
 
@@ -306,10 +318,7 @@ def write_bam(df: DataFrame, path: str, contigs: list[tuple[str, int]], in_order
     """
     register_bam(df.sparkSession)
     if in_order:
-        number = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(contigs) for x in (n, i)]) if contigs else F.lit(None).cast("map<string,int>")
-        at = F.coalesce(F.element_at(number, c("contig")), F.lit(2**31 - 1))
-        key = [at, c("pos"), c("flag").bitwiseAND(16), c("qname"), c("flag")]
-        df = df.repartitionByRange(*([files] if files else []), *key).sortWithinPartitions(*key)
+        df = ordered(df, contigs, files)
     df.write.format("bam").mode("overwrite").options(contigs=json.dumps(contigs), sorted=str(in_order).lower(), header=header).save(path)
 
 

@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
@@ -19,8 +20,12 @@ from . import bam_columns, bam_index
 
 #: Inflated bytes of a block, and the packed empty block that ends a file (fixed by the format).
 BLOCK = 65_280
-_HEX = {ord(x): f"{i:x}" for i, x in enumerate(bam_columns.BASES)} | {ord(x.lower()): f"{i:x}" for i, x in enumerate(bam_columns.BASES)}
-_LESS = bytes(max(0, i - 33) for i in range(256))
+#: Rows that are encoded at a time, and bytes of their columns as far as rows allow.
+ROWS, COLUMN_BYTES = 16_384, 16 << 20
+_CODE = np.full(256, 255, np.uint8)
+for _i, _x in enumerate(bam_columns.BASES):
+    _CODE[[ord(_x), ord(_x.lower())]] = _i
+_INTS = {"flag": (0, 65_535), "pos": (-(1 << 31), (1 << 31) - 1), "mapq": (0, 255), "mpos": (-(1 << 31), (1 << 31) - 1), "isize": (-(1 << 31), (1 << 31) - 1)}
 
 
 def store(path: str):
@@ -41,24 +46,44 @@ class BlockFile:
     """Blocks of inflated bytes, with virtual offsets."""
 
     def __init__(self, f, level: int = 6):
-        self.f, self.level, self.held, self.at = f, level, bytearray(), 0
+        self.f, self.level, self.held, self.at = f, level, b"", 0
 
     def tell(self) -> int:
         return self.at << 16 | len(self.held)
 
     def write(self, data: bytes) -> None:
-        """Records are not cut where they fit a block of their own."""
-        if self.held and len(self.held) + len(data) > BLOCK:
-            self.flush()
-        self.held += data
-        while len(self.held) >= BLOCK:
-            self._put(bytes(self.held[:BLOCK]))
-            del self.held[:BLOCK]
+        held = self.held + data
+        full = len(held) // BLOCK * BLOCK
+        for i in range(0, full, BLOCK):
+            self._put(held[i : i + BLOCK])
+        self.held = held[full:]
+
+    def write_records(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Writes records that lie one after another; the virtual offsets at which each begins and ends. They are not cut where they fit a block of their own."""
+        begins, stops = np.empty(len(ends), np.int64), np.empty(len(ends), np.int64)
+        k, at = 0, 0  # the next record and its place
+        while k < len(ends):
+            # records that fit what is left of the block
+            n = int(np.searchsorted(ends, at + BLOCK - len(self.held), "right"))
+            if n == k:
+                if self.held:
+                    self.flush()
+                    continue
+                n = k + 1  # longer than a block
+            stop, first = int(ends[n - 1]), self.tell()
+            # all but the first begin where another ends, in the block that is open now
+            begins[k] = first
+            begins[k + 1 : n] = first + (ends[k : n - 1] - at)
+            self.write(data[at:stop])
+            stops[k : n - 1] = begins[k + 1 : n]
+            stops[n - 1] = self.tell()
+            k, at = n, stop
+        return begins, stops
 
     def flush(self) -> None:
         if self.held:
-            self._put(bytes(self.held))
-            self.held.clear()
+            self._put(self.held)
+            self.held = b""
 
     def _put(self, data: bytes) -> None:
         packed = block(data, self.level)
@@ -89,8 +114,130 @@ class _Operations(dict):
         return out
 
 
-def encoded(batches: Iterator[pa.RecordBatch], contigs: list[tuple[str, int]]) -> Iterator[tuple[bytes, int, int, int]]:
-    """(record, tid, pos, end) of rows with the columns of the alignment schema; contigs are numbered by name.
+@dataclass(frozen=True)
+class Records:
+    """Packed records one after another: their bytes and where each ends there; contig, begin and end of each on it."""
+
+    data: bytes
+    ends: np.ndarray
+    tid: np.ndarray
+    pos: np.ndarray
+    stop: np.ndarray
+
+
+def _whole(b: pa.RecordBatch, name: str, low: int, high: int) -> np.ndarray:
+    x = b.column(name)
+    if x.null_count:
+        raise ValueError(f"{name} is null in a record")
+    x = x.cast(pa.int64()).to_numpy()
+    if len(x) and (x.min() < low or x.max() > high):
+        raise ValueError(f"a {name} of {int(x.min())} to {int(x.max())} does not fit a record")
+    return x
+
+
+def _texts(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, begins, lengths and which are not null (these have no length) of a column of texts or bytes."""
+    there = x.is_valid().to_numpy(zero_copy_only=False)
+    x = x.cast(pa.large_binary())
+    if x.null_count:
+        x = x.fill_null(b"")
+    offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2], np.uint8) if x.buffers()[2] is not None else np.empty(0, np.uint8)
+    return data, offsets[:-1], np.diff(offsets), there
+
+
+def _coded(x: pa.Array) -> tuple[np.ndarray, list]:
+    """For each row the number of its value, and the values; null is one of them."""
+    d = x.dictionary_encode("encode")
+    return d.indices.to_numpy(), d.dictionary.to_pylist()
+
+
+def _numbers(x: pa.Array, number: dict) -> np.ndarray:
+    at, names = _coded(x)
+    if missing := [n for n in names if n not in number]:
+        raise ValueError(f"the header has no contig {missing[0]!r}")
+    return np.array([number[n] for n in names], np.int64)[at]
+
+
+def packed(b: pa.RecordBatch, number: dict[str | None, int], ops: _Operations) -> Records:
+    """The records of a batch, all columns at once."""
+    have, n = set(b.schema.names), b.num_rows
+    flag, pos, mapq, mpos, isize = (_whole(b, k, *v) for k, v in _INTS.items())
+    tid, mtid = (_numbers(b.column(k), number) for k in ("contig", "mcontig"))
+    names, name_at, name_n, there = _texts(b.column("qname"))
+    at, cigars = _coded(b.column("cigar"))
+    cigars = [ops[x or "*"] for x in cigars]
+    bad = ~there | (name_n < 1) | (name_n > 254) | np.array([len(x) > 4 * 65_535 for x, _ in cigars], bool)[at]
+    if bad.any():
+        raise ValueError(f"the name or cigar of {b.column('qname')[int(np.argmax(bad))].as_py()!r} does not fit a record")
+    cigar_n = np.array([len(x) for x, _ in cigars], np.int64)
+    cigar_at, cigar_data = np.cumsum(cigar_n) - cigar_n, np.frombuffer(b"".join(x for x, _ in cigars), np.uint8)
+    stop = pos + np.maximum(1, np.array([x for _, x in cigars], np.int64)[at])
+    cigar_at, cigar_n = cigar_at[at], cigar_n[at]
+    none = lambda kind: pa.nulls(n, kind)
+    seq, seq_at, seq_n, _ = _texts(b.column("seq") if "seq" in have else none(pa.string()))
+    qual, qual_at, qual_n, has_qual = _texts(b.column("qual") if "qual" in have else none(pa.binary()))
+    rg, rg_at, rg_n, has_rg = _texts(b.column("rg") if "rg" in have else none(pa.string()))
+    bad = has_qual & (qual_n != seq_n)
+    if bad.any():
+        i = int(np.argmax(bad))
+        raise ValueError(f"{b.column('qname')[i].as_py()!r} has {seq_n[i]} bases and {qual_n[i]} qualities")
+    tags = [(k, b.column(m)) for k, m in (("AM", "am"), ("Aq", "aq")) if m in have]
+    tags = [(k, x.is_valid().to_numpy(zero_copy_only=False), x.cast(pa.int64()).fill_null(0).to_numpy()) for k, x in tags]
+    bases_n = (seq_n + 1) // 2
+    rg_size = np.where(has_rg, rg_n + 4, 0)
+    size = 36 + name_n + 1 + cigar_n + bases_n + seq_n + rg_size + sum(7 * there for _, there, _ in tags)
+    ends = np.cumsum(size)
+    out = np.full(int(ends[-1]), 255, np.uint8)  # so qualities that are missing are there already
+    spread = bam_columns.spread
+
+    fixed = np.empty(n, bam_columns.FIXED)
+    fixed["size"], fixed["tid"], fixed["pos"], fixed["l_name"], fixed["mapq"] = size - 4, tid, pos, name_n + 1, mapq
+    # a bin's number has 16 bits; places beyond those of the bins have no number of their own
+    fixed["bin"] = np.where(pos >= 0, bam_index.smallest_bins(np.maximum(pos, 0), stop), 4680) & 0xFFFF
+    fixed["n_cigar"], fixed["flag"], fixed["qlen"], fixed["mtid"], fixed["mpos"], fixed["isize"] = cigar_n // 4, flag, seq_n, mtid, mpos, isize
+    to = ends - size
+    out[to[:, None] + np.arange(36)] = fixed.view(np.uint8).reshape(n, 36)
+    to = to + 36
+    out[spread(to, name_n)] = names[spread(name_at, name_n)]
+    to = to + name_n
+    out[to] = 0
+    to = to + 1
+    out[spread(to, cigar_n)] = cigar_data[spread(cigar_at, cigar_n)]
+    to = to + cigar_n
+    codes = _CODE[seq[spread(seq_at, seq_n)]]
+    if (codes == 255).any():
+        raise ValueError("a base that the format has not")
+    if (seq_n & 1).any():  # half a byte more than there are bases
+        even = np.zeros(2 * int(bases_n.sum()), np.uint8)
+        even[spread(2 * (np.cumsum(bases_n) - bases_n), seq_n)] = codes
+        codes = even
+    out[spread(to, bases_n)] = codes[::2] << 4 | codes[1::2]
+    to = to + bases_n
+    if has_qual.any():
+        of = np.where(has_qual, seq_n, 0)
+        x = qual[spread(qual_at, of)]
+        out[spread(to, of)] = np.where(x < 33, 0, x - 33)
+    to = to + seq_n
+    if has_rg.any():
+        k = np.flatnonzero(has_rg)
+        out[to[k, None] + np.arange(3)] = np.frombuffer(b"RGZ", np.uint8)
+        out[spread(to[k] + 3, rg_n[k])] = rg[spread(rg_at[k], rg_n[k])]
+        out[to[k] + 3 + rg_n[k]] = 0
+    to = to + rg_size
+    for name, there, value in tags:
+        k = np.flatnonzero(there)
+        if len(k):
+            if value[k].min() < -(1 << 31) or value[k].max() >= 1 << 31:
+                raise ValueError(f"a tag {name} does not fit a record")
+            out[to[k, None] + np.arange(3)] = np.frombuffer(f"{name}i".encode(), np.uint8)
+            out[to[k, None] + np.arange(3, 7)] = value[k].astype("<i4").view(np.uint8).reshape(-1, 4)
+        to = to + 7 * there
+    return Records(out.tobytes(), ends, tid, pos, stop)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], contigs: list[tuple[str, int]]) -> Iterator[Records]:
+    """Records of rows with the columns of the alignment schema; contigs are numbered by name.
 
     seq, qual, rg, am and aq may be null or missing; a null cigar is ``*``. A
     contig that the header has not is an error, as is a record beyond the
@@ -100,26 +247,11 @@ def encoded(batches: Iterator[pa.RecordBatch], contigs: list[tuple[str, int]]) -
     ops = _Operations()
     needed = ["qname", "flag", "contig", "pos", "mapq", "cigar", "mcontig", "mpos", "isize"]
     for b in batches:
-        have = set(b.schema.names)
-        if missing := [n for n in needed if n not in have]:
+        if missing := [n for n in needed if n not in b.schema.names]:
             raise ValueError(f"columns {missing} are missing")
-        columns = [b.column(n).to_pylist() if n in have else [None] * b.num_rows for n in (*needed, "seq", "qual", "rg", "am", "aq")]
-        for qname, flag, contig, pos, mapq, cigar, mcontig, mpos, isize, seq, qual, rg, am, aq in zip(*columns, strict=True):
-            if contig not in number or mcontig not in number:
-                raise ValueError(f"the header has no contig {contig if contig not in number else mcontig!r}")
-            packed, reach = ops[cigar or "*"]
-            name, n = qname.encode(), len(seq or "")
-            if not 0 < len(name) < 255 or len(packed) > 4 * 65_535:
-                raise ValueError(f"the name or cigar of {qname!r} does not fit a record")
-            if qual is not None and len(qual) != n:
-                raise ValueError(f"{qname!r} has {n} bases and {len(qual)} qualities")
-            end = pos + max(1, reach)
-            tid = number[contig]
-            body = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, mapq, bam_index.smallest_bin(pos, end) if pos >= 0 else 4680, len(packed) // 4, flag, n, number[mcontig], mpos, isize)
-            bases = bytes.fromhex(seq.translate(_HEX) + "0" * (n % 2)) if seq else b""
-            tags = (b"RGZ" + rg.encode() + b"\0" if rg is not None else b"") + (b"AMi" + struct.pack("<i", am) if am is not None else b"") + (b"Aqi" + struct.pack("<i", aq) if aq is not None else b"")
-            body += name + b"\0" + packed + bases + (bytes(qual).translate(_LESS) if qual is not None else b"\xff" * n) + tags
-            yield struct.pack("<i", len(body)) + body, tid, pos, end
+        some = max(1, min(ROWS, b.num_rows * COLUMN_BYTES // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, some):
+            yield packed(b.slice(i, some), number, ops)
 
 
 @dataclass
@@ -150,7 +282,7 @@ class BamWriter(DataSourceArrowWriter):
         files, at = store(f"{self.folder}/{name}")
         out, index, made = None, bam_index.Builder(len(self.contigs)), []
         try:
-            for record, tid, pos, end in encoded(iterator, self.contigs):
+            for x in encoded(iterator, self.contigs):
                 if out is None:
                     files.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     stream = files.open_output_stream(at, compression=None)
@@ -158,12 +290,9 @@ class BamWriter(DataSourceArrowWriter):
                     out = BlockFile(stream, self.level)
                     out.write(header(self.contigs, self.in_order, self.text))
                     out.flush()
-                if len(out.held) + len(record) > BLOCK:
-                    out.flush()
-                begins = out.tell()
-                out.write(record)
+                begins, ends = out.write_records(x.data, x.ends)
                 if self.in_order:
-                    index.add(tid, pos, end, begins, out.tell())
+                    index.add_all(x.tid, x.pos, x.stop, begins, ends)
             if out is None:
                 return Written([])
             out.close()
