@@ -35,6 +35,11 @@ def test_calls(spark, far):
     assert len(want) > 20 and BASES > 1 << 31 and order(got) == order(want)
 
 
+def test_call_text(spark, far):
+    near, got = (sorted((r["flush"], r["rank"], r["value"]) for r in q.s9_p10_p12_call_text(spark, sf).collect()) for sf in (SF, far))
+    assert len(got) > 20 and got == [(*k, moved(v, 1, 4)) for *k, v in near]
+
+
 def test_bed_text(spark, far):
     near, got = ([tuple(r) for r in q.s10_bed_text(spark, sf).collect()] for sf in (SF, far))
     at = lambda m: m[1] + str(int(m[2]) + BASES) + m[3]
